@@ -1,0 +1,4 @@
+"""All queries by name, and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
