@@ -3,9 +3,11 @@
 Texts become sets of ``n`` consecutive words (lower case, letters and digits; a shorter text is one shingle). Texts with
 equal sets are one class. Each class has a label of minimum hashes in each tree of the forest, a byte per hash; a tree
 is the sorted list of these labels, read as a prefix trie. Starting from whole labels, the matched prefix is shortened
-until pairs at the threshold are met in some tree with the target recall. Classes that share such a prefix are
-candidates, each pair in the first tree that shows it; pairs whose labels agree far too rarely are dropped; the others
-are verified on the whole shingle sets. Links form groups by connected components.
+until pairs at the threshold are met in some tree with the target recall. Classes that share such a prefix, and whose
+labels agree often enough, are connected; what is connected is a group of candidates. In a group, all pairs are verified on
+the whole shingle sets. Nodes and groups of any size are cut into chunks, pairs of chunks are the units of work, and
+what leaves a unit is a row for each member (its number of links and its root), never a row for each pair. Links form
+groups by connected components.
 
 Rows with a null doc_id or without a word (null, empty, punctuation) have no links and are a class of their own
 (class_id is their doc_id). Rows that repeat count as copies. An empty table gives no rows. Other columns are ignored.
@@ -19,12 +21,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
 TREES, LABEL = 32, 8
+#: Most members of a trie node, and of a group of candidates, in one chunk.
+NODE, GROUP = 256, 128
 WORD = re.compile(r"[^\W_]+")
 CACHED_WORDS = 300_000
 
@@ -98,109 +102,237 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, set_key binary, n_grams int, label binary")
 
 
-def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """a, b (set keys, a < b): each pair of classes that shares a prefix in some tree, once."""
-    depth, hashes = matched_prefix(threshold, recall), TREES * LABEL
+def nodes(classes: DataFrame, depth: int) -> DataFrame:
+    """tree, prefix, set_key, label, chunk_a, chunk_b: the members of trie nodes with two classes or more, dealt to pairs of chunks. A node of up to
+    NODE members is one chunk, so that most rows stay single; a larger one is cut, and each pair of its chunks is a unit of work."""
     prefixes = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("label", t * LABEL + 1, F.lit(depth)))
-    nodes = classes.select("set_key", F.posexplode(prefixes).alias("tree", "prefix"))
-    crowded = nodes.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    kept = nodes.join(crowded, ["tree", "prefix"], "left_semi").join(classes.select("set_key", "label", "n_grams"), "set_key")
-    a, b = (kept.select("tree", "prefix", *[F.col(c).alias(f"{c}_{s}") for c in ("set_key", "label", "n_grams")]) for s in "ab")
-    # eight standard deviations below the threshold's own share of equal bytes
-    least = int(hashes * (threshold - 8 * (threshold * (1 - threshold) / hashes) ** 0.5))
-    agree = F.aggregate(F.sequence(F.lit(1), F.lit(hashes)), F.lit(0), lambda s, k: s + (F.substring("label_a", k, F.lit(1)) == F.substring("label_b", k, F.lit(1))).cast("int"))
-    near_size = (F.col("n_grams_a") >= threshold * F.col("n_grams_b")) & (F.col("n_grams_b") >= threshold * F.col("n_grams_a"))
-    left, right = a.alias("l"), b.alias("r")
-    on = (F.col("l.tree") == F.col("r.tree")) & (F.col("l.prefix") == F.col("r.prefix")) & (F.col("set_key_a") < F.col("set_key_b")) & near_size
-    first = (F.col("l.tree") == 0) | ~F.exists(F.sequence(F.lit(0), F.greatest(F.col("l.tree") - 1, F.lit(0))), lambda t: F.substring("label_a", t * LABEL + 1, F.lit(depth)) == F.substring("label_b", t * LABEL + 1, F.lit(depth)))
-    return left.join(right, on & first & (agree >= least)).select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))
-
-
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """a, b, jaccard of the pairs whose whole shingle sets reach the threshold."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "set_key").join(classes.select("set_key", "rep"), "set_key")
+    rows = classes.select("set_key", F.posexplode(prefixes).alias("tree", "prefix"))
+    crowded = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    kept = rows.join(crowded, ["tree", "prefix"]).join(classes.select("set_key", "label"), "set_key")
+    return dealt(kept, F.col("size"), NODE)
+
+
+def dealt(rows: DataFrame, size: Column, most: int) -> DataFrame:
+    """Each row to the pairs of chunks that its chunk is part of."""
+    chunks = F.ceil(size / most).cast("int")
+    own = rows.withColumns({"chunks": chunks, "own": F.pmod(F.xxhash64("set_key", F.lit(3)), chunks).cast("int")})
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"chunk_a": F.least("own", "other"), "chunk_b": F.greatest("own", "other")}).drop("other", "chunks")
+
+
+def groups_of(batches: Iterable[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of equal keys in sorted batches; a run may go on over batches. Several small runs come in one table, each whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = [batch.column(batch.schema.get_field_index(k)) for k in key]
+        last = [c[batch.num_rows - 1] for c in ids]
+        cut = batch.num_rows
+        while cut and all(c[cut - 1] == v for c, v in zip(ids, last)):
+            cut -= 1
+        if held:
+            tail = [held[-1].column(held[-1].schema.get_field_index(k))[held[-1].num_rows - 1] for k in key]
+            if cut or any(c[0] != v for c, v in zip(ids, tail)):
+                if cut:
+                    first = 0
+                    while first < cut and all(c[first] == v for c, v in zip(ids, tail)):
+                        first += 1
+                    if first:
+                        held.append(batch.slice(0, first))
+                    yield pa.Table.from_batches(held)
+                    if cut > first:
+                        yield pa.Table.from_batches([batch.slice(first, cut - first)])
+                else:
+                    yield pa.Table.from_batches(held)
+                held = [batch.slice(cut)]
+                continue
+            held.append(batch)
+            continue
+        if cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def runs(table: pa.Table, key: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """(start, stop) of each run of equal keys."""
+    columns = [table[k].to_pylist() for k in key]
+    rows = list(zip(*columns))
+    start = 0
+    for k in range(1, len(rows) + 1):
+        if k == len(rows) or rows[k] != rows[start]:
+            yield start, k
+            start = k
+
+
+def roots(linked: np.ndarray) -> np.ndarray:
+    """The smallest index that each row of a symmetric boolean matrix is connected to."""
+    n = len(linked)
+    root = np.arange(n)
+    reach = linked | np.eye(n, dtype=bool)
+    while True:
+        new = np.where(reach, root[None, :], n).min(axis=1)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def alike(labels: np.ndarray, least: int) -> np.ndarray:
+    """Which pairs of labels agree in ``least`` bytes or more."""
+    out = np.zeros((len(labels), len(labels)), bool)
+    for k in range(len(labels) - 1):
+        out[k, k + 1 :] = (labels[k + 1 :] == labels[k]).sum(axis=1) >= least
+    return out | out.T
+
+
+def label_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def least_agreement(threshold: float, hashes: int = TREES * LABEL) -> int:
+    """Eight standard deviations below the share of equal bytes at the threshold."""
+    return int(hashes * (threshold - 8 * (threshold * (1 - threshold) / hashes) ** 0.5))
+
+
+def candidate_edges(members: DataFrame, threshold: float) -> DataFrame:
+    """a, b: edges that connect the classes of a node whose labels agree enough, no more of them than members."""
+    least, key = least_agreement(threshold), ("tree", "prefix", "chunk_a", "chunk_b")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups_of(batches, key):
+            keys, labels, a, b = table["set_key"].to_pylist(), label_matrix(table["label"]), [], []
+            spans = list(runs(table, key))
+            twos = np.array([s for s, e in spans if e - s == 2], int)
+            for s in twos[(labels[twos] == labels[twos + 1]).sum(axis=1) >= least] if len(twos) else ():
+                a.append(keys[s])
+                b.append(keys[s + 1])
+            for s, e in spans:
+                if e - s > 2:
+                    for k, r in enumerate(roots(alike(labels[s:e], least))):
+                        if k != r:
+                            a.append(keys[s + k])
+                            b.append(keys[s + r])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    ordered = members.repartition(*key).sortWithinPartitions(*key).select(*key, "set_key", "label")
+    return ordered.mapInArrow(run, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, pairs: bool = False) -> DataFrame:
+    """Exact links inside the groups of candidates (root, rep, set_key, label, copies, chunk_a, chunk_b, own).
+
+    By member and pair of chunks: key, root (of its links there), near (documents of other sets that it is linked to). Each pair of classes meets in one pair of
+    chunks. With ``pairs``: a row for each link instead."""
+    key, least = ("root", "chunk_a", "chunk_b"), least_agreement(threshold)
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = shingles(text, n, hashes).tobytes()
-                if xxhash.xxh128_digest(own) == key:
-                    rows.append((key, own))
-            for k in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*rows[k : k + 500])], names=["set_key", "grams"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(wanted, "rep").select("set_key", "text")
-    sets = texts.mapInArrow(grams, "set_key binary, grams binary").groupBy("set_key").agg(F.first("grams").alias("grams"))
-    both = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("grams").alias("grams_b")), "b")
+            own, last = [], (None, None)
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if last[0] != (k, text):
+                    g = shingles(text, n, hashes).tobytes()
+                    last = ((k, text), g if xxhash.xxh128_digest(g) == k else None)
+                own.append(last[1])
+            made = pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != 1), pa.array(own, pa.binary())], names=[*(x for i, x in enumerate(batch.schema.names) if i != 1), "grams"])
+            for k in range(0, made.num_rows, 2_000):
+                yield made.slice(k, 2_000).filter(made.slice(k, 2_000).column(made.num_columns - 1).is_valid())
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            similar = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                similar.append(common / (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similar, pa.float64())], names=["a", "b", "jaccard"])
-
-    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(verify, "a binary, b binary, jaccard double").where(F.col("jaccard") >= threshold)
+        for table in groups_of(batches, key):
+            labels, sets, keys = label_matrix(table["label"]), [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()], table["set_key"].to_pylist()
+            owns, copies, chunk_a, chunk_b = (table[c].to_pylist() for c in ("own", "copies", "chunk_a", "chunk_b"))
+            out: list[tuple] = []
+            for s, e in runs(table, key):
+                place = {}
+                for k in range(s, e):
+                    place.setdefault(keys[k], k)  # texts that repeat under one doc_id
+                at = sorted(place.values(), key=lambda k: keys[k])
+                near = alike(labels[at], least)
+                linked = np.zeros_like(near)
+                for i, j in zip(*np.nonzero(np.triu(near))):
+                    x, y = sets[at[i]], sets[at[j]]
+                    if chunk_a[s] != chunk_b[s] and owns[at[i]] == owns[at[j]] or min(len(x), len(y)) < threshold * max(len(x), len(y)):
+                        continue  # of one chunk: they meet where that chunk meets itself
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if common >= threshold * (len(x) + len(y) - common):
+                        linked[i, j] = linked[j, i] = True
+                        if pairs:
+                            out.append((keys[at[i]], keys[at[j]], common / (len(x) + len(y) - common)))
+                if not pairs and linked.any():
+                    weight = linked @ np.array([copies[k] for k in at])
+                    out += [(keys[at[i]], keys[at[r]], int(weight[i])) for i, r in enumerate(roots(linked)) if weight[i]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.binary(), pa.binary(), pa.float64() if pairs else pa.int64()))], names=["a", "b", "jaccard"] if pairs else ["key", "root", "near"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_of().alias("text")).join(members, "rep")
+    rows = texts.select("set_key", "text", "root", "chunk_a", "chunk_b", "own", "copies", "label").mapInArrow(grams, "set_key binary, root binary, chunk_a int, chunk_b int, own int, copies long, label binary, grams binary")
+    ordered = rows.repartition(*key).sortWithinPartitions(*key)
+    return ordered.mapInArrow(verify, "a binary, b binary, jaccard double" if pairs else "key binary, root binary, near long")
 
 
 def components(spark, links: DataFrame) -> DataFrame:
     """key, root: the smallest key that each key of ``links`` (a, b) is connected to, by alternating large and small stars."""
-    edges, before = materialize(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")), "edges"), None
+    edges, before = materialize(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges"), None
     while True:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        down = materialize(spark, large, "large-star")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        edges = materialize(spark, small, "small-star")
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        if tuple(now) == before or not now[0]:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         before = tuple(now)
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+        edges = materialize(spark, small, "stars")
 
 
 class Join:
-    """The join of a table of documents with itself: ``rows``, ``classes`` and ``links``, each stored once."""
+    """The join of a table of documents with itself: ``rows``, ``classes``, ``members`` of the groups of candidates and their ``found`` links, each stored once."""
 
     def __init__(self, docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999):
         spark = docs.sparkSession
+        self.docs, self.n, self.threshold = docs, n, threshold
         self.rows = materialize(spark, sketches(docs, n), "sketches")
         usable = self.rows.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-        self.classes = materialize(spark, usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("n_grams").alias("n_grams")), "classes")
-        self.pairs = materialize(spark, candidates(self.classes, threshold, recall), "candidates")
-        self.links = materialize(spark, verified(docs, self.classes, self.pairs, n, threshold), "links")
+        self.classes = materialize(spark, usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label")), "classes")
+        groups = materialize(spark, components(spark, candidate_edges(nodes(self.classes, matched_prefix(threshold, recall)), threshold)), "candidate-groups")
+        sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+        grouped = groups.join(sizes, "root").withColumnRenamed("key", "set_key").join(self.classes, "set_key")
+        self.members = materialize(spark, dealt(grouped, F.col("size"), GROUP), "candidate-members")
+        self.found = materialize(spark, verified(docs, self.members, n, threshold), "links")
 
     def link_pairs(self) -> DataFrame:
         """doc_a, doc_b, jaccard between the representatives of classes with different sets."""
         name = lambda s: self.classes.select(F.col("set_key").alias(s), F.col("rep").alias(f"doc_{s}"))
-        return self.links.join(name("a"), "a").join(name("b"), "b").select("doc_a", "doc_b", "jaccard")
+        return verified(self.docs, self.members, self.n, self.threshold, pairs=True).join(name("a"), "a").join(name("b"), "b").select("doc_a", "doc_b", "jaccard")
 
-    def members(self) -> DataFrame:
+    def linked(self) -> DataFrame:
         """doc_id, text_hash, class_id (smallest doc_id of the group), set_id (smallest doc_id with an equal set), n_links."""
-        roots = components(self.rows.sparkSession, self.links)
-        size = self.classes.select(F.col("set_key").alias("other"), "copies")
-        ends = self.links.select(F.col("a").alias("key"), F.col("b").alias("other")).union(self.links.select("b", "a"))
-        near = ends.join(size, "other").groupBy("key").agg(F.sum("copies").alias("near"))
-        own = self.classes.select(F.col("set_key").alias("key"), "rep", "copies").join(near, "key", "left").join(roots, "key", "left")
+        near = self.found.groupBy("key").agg(F.sum("near").alias("near"), F.min("root").alias("root"), F.count(F.lit(1)).alias("parts"))
+        # a class with links in one pair of chunks has its group's root there; only groups that were cut are joined across their chunks
+        cut = near.where("parts > 1").limit(1).count()
+        if cut:
+            joined = components(self.rows.sparkSession, self.found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
+            near = near.drop("root").join(joined, "key", "left")
+        own = self.classes.select(F.col("set_key").alias("key"), "rep", "copies").join(near, "key", "left")
         own = own.withColumns({"root": F.coalesce("root", "key"), "n_links": F.col("copies") - 1 + F.coalesce("near", F.lit(0))})
         named = own.join(own.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select(F.col("key").alias("set_key"), "class_id", F.col("rep").alias("set_id"), "n_links")
-        linked = self.rows.select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
-        return linked.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        rows = self.rows.select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, "set_key", "left")
+        return rows.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, set_id, n_links of each row of ``docs`` (doc_id, text)."""
-    return Join(docs, **options).members().drop("text_hash")
+    return Join(docs, **options).linked().drop("text_hash")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when each group keeps the row of its smallest doc_id (one row of it)."""
-    members = Join(docs, **options).members()
+    members = Join(docs, **options).linked()
     alone = members.where(F.col("doc_id").isNull() | ((F.col("doc_id") == F.col("class_id")) & (F.col("n_links") == 0)))
     first = members.where((F.col("doc_id") == F.col("class_id")) & (F.col("n_links") > 0)).groupBy("class_id").agg(F.min("text_hash").alias("text_hash"))
     stays = alone.select("doc_id", "text_hash", F.lit(False).alias("once")).distinct().unionByName(first.select(F.col("class_id").alias("doc_id"), "text_hash", F.lit(True).alias("once")))
