@@ -1,7 +1,8 @@
 """Soft-membership mixing of sources to target weights, in DataFrame functions only.
 
-The sources ("domains") are the classes of a labelled table. A naive Bayes classifier over hashed words, fitted on at
-most ``per_domain`` labelled rows of each domain, gives every document a posterior over the domains. Nonnegative rates,
+The sources ("domains") are the classes of a labelled table. A classifier over hashed words (log ratios beyond their
+error, calibrated by a logistic model), fitted on at most ``per_domain`` labelled rows of each domain, gives every document a
+posterior over the domains. Nonnegative rates,
 one per document, are then fitted so that the expected token total of each domain (rate x tokens x posterior, summed)
 matches its target: least squares by projected gradient steps in the metric of the tokens. A step needs one aggregate
 of the table, which has one number per domain and pair of domains; rates are a function of the steps so far and are
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-BUCKETS = 4_096
+BUCKETS = 8_192
 #: Words, and runs of other characters on their own.
 SPLIT = r"\s+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\s])"
 
@@ -33,15 +34,20 @@ class Mixture:
     """Domains in order, their word weights and priors, the targets in tokens, and the steps that give the rates."""
 
     domains: list[str]
+    vocabulary: list[str]
     weights: list[list[float]]
-    priors: list[float]
+    mix: list[list[float]] | None = None  # by domain: intercept, and a factor for each evidence
     targets: list[float] | None = None
     steps: list[list[float]] | None = None
     reached: list[float] | None = None
 
 
-def word_buckets(text: Column) -> Column:
-    return F.transform(F.filter(F.split(F.lower(text), SPLIT), lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
+
+
+def bucket_of(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def constant(values: list[float]) -> Column:
@@ -55,8 +61,66 @@ def summed(weights: list[float]) -> Column:
     return F.aggregate("#w", F.lit(0.0), lambda total, bucket: total + F.get(table, bucket))
 
 
-def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = 1_500, smoothing: float = 0.5) -> Mixture:
-    """``labelled``: doc_id, domain. The ids that are broadcast number at most ``per_domain`` for each domain."""
+def shrunk(own: Column, rest: Column, n_own: float, n_rest: float, sure: float = 4.0) -> Column:
+    """Log ratio of a word's share in a domain to its share in the others, less ``sure`` standard errors and 0 within them: words
+    that say nothing add nothing, however long a text is."""
+    ratio = F.log((own + 0.5) / n_own) - F.log((rest + 0.5) / n_rest)
+    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - sure * F.sqrt(1 / (own + 0.5) + 1 / (rest + 0.5)))
+
+
+def word_weights(different: DataFrame, domains: list[str], most_words: int) -> dict[str, list[float]]:
+    """The words that tell most (at most ``most_words``) with their weight for each domain; of two words in one bucket the weightier."""
+    k = range(len(domains))
+    counts = different.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.sum(F.when(F.col("domain") == d, 1.0).otherwise(0.0)).alias(f"c{i}") for i, d in enumerate(domains)])
+    counts = materialize(different.sparkSession, counts.where(sum((F.col(f"c{i}") for i in k), F.lit(0.0)) >= 5), "word-counts")
+    totals = [float(x or 0.0) for x in counts.agg(*[F.sum(f"c{i}") for i in k]).first()]
+    rest = lambda i: sum((F.col(f"c{j}") for j in k if j != i), F.lit(0.0))
+    w = counts.select("word", bucket_of(F.col("word")).alias("bucket"), F.array(*[F.round(shrunk(F.col(f"c{i}"), rest(i), totals[i] + 1, sum(totals) - totals[i] + 1), 4) for i in k]).alias("w"))
+    top = F.array_max(F.transform("w", F.abs))
+    rows = w.withColumn("top", top).where("top > 0").orderBy(F.desc("top"), "word").limit(most_words).collect()
+    taken: dict[int, str] = {}
+    for r in rows:
+        taken.setdefault(r.bucket, r.word)
+    return {r.word: [r.bucket, *r.w] for r in rows if taken[r.bucket] == r.word}
+
+
+def with_evidence(docs: DataFrame, vocabulary: list[str], weights: list[list[float]]) -> DataFrame:
+    """``docs`` with #n (tokens), #u (share of different tokens), #v (log of their number) and, for each domain, #a (weights of all
+    tokens over the root of their number) and #m (their mean)."""
+    out = docs.withColumn("#all", words_of(text_of())).withColumn("#n", F.size("#all").cast("double"))
+    out = out.withColumns({"#u": F.size(F.array_distinct("#all")) / F.greatest("#n", F.lit(1.0)), "#v": F.log1p("#n")})
+    known = F.filter("#all", lambda w: w.isin(*vocabulary)) if vocabulary else F.array().cast("array<string>")
+    out = out.withColumn("#w", F.transform(known, bucket_of))
+    k = range(len(weights))
+    out = out.withColumns({f"#s{d}": summed(w) for d, w in enumerate(weights)}).drop("#w", "#all")
+    n = F.greatest("#n", F.lit(1.0))
+    return out.withColumns({f"#a{d}": F.col(f"#s{d}") / F.sqrt(n) for d in k} | {f"#m{d}": F.col(f"#s{d}") / n for d in k}).drop(*[f"#s{d}" for d in k])
+
+
+def evidence_names(k: int) -> list[str]:
+    return ["#u", "#v", *[f"#{c}{d}" for c in "am" for d in range(k)]]
+
+
+def softmax_fit(x: np.ndarray, y: np.ndarray, k: int, ridge: float = 0.5, steps: int = 400) -> np.ndarray:
+    """Weights (k, columns) of a logistic model with a ridge, by accelerated gradient steps; the first column is the intercept."""
+    scale = np.r_[1.0, np.maximum(x[:, 1:].std(0), 1e-9)]
+    z, target = x / scale, np.eye(k)[y]
+    w, ahead = np.zeros((k, z.shape[1])), np.zeros((k, z.shape[1]))
+    size = 2.0 / (np.square(z).sum(1).mean() + ridge)
+    for t in range(steps):
+        logits = z @ ahead.T
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        new = ahead - size * ((p - target).T @ z / len(z) + ridge * np.r_[0.0, np.ones(z.shape[1] - 1)] * ahead / len(z))
+        ahead = new + t / (t + 3) * (new - w)
+        w = new
+    return w / scale
+
+
+def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = 3_000, most_words: int = 400) -> Mixture:
+    """``labelled``: doc_id, domain. The ids that are broadcast number at most ``per_domain`` for each domain. Half of them weigh the words; on the other half the
+    evidence of the words is calibrated."""
+    k = len(domains)
     own = labelled.select(F.col("doc_id").cast("long").alias("id"), F.col("domain").cast("string").alias("domain")).where(F.col("id").isNotNull() & F.col("domain").isin(*domains))
     own = own.groupBy("id").agg(F.min("domain").alias("domain"))
     picked = None
@@ -64,34 +128,48 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], per
         part = own.where(F.col("domain") == d).orderBy(F.xxhash64("id"), "id").limit(per_domain)
         picked = part if picked is None else picked.unionByName(part)
     shares = {r.domain: r.n for r in own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    words = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(F.broadcast(picked), "id").select("domain", F.explode(word_buckets(F.col("text"))).alias("bucket"))
-    counts = np.full((len(domains), BUCKETS), smoothing)
-    for r in words.groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n")).collect():  # BUCKETS rows a domain at most
-        counts[domains.index(r.domain), r.bucket] += r.n
-    logs = np.log(counts / counts.sum(1, keepdims=True))
-    prior = np.log([(shares.get(d, 0) + 1) / (sum(shares.values()) + len(domains)) for d in domains])
-    return Mixture(domains, (logs - logs.mean(0)).tolist(), prior.tolist())
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(F.broadcast(picked), "id")
+    half = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))
+    # each text once, and each word once a text: copies and repeated words are no further evidence
+    different = texts.where(half == 0).select("domain", F.array_distinct(words_of(F.col("text"))).alias("words"), F.xxhash64(F.substring("text", 1, 200)).alias("h")).groupBy("domain", "h").agg(F.first("words").alias("words"))
+    chosen = word_weights(different, domains, most_words)
+    weights = np.zeros((k, BUCKETS))
+    for bucket, *w in chosen.values():
+        weights[:, bucket] = w
+    model = Mixture(domains, sorted(chosen), weights.tolist())
+    names = evidence_names(k)
+    rows = with_evidence(texts.where(half == 1), model.vocabulary, model.weights).select("domain", *names).collect()  # numbers only
+    y = np.array([domains.index(r.domain) for r in rows], int)
+    seen = np.bincount(y, minlength=k)
+    x = np.array([[1.0, *(r[c] for c in names)] for r in rows]).reshape(len(rows), 1 + len(names))
+    w = softmax_fit(x, y, k) if (seen > 0).sum() > 1 else np.zeros((k, 1 + len(names)))
+    # the sample is balanced, the table is not
+    share = np.array([shares.get(d, 0) + 1 for d in domains], float)
+    w[:, 0] += np.log(share / share.sum()) - np.log((seen + 1) / (seen + 1).sum())
+    model.mix = w.tolist()
+    return model
 
 
-def with_posteriors(docs: DataFrame, model: Mixture, temper: float = 0.5) -> DataFrame:
+def with_posteriors(docs: DataFrame, model: Mixture) -> DataFrame:
     """``docs`` with #n (tokens) and #p0, #p1, ... (posteriors); names that no table of documents has."""
-    out = docs.withColumn("#w", word_buckets(text_of())).withColumn("#n", F.size("#w").cast("double"))
-    for k, (weights, prior) in enumerate(zip(model.weights, model.priors)):
-        out = out.withColumn(f"#s{k}", summed(weights) * temper + prior)
-    scores = [F.col(f"#s{k}") for k in range(len(model.domains))]
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    out = out.withColumns({f"#e{k}": F.exp(s - top) for k, s in enumerate(scores)})
-    total = sum((F.col(f"#e{k}") for k in range(len(scores))), F.lit(0.0))
-    out = out.withColumns({f"#p{k}": F.col(f"#e{k}") / total for k in range(len(scores))})
-    return out.drop("#w", *[f"#s{k}" for k in range(len(scores))], *[f"#e{k}" for k in range(len(scores))])
+    k = range(len(model.domains))
+    names = evidence_names(len(k))
+    out = with_evidence(docs, model.vocabulary, model.weights)
+    out = out.withColumns({f"#l{d}": sum((F.lit(w) * F.col(c) for w, c in zip(model.mix[d][1:], names)), F.lit(model.mix[d][0])) for d in k})
+    top = F.greatest(*[F.col(f"#l{d}") for d in k]) if len(k) > 1 else F.col("#l0")
+    out = out.withColumns({f"#e{d}": F.exp(F.col(f"#l{d}") - top) for d in k})
+    total = sum((F.col(f"#e{d}") for d in k), F.lit(0.0))
+    return out.withColumns({f"#p{d}": F.col(f"#e{d}") / total for d in k}).drop(*names, *[f"#{c}{d}" for c in "le" for d in k])
 
 
 def rate(steps: list[list[float]]) -> Column:
     """The rate after projected steps from 1: each step goes down along the posteriors, and never below 0."""
-    r = F.lit(1.0)
-    for y in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.lit(float(v)) * F.col(f"#p{k}") for k, v in enumerate(y)), F.lit(0.0)))
-    return r
+    if not steps:
+        return F.lit(1.0)
+    k = len(steps[0])
+    flat = F.expr(f"cast(split('{','.join(repr(float(v)) for y in steps for v in y)}', ',') as array<double>)")
+    move = lambda i: sum((F.get(flat, i * k + d) * F.col(f"#p{d}") for d in range(k)), F.lit(0.0))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), lambda r, i: F.greatest(F.lit(0.0), r - move(i)))
 
 
 def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget: str = "natural", most_steps: int = 24, tolerance: float = 1e-4) -> Mixture:
@@ -139,7 +217,7 @@ def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget
     return model
 
 
-def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: str = "natural", per_domain: int = 1_500) -> Mixture:
+def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: str = "natural", per_domain: int = 3_000) -> Mixture:
     """Classifier and rates. ``weights``: target share of tokens of each domain."""
     domains = sorted(weights)
     model = fit_classifier(docs, labelled, domains, per_domain)

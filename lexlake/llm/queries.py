@@ -12,7 +12,7 @@ from . import ann, html_text, mixing, ngram_join, packing, quality, token_binary
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
-MIX_WEIGHTS = {"clean": 0.92, "low": 0.05, "toxic": 0.03}
+MIX_WEIGHTS = {"clean": 0.86, "low": 0.07, "toxic": 0.07}
 
 
 def vocabulary() -> str:
