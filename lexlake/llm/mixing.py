@@ -5,7 +5,7 @@ error, calibrated by a logistic model), fitted on at most ``per_domain`` labelle
 posterior over the domains. Nonnegative rates,
 one per document, are then fitted so that the expected token total of each domain (rate x tokens x posterior, summed)
 matches its target: least squares by projected gradient steps in the metric of the tokens. A step needs one aggregate
-of the table, which has one number per domain and pair of domains; rates are a function of the steps so far and are
+of the table, which has one number per domain and pair of domains; rates are a function of one number for each domain and are
 never collected.
 
 A null text is the empty text, with 0 tokens and the prior as its posterior. Labelled rows with a null id or domain,
@@ -31,14 +31,14 @@ SPLIT = r"\s+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\s])"
 
 @dataclass
 class Mixture:
-    """Domains in order, their word weights and priors, the targets in tokens, and the steps that give the rates."""
+    """Domains in order, their word weights and priors, the targets in tokens, and the numbers that give the rates."""
 
     domains: list[str]
     vocabulary: list[str]
     weights: list[list[float]]
     mix: list[list[float]] | None = None  # by domain: intercept, and a factor for each evidence
     targets: list[float] | None = None
-    steps: list[list[float]] | None = None
+    z: list[float] | None = None
     reached: list[float] | None = None
 
 
@@ -162,27 +162,26 @@ def with_posteriors(docs: DataFrame, model: Mixture) -> DataFrame:
     return out.withColumns({f"#p{d}": F.col(f"#e{d}") / total for d in k}).drop(*names, *[f"#{c}{d}" for c in "le" for d in k])
 
 
-def rate(steps: list[list[float]]) -> Column:
-    """The rate after projected steps from 1: each step goes down along the posteriors, and never below 0."""
-    if not steps:
-        return F.lit(1.0)
-    k = len(steps[0])
-    flat = F.expr(f"cast(split('{','.join(repr(float(v)) for y in steps for v in y)}', ',') as array<double>)")
-    move = lambda i: sum((F.get(flat, i * k + d) * F.col(f"#p{d}") for d in range(k)), F.lit(0.0))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), lambda r, i: F.greatest(F.lit(0.0), r - move(i)))
+def rate(z: list[float]) -> Column:
+    """The rate of a document: 1, moved down along its posteriors, and never below 0."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(v)) * F.col(f"#p{k}") for k, v in enumerate(z)), F.lit(0.0)))
 
 
-def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget: str = "natural", most_steps: int = 24, tolerance: float = 1e-4) -> Mixture:
-    """Fit the steps on stored (#n, #p...) rows. ``budget``: "natural" keeps the token total; "largest" lets the domain with
-    the largest weight keep its natural total."""
+def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget: str = "natural", ridge: float = 0.002, most_steps: int = 24, tolerance: float = 1e-5) -> Mixture:
+    """Fit the rates on stored (#n, #p...) rows: least squares of the domain totals, with a small ridge that keeps rates near 1.
+
+    A gradient step in the metric of the tokens moves every rate along its document's posteriors, so after each projection the
+    rates are ``rate(z)`` for one number z for each domain; a step moves z by the gradient, scaled by the curvature of the documents
+    that are not at 0. ``budget``: "natural" keeps the token total; "largest" lets the domain with the largest weight keep its
+    natural total."""
     k = len(model.domains)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray, float]:
-        """Expected tokens by domain, their Gram matrix over documents with a rate above 0, and all tokens."""
-        r, n = rate(steps), F.col("#n")
+    def totals(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected tokens by domain, their curvature over documents with a rate above 0, and all tokens."""
+        n = F.col("#n")
         active = F.when(F.col("#r") > 0, n).otherwise(0.0)
-        row = slim.withColumn("#r", r).agg(
+        row = slim.withColumn("#r", rate(list(z))).agg(
             F.sum(n).alias("n"), *[F.sum(F.col("#r") * n * F.col(f"#p{d}")).alias(f"t{d}") for d in range(k)],
             *[F.sum(active * F.col(f"#p{i}") * F.col(f"#p{j}")).alias(f"g{i}_{j}") for i, j in pairs],
         ).first()
@@ -191,8 +190,9 @@ def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget
             g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
         return np.array([row[f"t{d}"] or 0.0 for d in range(k)]), g, row["n"] or 0.0
 
-    have, gram, every = totals([])
-    model.steps, model.targets, model.reached = [], have.tolist(), have.tolist()
+    z = np.zeros(k)
+    have, gram, every = totals(z)
+    model.z, model.targets, model.reached = z.tolist(), have.tolist(), have.tolist()
     if not every:
         return model
     wish = np.array([weights[d] if have[i] > 1e-6 * every else 0.0 for i, d in enumerate(model.domains)])
@@ -201,19 +201,19 @@ def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget
     wish /= wish.sum()
     top = int(wish.argmax())
     target = wish * (every if budget == "natural" else have[top] / wish[top])
-    damping = 1.0
-    gap = lambda t: float(np.abs(t - target).max() / target.sum())
-    while len(model.steps) < most_steps and gap(have) > tolerance:
-        y = damping * np.linalg.solve(gram + np.eye(k) * 1e-6 * every, have - target)
-        new, new_gram, _ = totals([*model.steps, y.tolist()])
-        if np.square(new - target).sum() >= np.square(have - target).sum():
-            damping /= 2
-            if damping < 1 / 64:
-                break
+    gradient = lambda t, at: t - target - ridge * every * at
+    size = 1.0
+    for _ in range(most_steps):
+        g = gradient(have, z)
+        if np.abs(g).max() <= tolerance * every:
+            break
+        new = z + size * np.linalg.solve(gram + ridge * every * np.eye(k), g)
+        t, new_gram, _ = totals(new)
+        if np.square(gradient(t, new)).sum() >= np.square(g).sum():
+            size /= 2
             continue
-        model.steps.append(y.tolist())
-        have, gram = new, new_gram
-    model.targets, model.reached = target.tolist(), have.tolist()
+        z, have, gram, size = new, t, new_gram, min(1.0, 2 * size)
+    model.z, model.targets, model.reached = z.tolist(), target.tolist(), have.tolist()
     return model
 
 
@@ -235,14 +235,14 @@ def copies() -> Column:
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
     """doc_id, n_tokens, posteriors (by domain name in order), rate, copies of each row of ``docs``."""
     model = fit(docs, labelled, weights, **options)
-    rows = with_posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).withColumn("#rate", rate(model.steps))
+    rows = with_posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).withColumn("#rate", rate(model.z))
     return rows.select("doc_id", F.col("#n").cast("long").alias("n_tokens"), F.array(*[F.col(f"#p{k}") for k in range(len(model.domains))]).alias("posteriors"), F.col("#rate").alias("rate"), copies().alias("copies"))
 
 
 def resampled(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its copies say."""
     model = fit(docs, labelled, weights, **options)
-    rows = with_posteriors(docs, model).withColumn("#rate", rate(model.steps)).withColumn("#copies", copies())
+    rows = with_posteriors(docs, model).withColumn("#rate", rate(model.z)).withColumn("#copies", copies())
     return rows.where(F.col("#copies") > 0).withColumn("#k", F.explode(F.sequence(F.lit(1), F.col("#copies")))).select(*docs.columns)
 
 
