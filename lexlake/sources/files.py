@@ -44,7 +44,7 @@ def json_manifest(spark: SparkSession, path: str) -> DataFrame:
 def text_documents(spark: SparkSession, path: str, page_break: str = "\n\f\n") -> DataFrame:
     """Files of extracted text, a row each; form feeds part the pages, empty pages go."""
     raw = spark.read.format("binaryFile").load(path)
-    pages = F.filter(F.transform(F.split(F.col("content").cast("string"), "\f"), F.trim), lambda p: p != "")
+    pages = F.filter(F.transform(F.split(F.col("content").cast("string"), "\f"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     return raw.select("path", F.sha2("content", 256).alias("sha256"), F.size(pages).alias("pages"), F.array_join(pages, page_break).alias("text"))
 
 
