@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -43,6 +44,7 @@ PRUNED_BY_P = frozenset("address article aside blockquote div dl fieldset figure
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+RAW_ENDS = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW_TAGS}
 WORD = re.compile(r"\w+")
 SPACE = re.compile(r"\s+")
 
@@ -89,70 +91,86 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, b
     return hidden, hidden
 
 
+class OpenTags:
+    """The stack of open elements, each with what holds inside it, and how many of each kind are open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, bool]] = []  # tag, in boilerplate, hidden
+        self.count: Counter[str] = Counter()
+
+    def flag(self, k: int) -> bool:
+        return bool(self.stack) and self.stack[-1][k]
+
+    def any(self, *tags: str) -> bool:
+        return any(self.count[t] for t in tags)
+
+    def open(self, tag: str, boilerplate: bool, hidden: bool) -> None:
+        self.stack.append((tag, boilerplate or self.flag(1), hidden))
+        self.count[tag] += 1
+
+    def close(self, tag: str) -> None:
+        while self.count[tag] and self.stack:
+            top = self.stack.pop()[0]
+            self.count[top] -= 1
+            if top == tag:
+                return
+
+    def nearest(self, *tags: str) -> str:
+        return next((t for t, *_ in reversed(self.stack) if t in tags), "")
+
+
+ROW_TAGS = frozenset("li dt dd tr td th option".split())
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks in page order."""
     found: list[Block] = []
     parts: list[str] = []
-    linked, stack, at = 0, [], 0  # stack: (tag, boilerplate here, hidden here)
-
-    def flag(k: int) -> bool:
-        return bool(stack) and stack[-1][k]
+    linked, at, tags = 0, 0, OpenTags()
 
     def end() -> None:
         nonlocal linked
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            tags = {t for t, *_ in stack}
-            found.append(Block(text, linked, any(re.fullmatch("h[1-6]", t) for t in tags), flag(1), bool(tags & {"article", "main"})))
+            found.append(Block(text, linked, tags.any("h1", "h2", "h3", "h4", "h5", "h6"), tags.flag(1), tags.any("article", "main")))
         parts.clear()
         linked = 0
 
     def data(text: str) -> None:
         nonlocal linked
-        if text and not flag(2):
+        if text and not tags.flag(2):
             parts.append(text)
-            if any(t == "a" for t, *_ in stack):
+            if tags.count["a"]:
                 linked += len(SPACE.sub(" ", html.unescape(text)).strip())
 
-    def close(tag: str) -> None:
-        while stack:
-            if stack.pop()[0] == tag:
-                return
-
     while m := TAG.search(page, at):
         data(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
+        tag, attributes = (m[2] or "").lower(), m[3] or ""
         if not tag:
             continue
-        open_tags = [t for t, *_ in stack]
         if m[1]:
             if tag in BLOCK_TAGS:
                 end()
-            if tag in open_tags:
-                close(tag)
+            tags.close(tag)
             continue
         if tag == "br":
             data(" ")
             continue
         if tag in BLOCK_TAGS:
             end()
-            if tag in PRUNED_BY_P and "p" in open_tags:
-                close("p")
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and tag in open_tags and not {"ul", "ol", "dl", "table"} & set(open_tags[len(open_tags) - open_tags[::-1].index(tag) :]):
-                close(tag)
+            if tag in PRUNED_BY_P:
+                tags.close("p")
+            if tag in ROW_TAGS and tags.nearest(tag, "ul", "ol", "dl", "table") == tag:
+                tags.close(tag)
         if tag in VOID_TAGS:
             continue
         if tag in RAW_TAGS:
-            ending = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
-            at = ending.end()
+            at = RAW_ENDS[tag].search(page, at).end()
             continue
-        bad, hidden = is_boilerplate(tag, m[3] or "", any(t in ("article", "main") for t, *_ in stack))
-        hidden |= tag in HIDDEN_TAGS or flag(2)
-        if not (m[3] or "").rstrip().endswith("/"):
-            stack.append((tag, bad or flag(1), hidden))
-        if len(stack) > 2_000:  # markup that never closes its inline tags
-            stack = [x for x in stack if x[0] in BLOCK_TAGS or x[1] or x[2]][-1_000:]
+        boilerplate, hidden = is_boilerplate(tag, attributes, tags.any("article", "main"))
+        if not attributes.rstrip().endswith("/"):
+            tags.open(tag, boilerplate, hidden or tag in HIDDEN_TAGS or tags.flag(2))
     data(page[at:])
     end()
     return found
