@@ -61,11 +61,13 @@ def summed(weights: list[float]) -> Column:
     return F.aggregate("#w", F.lit(0.0), lambda total, bucket: total + F.get(table, bucket))
 
 
-def shrunk(own: Column, rest: Column, n_own: float, n_rest: float, sure: float = 4.0) -> Column:
-    """Log ratio of a word's share in a domain to its share in the others, less ``sure`` standard errors and 0 within them: words
-    that say nothing add nothing, however long a text is."""
+def sure_weight(own: Column, rest: Column, n_own: float, n_rest: float, sure: float = 5.0) -> Column:
+    """Log ratio of a word's share in a domain to its share in the others where the two differ by ``sure`` standard errors, else 0:
+    words that say nothing add nothing, however long a text is."""
     ratio = F.log((own + 0.5) / n_own) - F.log((rest + 0.5) / n_rest)
-    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - sure * F.sqrt(1 / (own + 0.5) + 1 / (rest + 0.5)))
+    pooled = (own + rest) / (n_own + n_rest)
+    z = (own / n_own - rest / n_rest) / F.sqrt(pooled * (1 - pooled) * (1 / n_own + 1 / n_rest))
+    return F.when(F.abs(z) >= sure, ratio).otherwise(0.0)
 
 
 def word_weights(different: DataFrame, domains: list[str], most_words: int) -> dict[str, list[float]]:
@@ -75,7 +77,7 @@ def word_weights(different: DataFrame, domains: list[str], most_words: int) -> d
     counts = materialize(different.sparkSession, counts.where(sum((F.col(f"c{i}") for i in k), F.lit(0.0)) >= 5), "word-counts")
     totals = [float(x or 0.0) for x in counts.agg(*[F.sum(f"c{i}") for i in k]).first()]
     rest = lambda i: sum((F.col(f"c{j}") for j in k if j != i), F.lit(0.0))
-    w = counts.select("word", bucket_of(F.col("word")).alias("bucket"), F.array(*[F.round(shrunk(F.col(f"c{i}"), rest(i), totals[i] + 1, sum(totals) - totals[i] + 1), 4) for i in k]).alias("w"))
+    w = counts.select("word", bucket_of(F.col("word")).alias("bucket"), F.array(*[F.round(sure_weight(F.col(f"c{i}"), rest(i), totals[i] + 1, sum(totals) - totals[i] + 1), 4) for i in k]).alias("w"))
     top = F.array_max(F.transform("w", F.abs))
     rows = w.withColumn("top", top).where("top > 0").orderBy(F.desc("top"), "word").limit(most_words).collect()
     taken: dict[int, str] = {}
