@@ -18,9 +18,7 @@ WEIGHTS = {"clean": 0.98, "toxic": 0.02}
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
-    labels = table(spark, sf_dir, "labels")
-    scored = quality.score(docs, quality.fit(docs, labels), tuple(docs.columns))
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, sample_chars
     return model.calibrate([model.features(t) for _, t in split[1]], y)
 
 
-def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """``docs`` with ``columns`` kept, and score and predicted added; every whole text is scored in one pass."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(pickle.dumps((model.good, model.bad, model.weights, model.mean, model.scale)))
@@ -137,11 +137,18 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ()) -> DataF
             s = own.scores([own.features(t) for t in texts]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=[*batch.schema.names[:-1], "score", "predicted"])
 
-    kept = docs.select(*columns, text_of().alias("text to score"))
+    kept = docs.select(*columns, text_of(text).alias("text to score"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(run, f"{schema}{', ' if schema else ''}score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not reject. Columns get plain names on the way, so that none clashes."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    scored = score(docs.toDF(*names), model, tuple(names), names[docs.columns.index("text")])
+    return scored.where("predicted = 1").select(*names).toDF(*docs.columns)
+
+
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs``."""
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, **options), ("doc_id",))

@@ -149,6 +149,14 @@ def test_quality_without_one_kind_of_label(spark, kinds):
     assert len(got) == len(rows) and {r.predicted for r in got} == ({0} if kinds == (0,) else {1})
 
 
+def test_accepted_rows_keep_their_columns(spark):
+    rows, labels = labelled_rows()
+    docs, lab = spark.createDataFrame(rows, DOCS).withColumn("predicted", F.lit("clash")), spark.createDataFrame(labels, LABELS)
+    kept = quality.accepted(docs, quality.fit(docs, lab))
+    want = sorted(r.doc_id for r in quality.classify(docs, lab).collect() if r.predicted == 1 and r.doc_id is not None)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want
+
+
 WEIGHTS = {"clean": 0.8, "low": 0.15, "toxic": 0.05}
 
 
