@@ -18,6 +18,7 @@ from lexlake.operators import resolve as R
 from lexlake.operators import search as Q
 from lexlake.plans.adapters import REF_DATE, oracle, role
 from lexlake.schemas import VOTES
+from lexlake.sources import rosters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -630,3 +631,93 @@ def circuit_detect(spark, d):
 @query()
 def text_structure(spark, d):
     return T.text_structure(role(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw_text")))
+
+
+# --- more of loading and resolution ------------------------------------------------------------------------------------------------------
+
+@query("SELECT page_id, '' AS role, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS full_name FROM pages")
+def roster_headings(spark, d):
+    return rosters.headings(role(spark, d, "pages")).drop("slug")
+
+
+@query("SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*?href=\"[^\"]*\"[^>]*>')) AS a FROM pages) GROUP BY ALL")
+def roster_links(spark, d):
+    return rosters.links(role(spark, d, "pages"), "https://courts.example").groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN CASE s_nationkey % 2 WHEN 0 THEN 'MN' ELSE 'NH' END END AS state FROM supplier")
+def host_router(spark, d):
+    host = F.expr("CASE s_suppkey % 3 WHEN 0 THEN concat(CASE s_nationkey % 2 WHEN 0 THEN 'mn' ELSE 'www.nh' END, '.site.org:8080') WHEN 1 THEN 'site.org' ELSE 'long.site.org' END")
+    return role(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), S.state_of_host(host).alias("state"))
+
+
+@query("SELECT id, CASE WHEN reporter_cite = '' AND n.new IS NOT NULL THEN n.new ELSE reporter_cite END AS reporter_cite FROM opinion LEFT JOIN (SELECT l_orderkey AS k, arg_max('x ' || l_partkey, l_linenumber * 1000000 + l_partkey) AS new FROM lineitem GROUP BY ALL) n ON n.k = id", "opinion")
+def reporter_cite_load(spark, d):
+    op, li = tables(spark, d, "opinion", "lineitem")
+    mapping = li.select(F.col("l_orderkey").alias("cluster_id"), F.concat(F.lit("x "), "l_partkey").alias("reporter_cite"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("seq"))
+    return R.reporter_cites(op.withColumn("cluster_id", F.col("id")), mapping).select("id", "reporter_cite")
+
+
+@query("SELECT DISTINCT l_orderkey AS opinion_id, l_partkey % 90 || ' A.2d ' || l_suppkey AS cite FROM lineitem WHERE l_linenumber <> 2 AND l_orderkey IN (SELECT id FROM opinion) AND l_orderkey % 9 <> 0", "opinion")
+def parallel_cite_load(spark, d):
+    op, li = tables(spark, d, "opinion", "lineitem")
+    rows = li.select(F.col("l_orderkey").alias("cluster_id"), F.when(F.col("l_linenumber") == 2, F.lit("2020 LEXIS 5")).otherwise(F.concat(F.col("l_partkey") % 90, F.lit(" A.2d "), "l_suppkey")).alias("cite"), F.lit("A.2d").alias("reporter"))
+    old = rows.where("cluster_id % 9 = 0").select(F.col("cluster_id").alias("opinion_id"), "cite")
+    return R.parallel_cites(rows, op.withColumn("cluster_id", F.col("id")), old).select("opinion_id", "cite")
+
+
+@query("SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 5 = 0 THEN c_nationkey ELSE 99 END AS BIGINT) AS court_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 3 = 2")
+def division_rehoming(spark, d):
+    op, courts = tables(spark, d, "opinion", "court")
+    rows = op.join(courts.where("division = '1'").select(F.col("id").alias("court_id"), "state_code", "level", F.col("name").alias("own")), "court_id").withColumn("state_code", F.col("own"))
+    places = courts.where("division = '1'").withColumn("state_code", F.col("name"))
+    return R.rehome(rows, places, F.lit(99).cast("long"), F.when(F.col("id") % 5 == 0, "1")).select("id", "court_id")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 1")
+def not_yet_parsed(spark, d):
+    docs = role(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("MN").alias("state_code"), F.col("text").alias("raw_text"))
+    log = docs.where("id % 3 = 0").select(F.col("id").alias("opinion_id"), F.lit("MN").alias("parser_state"), F.when(F.col("id") % 2 == 0, F.sha2("raw_text", 256)).otherwise("old").alias("raw_text_sha256"))
+    return I.not_logged(docs, log).select("id")
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'new' END AS new_role FROM supplier WHERE s_suppkey % 4 <> 1")
+def manifest_changes(spark, d):
+    s = role(spark, d, "supplier")
+    rows = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 4 != 1, "old").alias("role"))
+    manifest = s.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, "new").alias("role"))
+    return I.changed_fields(rows, manifest, ("id",), ("role",)).select("id", "new_role")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS dated, avg(CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '1995-12-29' AND DATE '2000-01-04' THEN 1.0 ELSE 0.0 END) AS share, avg(CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '1995-12-29' AND DATE '2000-01-04' THEN 1.0 ELSE 0.0 END) >= 0.8 AS honoured FROM orders")
+def window_gate(spark, d):
+    rows = role(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("iso_date"))
+    return I.window_honoured(rows, "1996-01-01", "2000-01-01")
+
+
+@query("SELECT CAST(low AS DATE) AS low, least(CAST(low AS DATE) + 29, DATE '1996-12-31') AS high FROM range(DATE '1995-01-01', DATE '1997-01-01', INTERVAL 30 DAY) t(low)")
+def window_iterator(spark, d):
+    return I.windows(spark, "1995-01-01", "1996-12-31", 30)
+
+
+@query(f"WITH {MAP_SQL}, o AS (SELECT citing_id, opinion_id AS cited_id FROM edge JOIN m USING (cite) WHERE source = 'bulk'), c AS (SELECT o.id AS oid, state_code FROM opinion o JOIN court c ON c.id = o.court_id) SELECT DISTINCT citing_id, cited_id FROM o JOIN c ON oid = citing_id WHERE state_code IN ('MN', 'AZ') AND citing_id <> cited_id AND citing_id % 10 <> 0", "opinion", "edge", "court")
+def bulk_edge_load(spark, d):
+    op, courts = tables(spark, d, "opinion", "court")
+    found = role(spark, d, "edge").where("source = 'bulk'").join(G.cite_map(op), "cite").select(F.col("citing_id").alias("citing_cluster_id"), F.col("opinion_id").alias("cited_cluster_id"))
+    clusters = op.join(courts.select(F.col("id").alias("court_id"), "state_code"), "court_id").select(F.col("id").alias("cluster_id"), F.col("id").alias("opinion_id"), "state_code")
+    old = found.where("citing_cluster_id % 10 = 0").select(F.col("citing_cluster_id").alias("citing_id"), F.col("cited_cluster_id").alias("cited_id"))
+    return G.bulk_edges(found, clusters, old)
+
+
+@query("SELECT id, CASE WHEN id % 4 = 0 THEN CASE WHEN id % 12 = 0 THEN 'filled' ELSE 'corrected' END WHEN id % 12 = 0 THEN 'unchanged' ELSE 'cleared' END AS action FROM opinion", "opinion")
+def disposition_backfill(spark, d):
+    op = role(spark, d, "opinion")
+    parsed = op.where("id % 4 = 0").select("id", F.lit("Something else").alias("disposition"), F.lit(0.9).alias("confidence"))
+    return I.backfill_dispositions(op, parsed, 0.5, recompute=True).select("id", "action")
+
+
+@query("WITH s AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM s) SELECT user_id, CAST(count(*) AS BIGINT) AS n, min(ts) AS start FROM k GROUP BY user_id, s")
+def user_sessions(spark, d):
+    from lexlake.streaming.pipelines import sessions
+
+    return sessions(role(spark, d, "events")).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))
