@@ -59,7 +59,7 @@ def load_opinions(dockets: DataFrame, clusters: DataFrame, courts: DataFrame, ex
     """New opinions: first title that is not blank, a date and a court; a docket number of its own where there is none; known clusters and keys left out."""
     name = F.coalesce(*[S.blank_to_null(F.col(c)) for c in ("case_name", "case_name_full", "case_name_short")])
     rows = clusters.join(dockets.select(F.col("id").alias("docket_id"), "docket_number", F.col("court_id").alias("source_court")), "docket_id")
-    rows = rows.join(F.broadcast(courts.select(F.col("courtlistener_id").alias("source_court"), F.col("id").alias("court_id"))), "source_court")
+    rows = rows.join(F.broadcast(courts.select(F.col("external_id").alias("source_court"), F.col("id").alias("court_id"))), "source_court")
     number = F.coalesce(S.blank_to_null(F.col("docket_number")), F.concat(F.lit("cl-"), F.col("id")))
     rows = rows.select(F.col("id").alias("cluster_id"), "court_id", number.alias("case_number"), name.alias("title"), F.try_to_date("date_filed", "yyyy-MM-dd").alias("release_date"), "disposition", (F.col("precedential_status") == "Published").alias("is_precedential"))
     fresh = rows.where("title IS NOT NULL AND release_date IS NOT NULL").join(existing.select("cluster_id"), "cluster_id", "left_anti")
@@ -69,18 +69,18 @@ def load_opinions(dockets: DataFrame, clusters: DataFrame, courts: DataFrame, ex
 def load_judges(people: DataFrame, positions: DataFrame, courts: DataFrame, primary: tuple[str, ...]) -> DataFrame:
     """Judges with their main court (first of ``primary``, earliest start) and earliest appointment; slugs made unique by -2, -3, ..."""
     rank = priority(F.col("court_id"), primary)
-    at = positions.join(F.broadcast(courts.select(F.col("courtlistener_id").alias("court_id"), F.col("id").alias("own_court"))), "court_id").withColumn("start", F.try_to_date("date_start", "yyyy-MM-dd"))
+    at = positions.join(F.broadcast(courts.select(F.col("external_id").alias("court_id"), F.col("id").alias("own_court"))), "court_id").withColumn("start", F.try_to_date("date_start", "yyyy-MM-dd"))
     main = at.groupBy("person_id").agg(F.min_by("own_court", F.struct(rank, F.col("start").isNull(), "start", "own_court")).alias("court_id"), F.min("start").alias("appointment_date"))
     name = S.collapse(F.concat_ws(" ", "name_first", "name_middle", "name_last", "name_suffix"))
-    rows = people.join(main, people.id == main.person_id).select(people.id.alias("courtlistener_id"), "court_id", "appointment_date", name.alias("full_name")).withColumn("base", S.slugify(F.col("full_name")))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("courtlistener_id"))
+    rows = people.join(main, people.id == main.person_id).select(people.id.alias("external_id"), "court_id", "appointment_date", name.alias("full_name")).withColumn("base", S.slugify(F.col("full_name")))
+    n = F.row_number().over(Window.partitionBy("base").orderBy("external_id"))
     return rows.withColumn("slug", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n))).drop("base")
 
 
 def load_panel(panel: DataFrame, opinions: DataFrame, judges: DataFrame, existing: DataFrame) -> DataFrame:
     """Votes of panels that are new; the export does not say how, so all join the majority."""
     rows = panel.join(opinions.select(F.col("cluster_id").alias("opinioncluster_id"), F.col("id").alias("opinion_id")), "opinioncluster_id")
-    rows = rows.join(judges.select(F.col("courtlistener_id").alias("person_id"), F.col("id").alias("judge_id")), "person_id").select("opinion_id", "judge_id").distinct()
+    rows = rows.join(judges.select(F.col("external_id").alias("person_id"), F.col("id").alias("judge_id")), "person_id").select("opinion_id", "judge_id").distinct()
     return rows.join(existing.select("opinion_id", "judge_id"), ["opinion_id", "judge_id"], "left_anti").withColumn("vote_type", F.lit("MAJORITY_JOIN"))
 
 

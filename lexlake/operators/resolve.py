@@ -43,7 +43,7 @@ def docket_lookup(requests: DataFrame, opinions: DataFrame, courts: DataFrame) -
 def metadata_score() -> Column:
     """How much a judge's row tells; weights are fixed values."""
     has = lambda c: F.trim(S.text_or_blank(F.col(c))) != ""
-    terms = [(has("bio_summary"), 4), (F.col("is_currently_seated"), 4), (has("photo_url"), 2), (has("bio_url"), 1), (F.col("appointment_date").isNotNull(), 1), (has("courtlistener_id"), 1),
+    terms = [(has("bio_summary"), 4), (F.col("is_currently_seated"), 4), (has("photo_url"), 2), (has("bio_url"), 1), (F.col("appointment_date").isNotNull(), 1), (has("external_id"), 1),
              (F.col("court_id").isNotNull(), 1), (has("status") & (F.col("status") != "UNKNOWN"), 1), (has("role") & (F.col("role") != "UNKNOWN"), 1)]
     return sum((F.when(F.coalesce(t, F.lit(False)), w).otherwise(0) for t, w in terms), F.lit(0))
 

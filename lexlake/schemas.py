@@ -1,14 +1,14 @@
 """Schemas of the role tables, as Spark DDL. The empty string means missing in text columns."""
 
 STATE = "code STRING, name STRING, slug STRING, is_live BOOLEAN"
-COURT = "id BIGINT, state_code STRING, level STRING, division STRING, name STRING, slug STRING, courtlistener_id STRING"
+COURT = "id BIGINT, state_code STRING, level STRING, division STRING, name STRING, slug STRING, external_id STRING"
 JUDGE = (
     "id BIGINT, state_code STRING, court_id BIGINT, full_name STRING, slug STRING, status STRING, role STRING, is_currently_seated BOOLEAN, appointment_date DATE, "
-    "bio_url STRING, bio_summary STRING, photo_url STRING, courtlistener_id STRING, cl_absent BOOLEAN, source_id STRING"
+    "bio_url STRING, bio_summary STRING, photo_url STRING, external_id STRING, cl_absent BOOLEAN, source_id STRING"
 )
 OPINION = (
     "id BIGINT, court_id BIGINT, case_number STRING, reporter_cite STRING, title STRING, release_date DATE, is_precedential BOOLEAN, disposition STRING, disposition_bucket STRING, raw_text STRING, "
-    "courtlistener_id STRING, sha256 STRING, review_status STRING, holding_summary STRING, holding_source_paras ARRAY<INT>, embedding_pending BOOLEAN"
+    "external_id STRING, sha256 STRING, review_status STRING, holding_summary STRING, holding_source_paras ARRAY<INT>, embedding_pending BOOLEAN"
 )
 PANEL_VOTE = "id BIGINT, opinion_id BIGINT, judge_id BIGINT, vote_type STRING"
 STATUTE = "chapter STRING, section STRING, subdivision STRING, reference_slug STRING, reference_display STRING, text_offset INT"

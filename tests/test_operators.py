@@ -81,12 +81,12 @@ def test_docket_lookup_tiers(spark):
 def test_loading(spark):
     clusters = spark.createDataFrame([("1", "7", "", "Full", "", "2020-01-02", "Affirmed", "Published"), ("2", "7", "", "", "", "2020-01-02", "", "x"), ("3", "8", "N", "", "", "bad", "", "x"), ("4", "8", "Name", "", "", "2020-01-03", "", "x")], "id string, docket_id string, case_name string, case_name_full string, case_name_short string, date_filed string, disposition string, precedential_status string")
     dockets = spark.createDataFrame([("7", "A1", "minn"), ("8", "", "minn")], "id string, docket_number string, court_id string")
-    courts = spark.createDataFrame([(5, "minn")], "id long, courtlistener_id string")
+    courts = spark.createDataFrame([(5, "minn")], "id long, external_id string")
     assert got(I.load_opinions(dockets, clusters, courts, spark.createDataFrame([], "cluster_id string")), "cluster_id", "case_number", "title", "is_precedential") == [("1", "A1", "Full", True), ("4", "cl-4", "Name", False)]
     people = spark.createDataFrame([("p1", "Ann", "", "Lee", ""), ("p2", "Ann", "", "Lee", None)], "id string, name_first string, name_middle string, name_last string, name_suffix string")
     pos = spark.createDataFrame([("p1", "minn", "2001-01-01"), ("p1", "minn", "1999-01-01"), ("p2", "minn", "")], "person_id string, court_id string, date_start string")
     j = I.load_judges(people, pos, courts, ("minn",))
-    assert got(j, "courtlistener_id", "court_id", "slug") == [("p1", 5, "ann-lee"), ("p2", 5, "ann-lee-2")] and j.where("slug = 'ann-lee'").first().appointment_date == datetime.date(1999, 1, 1)
+    assert got(j, "external_id", "court_id", "slug") == [("p1", 5, "ann-lee"), ("p2", 5, "ann-lee-2")] and j.where("slug = 'ann-lee'").first().appointment_date == datetime.date(1999, 1, 1)
     panel = spark.createDataFrame([("1", "p1"), ("1", "p1"), ("9", "p1")], "opinioncluster_id string, person_id string")
     ops = spark.createDataFrame([(10, "1")], "id long, cluster_id string")
     assert got(I.load_panel(panel, ops, j.withColumn("id", F.lit(3)), spark.createDataFrame([], "opinion_id long, judge_id long"))) == [(10, 3, "MAJORITY_JOIN")]
