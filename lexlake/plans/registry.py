@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexlake.functions import legal_patterns as P
 from lexlake.functions import legal_text as T
 from lexlake.functions import scalars as S
 from lexlake.operators import analytics as A
