@@ -133,7 +133,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], per
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(F.broadcast(picked), "id")
     half = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))
     # each text once, and each word once a text: copies and repeated words are no further evidence
-    different = texts.where(half == 0).select("domain", F.array_distinct(words_of(F.col("text"))).alias("words"), F.xxhash64(F.substring("text", 1, 200)).alias("h")).groupBy("domain", "h").agg(F.first("words").alias("words"))
+    different = texts.where(half == 0).select("domain", F.array_distinct(words_of(F.col("text"))).alias("words"), F.xxhash64("text").alias("h")).groupBy("domain", "h").agg(F.first("words").alias("words"))
     chosen = word_weights(different, domains, most_words)
     weights = np.zeros((k, BUCKETS))
     for bucket, *w in chosen.values():
