@@ -219,32 +219,42 @@ def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget
     return model
 
 
-def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: str = "natural", per_domain: int = 3_000) -> Mixture:
-    """Classifier and rates. ``weights``: target share of tokens of each domain."""
+def fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: str = "natural", per_domain: int = 3_000, keep: tuple[str, ...] = ()) -> tuple[Mixture, DataFrame]:
+    """Classifier and rates, and the stored rows that they were fitted on: the columns ``keep`` of ``docs``, #draw, #n, #p0, ..."""
     domains = sorted(weights)
     model = fit_classifier(docs, labelled, domains, per_domain)
-    columns = ["#n", *[f"#p{k}" for k in range(len(domains))]]
-    slim = materialize(docs.sparkSession, with_posteriors(docs.select("text"), model).select(*columns), "posteriors")
-    return fit_rates(slim, model, weights, budget)
+    rows = with_posteriors(docs.select(*keep, draw().alias("#draw"), "text"), model)
+    slim = materialize(docs.sparkSession, rows.select(*keep, "#draw", "#n", *[f"#p{k}" for k in range(len(domains))]), "posteriors")
+    return fit_rates(slim, model, weights, budget), slim
+
+
+def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> Mixture:
+    """Classifier and rates. ``weights``: target share of tokens of each domain."""
+    return fitted(docs, labelled, weights, **options)[0]
 
 
-def copies() -> Column:
-    """The rate, rounded up or down by a hash of the row, so that it is met in expectation."""
-    u = F.pmod(F.xxhash64("doc_id", text_of()), F.lit(1 << 20)) / float(1 << 20)
-    return F.floor(F.col("#rate") + u).cast("int")
+def draw() -> Column:
+    """A number in [0, 1) from a hash of the row."""
+    return F.pmod(F.xxhash64("doc_id", text_of()), F.lit(1 << 20)) / float(1 << 20)
+
+
+def copies(drawn: Column) -> Column:
+    """The rate, rounded up or down by the row's draw, so that it is met in expectation."""
+    return F.floor(F.col("#rate") + drawn).cast("int")
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
-    """doc_id, n_tokens, posteriors (by domain name in order), rate, copies of each row of ``docs``."""
-    model = fit(docs, labelled, weights, **options)
-    rows = with_posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).withColumn("#rate", rate(model.z))
-    return rows.select("doc_id", F.col("#n").cast("long").alias("n_tokens"), F.array(*[F.col(f"#p{k}") for k in range(len(model.domains))]).alias("posteriors"), F.col("#rate").alias("rate"), copies().alias("copies"))
+    """doc_id, n_tokens, posteriors (by domain name in order), rate, copies of each row of ``docs``; texts are scored once."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model, rows = fitted(slim, labelled, weights, keep=("doc_id",), **options)
+    rows = rows.withColumn("#rate", rate(model.z))
+    return rows.select("doc_id", F.col("#n").cast("long").alias("n_tokens"), F.array(*[F.col(f"#p{k}") for k in range(len(model.domains))]).alias("posteriors"), F.col("#rate").alias("rate"), copies(F.col("#draw")).alias("copies"))
 
 
 def resampled(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its copies say."""
     model = fit(docs, labelled, weights, **options)
-    rows = with_posteriors(docs, model).withColumn("#rate", rate(model.z)).withColumn("#copies", copies())
+    rows = with_posteriors(docs, model).withColumn("#rate", rate(model.z)).withColumn("#copies", copies(draw()))
     return rows.where(F.col("#copies") > 0).withColumn("#k", F.explode(F.sequence(F.lit(1), F.col("#copies")))).select(*docs.columns)
 
 
