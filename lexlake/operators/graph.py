@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake.functions import scalars as S
+from lexlake.operators.numbering import with_position
+from lexlake.operators.stored import fresh_dir, store
 
 # Phrases that tell how a court treats what it cites, strongest first. Read without regard to case.
 TREATMENTS = (
@@ -91,39 +93,99 @@ def top_cited(edges: DataFrame, opinions: DataFrame, limit: int = 10) -> DataFra
     return top.join(opinions.select(F.col("id").alias("cited_id"), "title"), "cited_id").select("cited_id", "title", "citing_count", "edge_count")
 
 
-CLUSTERED = "edge_id long, cited_id long, cluster_label int, is_cluster_lead boolean"
+BLOCK = 2048  # rows that are read in order, or compared, in one piece
 
 
-def greedy_clusters(passages: DataFrame, threshold: float = 0.88) -> DataFrame:
+def first_like(vectors: np.ndarray, seeds: np.ndarray, threshold: float) -> np.ndarray:
+    """For each vector the first seed that is at least ``threshold`` similar, or -1."""
+    out = np.full(len(vectors), -1)
+    for k in range(0, len(vectors) if len(seeds) else 0, 256):
+        like = vectors[k : k + 256] @ seeds.T >= threshold
+        out[k : k + 256] = np.where(like.any(axis=1), like.argmax(axis=1), -1)
+    return out
+
+
+def greedy_clusters(passages: DataFrame, threshold: float = 0.88, block: int = BLOCK) -> DataFrame:
     """Labels of the passages that cite one opinion (edge_id, cited_id, release_date, text_offset, quote, vector).
 
     Passages come newest first; each joins the first cluster whose first member is at least ``threshold`` similar, or
     starts one. The lead is the longest quote, the first on a tie. Passages without a vector are clusters of their own,
-    and leads if they have a quote. The order makes this sequential for one opinion; an opinion's passages are one group."""
-
-    def label(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.assign(date=pd.to_datetime(group["release_date"])).sort_values(["date", "text_offset", "edge_id"], ascending=[False, True, True], kind="stable")
-        seeds, labels, members = [], {}, {}
-        has = g["vector"].map(lambda v: v is not None and len(v) > 0)
-        for e, v in zip(g.loc[has, "edge_id"], g.loc[has, "vector"]):
-            v = np.asarray(v, float)
-            length = np.linalg.norm(v)
-            unit = v / length if length else v
-            found = next((k for k, s in enumerate(seeds) if float(s @ unit) >= threshold), None)
-            if found is None:
-                found = len(seeds)
-                seeds.append(unit)
-            labels[e] = found
-            members.setdefault(found, []).append(e)
-        quote = dict(zip(g["edge_id"], g["quote"].fillna("")))
-        leads = {max(m, key=lambda e: len(quote[e])) for m in members.values()}
-        for k, e in enumerate(g.loc[~has, "edge_id"]):
-            labels[e] = len(seeds) + k
-            if quote[e]:
-                leads.add(e)
-        return pd.DataFrame({"edge_id": g["edge_id"], "cited_id": g["cited_id"], "cluster_label": [labels[e] for e in g["edge_id"]], "is_cluster_lead": [e in leads for e in g["edge_id"]]})
-
-    return passages.groupBy("cited_id").applyInPandas(label, CLUSTERED)
+    and leads if they have a quote.
+
+    Passages are numbered in that order and cut into blocks. In each round the first passages that are still without a
+    cluster, at most ``block`` of an opinion, are read in order; all later ones are then compared with the clusters that
+    these have started, block by block, and those like none go on. An earlier cluster comes first, as all passages of a round
+    have been compared with all clusters before it. An opinion with n clusters takes at least n / ``block`` rounds."""
+    spark = passages.sparkSession
+    last, unlike = F.lit(2**63 - 1), F.col("cluster_label").isNull()
+    age = F.coalesce(-F.unix_micros(F.col("release_date").cast("timestamp")), last)
+    rows = passages.select(
+        "edge_id", "cited_id", F.coalesce(F.col("cited_id").cast("string"), F.lit("")).alias("opinion"), age.alias("age"), F.coalesce(F.col("text_offset").cast("long"), last).alias("place"),
+        F.length(F.coalesce("quote", F.lit(""))).alias("quoted"), F.when(F.size("vector") > 0, F.col("vector").cast("array<double>")).alias("vector"),
+    )
+    rows = with_position(rows, "opinion", "age", "place", "edge_id").withColumn("block", F.expr(f"(pos - 1) div {block}")).drop("age", "place")
+    rows = store(rows, fresh_dir(spark, "passages"))
+
+    def units(column: pd.Series) -> np.ndarray:
+        v = np.stack(column.to_list()).astype(float)
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        return v / np.where(length == 0, 1, length)
+
+    def read_in_order(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("pos")
+        vectors, base = units(g["vector"]), int(g["base"].iloc[0])
+        seeds, starts, labels = np.empty_like(vectors), [], []
+        for k, v in enumerate(vectors):
+            like = seeds[: len(starts)] @ v >= threshold
+            found = int(like.argmax()) if like.any() else len(starts)
+            if found == len(starts):
+                seeds[found] = v
+                starts.append(k)
+            labels.append(base + found)
+        begun = set(starts)
+        return pd.DataFrame({"opinion": g["opinion"], "pos": g["pos"], "cluster_label": labels, "seed": [v if k in begun else None for k, v in enumerate(vectors)]})
+
+    def compare(group: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
+        s = seeds.sort_values("cluster_label")
+        at = first_like(units(group["vector"]), np.stack(s["seed"].to_list()), threshold) if len(group) else np.empty(0, int)
+        labels = pd.Series(s["cluster_label"].to_numpy()[at] if len(at) else at, index=group.index, dtype="Int32").mask(at < 0)
+        return group[["opinion", "block", "pos"]].assign(cluster_label=labels)
+
+    kept, counted, k = fresh_dir(spark, "clusters"), [F.count(F.lit(1)).alias("n")], 0
+    left, base = rows.where("vector IS NOT NULL"), spark.createDataFrame([], "opinion string, base int")
+    while True:
+        until = F.sum("n").over(Window.partitionBy("opinion").orderBy("block"))
+        blocks = left.groupBy("opinion", "block").agg(*counted).withColumn("until", until).withColumn("first", (F.col("until") <= block) | (F.col("until") == F.col("n")))
+        blocks = store(blocks.join(base, "opinion", "left").fillna(0, "base"), fresh_dir(spark, "blocks"))
+        front = left.join(blocks.where("first").select("opinion", "block", "base"), ["opinion", "block"]).select("opinion", "pos", "base", "vector")
+        labelled = store(front.groupBy("opinion").applyInPandas(read_in_order, "opinion string, pos long, cluster_label int, seed array<double>"), f"{kept}/front/round={k}")
+        later = blocks.where("NOT first")
+        if later.isEmpty():
+            break
+        span = later.groupBy("opinion").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+        seeds = labelled.where("seed IS NOT NULL").join(span, "opinion").repartition("pos").select("opinion", F.explode(F.sequence("low", "high")).alias("block"), "cluster_label", "seed")
+        rest = left.join(later.select("opinion", "block"), ["opinion", "block"], "left_semi").select("opinion", "block", "pos", "vector")
+        compared = store(rest.groupBy("opinion", "block").cogroup(seeds.groupBy("opinion", "block")).applyInPandas(compare, "opinion string, block long, pos long, cluster_label int"), f"{kept}/rest/round={k}")
+        if compared.where(unlike).isEmpty():
+            break
+        base = labelled.groupBy("opinion").agg((F.max("cluster_label") + 1).alias("base"))
+        left, k = rows.join(compared.where(unlike).select("pos"), "pos", "left_semi"), k + 1
+
+    read = lambda part: spark.read.schema("opinion string, pos long, cluster_label int").parquet(f"{kept}/{part}").select("opinion", "pos", "cluster_label")
+    found = read("front")
+    if k or not later.isEmpty():
+        found = found.unionByName(read("rest").where(~unlike))
+    in_clusters = rows.select("pos", "edge_id", "cited_id", "quoted").join(found, "pos")
+    lead = in_clusters.groupBy("opinion", "cluster_label").agg(F.min_by("pos", F.struct(-F.col("quoted"), "pos")).alias("pos")).select("pos", F.lit(True).alias("lead"))
+    in_clusters = in_clusters.join(lead, "pos", "left").select("edge_id", "cited_id", "cluster_label", F.coalesce("lead", F.lit(False)).alias("is_cluster_lead"))
+
+    alone = rows.where("vector IS NULL").select("opinion", "block", "pos", "edge_id", "cited_id", "quoted")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("opinion").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    clusters = found.groupBy("opinion").agg((F.max("cluster_label") + 1).alias("clusters"))
+    offsets = alone.groupBy("opinion", "block").agg(*counted).withColumn("before", before).join(clusters, "opinion", "left").select("opinion", "block", (F.coalesce("clusters", F.lit(0)) + F.col("before")).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("opinion", "block").orderBy("pos")) - 1
+    alone = alone.withColumn("place", place).join(offsets, ["opinion", "block"]).select("edge_id", "cited_id", (F.col("offset") + F.col("place")).cast("int").alias("cluster_label"), (F.col("quoted") > 0).alias("is_cluster_lead"))
+    return in_clusters.unionByName(alone)
 
 
 def cited_how(passages: DataFrame, clusters: DataFrame, limit: int = 10) -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,33 @@ def test_clusters(spark):
     assert got(c, "edge_id", "cluster_label", "is_cluster_lead") == [(1, 0, False), (2, 0, True), (3, 1, True), (4, 2, True), (5, 3, False)]
 
 
+def test_clusters_in_rounds(spark):
+    """A small block: many rounds, one opinion with most passages; against the rule read in order, with nothing left of whole opinions in the plan."""
+    rnd = random.Random(5)
+    day = datetime.date(2020, 1, 1)
+    rows = [(e, rnd.choice([9, 9, 9, 9, 7, None]), day - datetime.timedelta(rnd.randrange(9)), rnd.randrange(4), "q" * rnd.randrange(5), [rnd.gauss(0, 1) for _ in range(3)] if e % 6 else None) for e in range(150)]
+    c = G.greedy_clusters(spark.createDataFrame(rows, "edge_id long, cited_id long, release_date date, text_offset int, quote string, vector array<double>"), block=16)
+    want = []
+    for cited in (9, 7, None):
+        seeds, members, alone = [], [], []
+        for e, _, _, _, quote, v in sorted((r for r in rows if r[1] == cited), key=lambda r: (-r[2].toordinal(), r[3], r[0])):
+            if v is None:
+                alone.append((e, quote))
+                continue
+            u = [x / math.hypot(*v) for x in v]
+            k = next((k for k, s in enumerate(seeds) if sum(a * b for a, b in zip(s, u)) >= 0.88), len(seeds))
+            if k == len(seeds):
+                seeds.append(u)
+                members.append([])
+            members[k].append((e, quote))
+        for k, m in enumerate(members):
+            lead = max(m, key=lambda x: len(x[1]))
+            want += [(e, cited, k, e == lead[0]) for e, _ in m]
+        want += [(e, cited, len(seeds) + k, bool(q)) for k, (e, q) in enumerate(alone)]
+    assert got(c, "edge_id", "cited_id", "cluster_label", "is_cluster_lead") == sorted(want)
+    assert "InPandas" not in c._jdf.queryExecution().toString()
+
+
 def test_concordance(spark):
     votes = spark.createDataFrame([(1, 1, "MAJORITY_JOIN"), (1, 2, "MAJORITY_AUTHOR"), (2, 1, "MAJORITY_JOIN"), (2, 2, "CONCURRENCE_JOIN"), (3, 1, "DISSENT_JOIN"), (3, 2, "MAJORITY_JOIN"), (4, 1, "RECUSED"), (4, 2, "DISSENT_JOIN")], "opinion_id long, judge_id long, vote_type string")
     row = A.concordance(votes, 2, 1).first()
