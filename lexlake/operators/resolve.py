@@ -26,18 +26,22 @@ def lookup_variants(docket: Column) -> Column:
 
 def docket_lookup(requests: DataFrame, opinions: DataFrame, courts: DataFrame) -> DataFrame:
     """The opinion that each requested docket (request_id, docket, want_level, want_date) stands for: the wanted date, else the
-    newest of the wanted level with the largest id, else the highest court, newest, smallest id."""
-    asked = requests.withColumn("variant", F.explode(lookup_variants(F.col("docket"))))
+    newest of the wanted level with the largest id, else the highest court, newest, smallest id. Equal requests are looked up once,
+    so that many requests for a docket of many opinions do not multiply."""
+    ask = ["docket", "want_level", "want_date"]
+    asked = requests.select(*ask).distinct().withColumn("variant", F.explode(lookup_variants(F.col("docket"))))
     op = opinions.select("id", "court_id", "case_number", "release_date").join(F.broadcast(courts.select(F.col("id").alias("court_id"), F.col("level"))), "court_id")
-    hits = asked.join(op, asked.variant == op.case_number).dropDuplicates(["request_id", "id"])
+    hits = asked.join(op, asked.variant == op.case_number)
     level = F.lower("level")
     wanted = S.text_or_blank(F.lower(F.trim("want_level")))
     on_date = (F.col("want_date") == F.col("release_date")) & ((wanted == "") | (level == wanted))
     tier = F.when(F.coalesce(on_date, F.lit(False)), 0).when((wanted != "") & (level == wanted), 1).otherwise(2)
     rank = F.when(F.col("level") == "SUPREME", 0).when(F.col("level") == "APPEALS", 1).otherwise(9)
     order = [F.col("tier"), F.when(F.col("tier") == 2, rank).otherwise(0), F.desc_nulls_last("release_date"), F.when(F.col("tier") == 1, -F.col("id")).otherwise(F.col("id"))]
-    w = Window.partitionBy("request_id").orderBy(*order)
-    return hits.withColumn("tier", tier).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("request_id", "docket", F.col("id").alias("opinion_id"), "release_date")
+    w = Window.partitionBy(*ask).orderBy(*order)
+    best = hits.withColumn("tier", tier).withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*[F.col(c).alias(f"its_{c}") for c in ask], F.col("id").alias("opinion_id"), "release_date")
+    same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in ask]
+    return requests.join(best, same).select("request_id", "docket", "opinion_id", "release_date")
 
 
 def metadata_score() -> Column:

@@ -281,6 +281,14 @@ def url_parse_manifest(spark, d):
     return rows.select("id", *[c.alias(n) for n, c in parts.items()])
 
 
+@query("SELECT o_orderkey AS id, 'A' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS case_number, make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) AS iso_date, 'ctappub' AS category FROM orders")
+def url_parse_manifest_all(spark, d):
+    """All orders; a year of two digits is read as 20xx. ``url_parse_manifest`` reads those of 2000 and later."""
+    url = F.format_string("https://x/law-library-stat/archive/ctappub/OPa%02d%04d-%s.pdf", F.col("o_orderkey") % 100, F.col("o_orderkey") % 10000, F.date_format("o_orderdate", "MMddyy"))
+    parts = S.archive_url(F.col("url"))
+    return role(spark, d, "orders").select(F.col("o_orderkey").alias("id"), url.alias("url")).select("id", *[c.alias(n) for n, c in parts.items()])
+
+
 # --- search -------------------------------------------------------------------------------------------------------------------------
 
 TOKENS_SQL = "list_distinct(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'))"
@@ -473,6 +481,14 @@ def docket_lookup_pick(spark, d):
     return R.docket_lookup(asked, op, courts)
 
 
+@query(ORACLES["docket_lookup_pick"].replace(" WHERE id % 17 = 0", ""))
+def docket_lookup_all(spark, d):
+    """The docket of every opinion is a request; ``docket_lookup_pick`` asks for one in 17."""
+    op, courts = tables(spark, d, "opinion", "court")
+    asked = op.select(F.col("id").alias("request_id"), S.canonical_case_number(F.col("case_number")).alias("docket"), F.lit("").alias("want_level"), F.lit(None).cast("date").alias("want_date"))
+    return R.docket_lookup(asked, op, courts)
+
+
 DUP_JUDGE = "CASE WHEN id % 10 = 3 THEN 'Judge Supplier#' || lpad(CAST(id - 3 AS STRING), 9, '0') WHEN id % 10 = 4 THEN 'Supplier#' || lpad(CAST(id + 1 AS STRING), 9, '0') ELSE 'Judge Supplier#' || lpad(CAST(id AS STRING), 9, '0') END"
 SCORE = "CAST(CASE WHEN bio_summary <> '' THEN 4 ELSE 0 END + CASE WHEN is_currently_seated THEN 4 ELSE 0 END + CASE WHEN appointment_date IS NOT NULL THEN 1 ELSE 0 END + 1 AS INTEGER)"
 PLAN_SQL = f"""n AS (SELECT judge_id, count(*) AS votes FROM vote GROUP BY ALL), g AS (SELECT j.id, coalesce(votes, 0) AS votes, {SCORE} AS score, lower({DUP_JUDGE.replace('id ', 'j.id ').replace('(id', '(j.id')}) AS key FROM judge j LEFT JOIN n ON judge_id = j.id), h AS (SELECT *, regexp_replace(key, '^.* ', '') AS surname FROM g),

@@ -99,6 +99,14 @@ def test_merges(spark):
     assert got(R.hyphen_plan(hy)) == [(2, 1)]
 
 
+def test_docket_lookup_answers_equal_requests_alike(spark):
+    day = datetime.date(2020, 1, 1)
+    ops = spark.createDataFrame([(k, 1, "A20-0001", day) for k in range(1, 41)], "id long, court_id long, case_number string, release_date date")
+    ask = spark.createDataFrame([(k, "A20-0001", None, None) for k in range(40)], "request_id long, docket string, want_level string, want_date date")
+    found = R.docket_lookup(ask, ops, spark.createDataFrame([(1, "SUPREME")], "id long, level string"))
+    assert got(found, "request_id", "opinion_id") == [(k, 1) for k in range(40)]
+
+
 def test_docket_lookup_tiers(spark):
     d = datetime.date
     ops = spark.createDataFrame([(1, 1, "A20-0001", d(2020, 1, 1)), (2, 2, "A20-0001", d(2021, 1, 1)), (3, 2, "A20-0001", d(2021, 1, 1)), (4, 1, "No. A20-0001", None)], "id long, court_id long, case_number string, release_date date")

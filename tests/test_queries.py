@@ -50,3 +50,11 @@ def test_filters_and_columns_reach_the_scan(spark, sf, capsys):
     registry.QUERIES["judge_disagreements"](spark, sf).explain("formatted")
     text = capsys.readouterr().out
     assert "PushedFilters" in text and "ReadSchema" in text and "l_extendedprice" not in text
+
+
+def test_every_opinion_and_order_is_asked(spark, sf):
+    dockets = registry.role(spark, sf, "opinion").select("id")
+    got = registry.QUERIES["docket_lookup_all"](spark, sf)
+    assert got.count() == got.select("request_id").distinct().count() and got.where("request_id % 17 <> 0").count() > 10 * got.where("request_id % 17 = 0").count()
+    assert got.join(dockets, got.request_id == dockets.id, "left_anti").isEmpty()
+    assert registry.QUERIES["url_parse_manifest_all"](spark, sf).count() == registry.role(spark, sf, "orders").count()
