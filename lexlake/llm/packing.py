@@ -4,7 +4,7 @@ Documents longer than a sequence are cut into full pieces (the first may be shor
 piece. Pieces are dealt at random into shards of bounded size, each a fair sample of all lengths. In a shard, pieces go
 best-fit, longest first, into bins; then the search takes bins that are not full, emptiest first, and moves pieces out,
 exchanges one piece for one shorter, or two for one, wherever that raises the sum of squared fills, until bins are
-empty and go.
+empty and go. It ends when no bin can be spared or improved; ``steps_per_item`` bounds its effort.
 
 A null text is the empty text (its end id alone). Repeated rows are packed each. A null doc_id stays null. An empty
 table gives no rows. Other columns are ignored.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_bytes, materialize, n_blocks, text_of
-from .tokens import encoder
+from .tokens import as_bytes, encoder
 
 SHARD_PIECES = 50_000
 
@@ -42,11 +42,11 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(data.value)
+        encode, end = encoder(data.value), as_bytes([end_id])
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([*encode(text), end_id], "<u4")
+                ids = np.frombuffer(encode(text) + end, "<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     raw = ids[start : start + length].tobytes()
                     rows.append((doc_id, k, start, length, zlib.crc32(raw)) + ((raw,) if with_ids else ()))
@@ -59,126 +59,106 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_
 
 
 class Bins:
-    """Bins of one shard: the items in each, and the open bins by free room."""
+    """Bins of one shard: the bin of each item, the items of each bin, and the room in each bin."""
 
     def __init__(self, sizes: list[int], capacity: int):
-        self.sizes, self.capacity = sizes, capacity
+        self.sizes, self.capacity = np.asarray(sizes, np.int64).reshape(-1), capacity
         self.items: list[list[int]] = []
-        self.free: list[int] = []
-        self.by_free: dict[int, set[int]] = defaultdict(set)
-        self.rooms: list[int] = []
-
-    def _set_free(self, b: int, room: int, new: bool = False) -> None:
-        if not new and 0 < self.free[b] < self.capacity:
-            same = self.by_free[self.free[b]]
-            same.discard(b)
-            if not same:
-                self.rooms.pop(bisect_left(self.rooms, self.free[b]))
-        self.free[b] = room
-        if room and room < self.capacity:
-            if not self.by_free[room]:
-                insort(self.rooms, room)
-            self.by_free[room].add(b)
-
-    def fit(self, size: int, other_than: int = -1) -> int | None:
-        """The open bin with the least room of at least ``size``."""
-        for k in range(bisect_left(self.rooms, size), len(self.rooms)):
-            for b in self.by_free[self.rooms[k]]:
-                if b != other_than:
-                    return b
-        return None
-
-    def put(self, item: int, b: int) -> None:
-        self.items[b].append(item)
-        self._set_free(b, self.free[b] - self.sizes[item])
-
-    def take(self, item: int, b: int) -> None:
-        self.items[b].remove(item)
-        self._set_free(b, self.free[b] + self.sizes[item])
-
-    def open_new(self, item: int) -> None:
-        self.items.append([item])
-        self.free.append(0)
-        self._set_free(len(self.items) - 1, self.capacity - self.sizes[item], new=True)
+        self.bin_of = np.full(len(self.sizes), -1)
+        self.room = np.empty(0, np.int64)
 
     def best_fit(self) -> None:
-        for item in sorted(range(len(self.sizes)), key=lambda i: -self.sizes[i]):
-            b = self.fit(self.sizes[item])
-            if b is None:
-                self.open_new(item)
+        """Longest first, each item into the bin with the least room that takes it."""
+        free: list[int] = []
+        with_room: dict[int, list[int]] = defaultdict(list)
+        rooms: list[int] = []  # the different rooms, ascending
+        for item in np.argsort(-self.sizes, kind="stable").tolist():
+            size, k = int(self.sizes[item]), bisect_left(rooms, int(self.sizes[item]))
+            if k < len(rooms):
+                b = with_room[rooms[k]].pop()
+                if not with_room[rooms[k]]:
+                    rooms.pop(k)
             else:
-                self.put(item, b)
-
-    def _improve(self, b: int, most_bins: int) -> bool:
-        """One step that raises the sum of squared fills by taking load off bin ``b``."""
-        fill = self.capacity - self.free[b]
-        for item in sorted(self.items[b], key=lambda i: -self.sizes[i]):
-            c = self.fit(self.sizes[item], b)
-            if c is not None and self.capacity - self.free[c] + self.sizes[item] > fill:
-                self.take(item, b)
-                self.put(item, c)
+                b = len(self.items)
+                self.items.append([])
+                free.append(self.capacity)
+            self.items[b].append(item)
+            self.bin_of[item] = b
+            free[b] -= size
+            if free[b]:
+                if not with_room[free[b]]:
+                    insort(rooms, free[b])
+                with_room[free[b]].append(b)
+        self.room = np.asarray(free, np.int64)
+
+    def put(self, item: int, b: int) -> None:
+        a = self.bin_of[item]
+        self.items[a].remove(item)
+        self.items[b].append(item)
+        self.bin_of[item] = b
+        self.room[a] += self.sizes[item]
+        self.room[b] -= self.sizes[item]
+
+    def improve(self, b: int) -> bool:
+        """One step that takes load off bin ``b`` into a bin at least as full, which raises the sum of squared fills: a move, else the
+        exchange of one or two items for one shorter that takes most. All items of all bins are looked at."""
+        others = (self.room > 0) & (self.room <= self.room[b])
+        others[b] = False
+        at = np.flatnonzero(others)
+        if not len(at):
+            return False
+        mine = sorted(self.items[b], key=lambda i: (-self.sizes[i], i))
+        by_room = at[np.argsort(self.room[at], kind="stable")]
+        fits = np.searchsorted(self.room[by_room], self.sizes[mine])
+        for item, k in zip(mine, fits):
+            if k < len(by_room):
+                self.put(item, int(by_room[k]))
                 return True
-        mine = sorted(self.items[b], key=lambda i: -self.sizes[i])
-        pairs = [(x, y) for k, x in enumerate(mine[:8]) for y in mine[k + 1 : 9]]
-        tried = 0
-        for room in reversed(self.rooms):
-            for c in tuple(self.by_free[room]):
-                if c == b or self.capacity - room < fill:
-                    continue
-                tried += 1
-                if tried > most_bins:
-                    return False
-                theirs = sorted(self.items[c], key=lambda i: self.sizes[i])
-                have = [self.sizes[i] for i in theirs]
-                for x in mine:  # one for one: the shortest that still fits in place of x
-                    k = bisect_left(have, self.sizes[x] - room)
-                    if k < len(have) and have[k] < self.sizes[x]:
-                        self._swap(b, [x], c, theirs[k])
-                        return True
-                for x, y in pairs:  # two for one
-                    both = self.sizes[x] + self.sizes[y]
-                    k = bisect_left(have, both - room)
-                    if k < len(have) and have[k] < both:
-                        self._swap(b, [x, y], c, theirs[k])
-                        return True
-        return False
-
-    def _swap(self, b: int, ours: list[int], c: int, theirs: int) -> None:
-        self.take(theirs, c)
-        for i in ours:
-            self.take(i, b)
+        own = self.sizes[mine]
+        first, second = np.triu_indices(len(mine), 1)
+        loads = np.concatenate([own, own[first] + own[second]])  # one for one, two for one
+        order = np.argsort(loads, kind="stable")
+        theirs = np.flatnonzero(others[self.bin_of])
+        size = self.sizes[theirs]
+        k = np.searchsorted(loads[order], size + self.room[self.bin_of[theirs]], side="right") - 1  # the largest load that fits in place of an item
+        gain = np.where(k >= 0, loads[order][k] - size, 0)
+        best = int(gain.argmax()) if len(gain) else 0
+        if not len(gain) or gain[best] <= 0:
+            return False
+        load, c, item = int(order[k[best]]), int(self.bin_of[theirs[best]]), int(theirs[best])
+        out = [mine[load]] if load < len(mine) else [mine[first[load - len(mine)]], mine[second[load - len(mine)]]]
+        self.put(item, b)
+        for i in out:
             self.put(i, c)
-        self.put(theirs, b)
-
-    def search(self, most_steps: int, most_bins: int) -> None:
-        """Empty the emptiest bins as long as a step is found; each step raises the sum of squared fills, so it ends."""
-        steps, stuck = 0, set()
-        while steps < most_steps:
-            b = next((b for room in reversed(self.rooms) for b in sorted(self.by_free[room]) if b not in stuck), None)
-            if b is None:
+        return True
+
+    def search(self, most_steps: int) -> None:
+        """Empties the emptiest bins until there are as few as the items can be in, no bin can be improved, or ``most_steps`` are done.
+        Each step raises the sum of squared fills, so it ends in any case."""
+        least, stuck = -(-int(self.sizes.sum()) // self.capacity), np.zeros(len(self.room), bool)
+        for _ in range(most_steps):
+            partial = (self.room > 0) & (self.room < self.capacity) & ~stuck
+            if int((self.room < self.capacity).sum()) <= least or not partial.any():
                 return
-            while self.items[b] and steps < most_steps and self._improve(b, most_bins):
-                steps += 1
-            if self.items[b]:
-                stuck.add(b)
-                if len(stuck) > most_bins:
-                    return
-            else:
-                stuck.clear()
+            b = int(np.where(partial, self.room, -1).argmax())
+            if not self.improve(b):
+                stuck[b] = True
+            elif not self.items[b]:
+                stuck[:] = False
 
 
-def pack_sizes(sizes: list[int], capacity: int, most_steps: int = 20_000, most_bins: int = 200) -> list[list[int]]:
-    """Items of each bin. The two limits bound the search only; every item is packed."""
+def pack_sizes(sizes: list[int], capacity: int, steps_per_item: int = 4) -> list[list[int]]:
+    """Items of each bin. The steps bound the effort of the search only; every item is packed."""
     bins = Bins(sizes, capacity)
     bins.best_fit()
-    bins.search(most_steps, most_bins)
+    bins.search(steps_per_item * len(sizes) + 100)
     return [b for b in bins.items if b]
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds sequence_id and offset to stored ``pieces``."""
     shards = n_blocks(pieces.count(), shard_pieces)
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("long")).repartition(shards, "shard")
 
     def packed(group: pa.Table) -> pa.Table:
         group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])

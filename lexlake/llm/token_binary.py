@@ -8,8 +8,8 @@ File: ``BPS1``, planes one after another, a zstandard frame of JSON with the ind
 little-endian, ``BPS1``. A file appears under its final name only when whole; a task that runs again writes the same
 bytes under the same name.
 
-A null text is the empty text (only the end id). Rows with the same doc_id are all written, ordered by text; a null
-doc_id sorts first and stays null. An empty table gives no files and no rows. Other columns are ignored.
+A null text is the empty text (only the end id). Rows with the same doc_id are all written, ordered by a hash of the text,
+so that one id, or null, can go on over several files; a null doc_id sorts first and stays null. An empty table gives no files and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_bytes, fresh_dir, materialize, open_fs, text_of
-from .tokens import encoder
+from .common import file_bytes, fresh_dir, materialize, one_task_each, open_fs, text_of
+from .tokens import as_bytes, encoder
 
 MAGIC = b"BPS1"
 MANIFEST = "part int, seq int, file string, n_docs long, n_tokens long, n_bytes long"
@@ -146,7 +146,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 2,
     def written(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, file, rows = encoder(data.value), TaskContext.get().partitionId(), None, []
+        encode, end, part, file, rows = encoder(data.value), as_bytes([end_id]), TaskContext.get().partitionId(), None, []
 
         def done() -> None:
             rows.append({"part": part, "seq": len(rows), **file.close()})
@@ -156,7 +156,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 2,
                 if file is None:
                     file = PlaneFile(f"{out_dir}/part-{part:06d}-{len(rows):04d}.bps", block, kind)
                     tokens = 0
-                ids = np.array([*encode(text), end_id], np.uint32)
+                ids = np.frombuffer(encode(text) + end, "<u4")
                 file.add(doc_id, ids)
                 tokens += len(ids)
                 if tokens >= file_tokens:
@@ -167,14 +167,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = 2,
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return materialize(spark, ordered.mapInArrow(written, MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone. One row per file sets the offsets."""
-    base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("part", "seq", "file", "n_tokens").withColumn("base", base)
+    order = Window.orderBy("part", "seq")
+    base = F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("part", "seq", "file", "n_tokens").withColumns({"base": base, "number": F.row_number().over(order) - 1})
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,8 +193,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    spread = files.select("file", "base").repartition("file")
-    return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    spread = one_task_each(files, "number", manifest.count())
+    return spread.select("file", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,8 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact table of frequent pre-tokens and their token counts, fitted on a bounded sample and broadcast
-(at most ``table_size`` entries). Tier two is a cache of each worker for all other pre-tokens, filled by the
-tokenizer's own library. Pre-tokens are never shuffled; the sample decides speed only, never a count.
+Tier one is a compact table of frequent pre-tokens and their token counts, from the beginnings of a few rows, which the
+driver reads and broadcasts (at most ``table_size`` entries). Tier two is a cache of each worker process for all other
+pre-tokens, filled by the tokenizer's own library; it outlives the tasks. Neither texts nor pre-tokens are shuffled;
+the sample decides speed only, never a count.
 
 A null text counts as the empty text (0 bytes, 0 tokens). Repeated rows are counted each. An empty table gives no rows.
 A null doc_id is kept as null. Columns other than the id and the text are ignored.
@@ -11,7 +12,6 @@ A null doc_id is kept as null. Columns other than the id and the text are ignore
 from __future__ import annotations
 
 import functools
-import json
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,41 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import file_bytes, text_of
-from .tokens import COMMON_CHARS, SPLIT_PATTERN, is_plain_byte_bpe
+from .tokens import counter
 
-CACHE_ENTRIES = 400_000
-
-
-class Splitter:
-    """Pre-tokens of a text; None where the text must go to the library whole."""
-
-    def __init__(self, data: bytes):
-        import regex
-
-        spec = json.loads(data)
-        self.special = [t["content"] for t in spec.get("added_tokens") or ()]
-        self.safe = regex.compile(f"[{COMMON_CHARS}]*") if is_plain_byte_bpe(spec) else None
-        self.split = regex.compile(SPLIT_PATTERN).findall
-
-    def __call__(self, text: str) -> list[str] | None:
-        if self.safe is None or not self.safe.fullmatch(text) or any(s in text for s in self.special):
-            return None
-        return self.split(text)
-
-
-@functools.lru_cache(maxsize=2)
-def splitter(data: bytes) -> Splitter:
-    return Splitter(data)
-
-
-@functools.lru_cache(maxsize=2)
-def library(data: bytes):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_buffer(data)
-    t.no_truncation()
-    t.no_padding()
-    return t
+SAMPLE_CHARS = 2_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -64,61 +32,30 @@ def pieces(data: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
-def frequent_pretokens(docs: DataFrame, data, table_size: int, sample_docs: int) -> tuple[list[str], bytes]:
-    """The commonest pre-tokens of a sample of at most ``sample_docs`` rows and their token counts (255 at most each)."""
+def frequent_pretokens(docs: DataFrame, data: bytes, table_size: int, sample_docs: int) -> dict[str, int]:
+    """The commonest pre-tokens, with their token counts, of the beginnings (SAMPLE_CHARS) of the first ``sample_docs`` rows at hand.
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(data.value), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(split(text) or ())
-        top = seen.most_common(table_size)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
-
-    rows = (
-        docs.select(text_of().alias("text")).limit(sample_docs).mapInArrow(counted, "word string, n long")
-        .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size).collect()
-    )
-    words = [r.word for r in rows]
-    counts = [len(x.ids) for x in library(data.value).encode_batch_fast(words, add_special_tokens=False)] if words else []
-    known = [(w, n) for w, n in zip(words, counts) if n < 256]
-    return [w for w, _ in known], bytes(n for _, n in known)
+    A limit without an order stops after as many partitions as it needs and moves nothing between tasks."""
+    own, seen = counter(data), Counter()
+    for r in docs.select(F.substring(text_of(), 1, SAMPLE_CHARS).alias("text")).limit(sample_docs).collect():
+        for words in own.runs(r.text) or ():
+            seen.update(words)
+    words = [w for w, _ in seen.most_common(table_size)]
+    return dict(zip(words, own.by_library(words)))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, table_size: int = 65_536, sample_docs: int = 2_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs`` (doc_id, text). ``tokenizer``: a .json or .model file."""
     spark = docs.sparkSession
     data, is_model = file_bytes(spark, tokenizer), tokenizer.endswith(".model")
-    shipped = None if is_model else spark.sparkContext.broadcast(frequent_pretokens(docs, data, table_size, sample_docs))
+    shipped = None if is_model else spark.sparkContext.broadcast(frequent_pretokens(docs, data.value, table_size, sample_docs))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if is_model:
             model = pieces(data.value)
             count = lambda text: len(model.encode(text, num_threads=1))
         else:
-            split, whole = splitter(data.value), library(data.value)
-            table = dict(zip(*shipped.value))
-            cache: dict[str, int] = {}
-
-            def count(text: str) -> int:
-                words = split(text)
-                if words is None:
-                    return len(whole.encode(text, add_special_tokens=False).ids)
-                found = list(map(table.get, words))
-                total = 0
-                if None in found:
-                    missing = [w for w, n in zip(words, found) if n is None]
-                    new = [w for w in dict.fromkeys(missing) if w not in cache]
-                    if len(cache) + len(new) > CACHE_ENTRIES:
-                        cache.clear()
-                        new = list(dict.fromkeys(missing))
-                    for k in range(0, len(new), 4096):
-                        part = new[k : k + 4096]
-                        cache.update(zip(part, (len(x.ids) for x in whole.encode_batch_fast(part, add_special_tokens=False))))
-                    total = sum(map(cache.__getitem__, missing))
-                    found = filter(None, found)
-                return total + sum(found)
-
+            count = functools.partial(counter(data.value), frequent=shipped.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = [count(t) for t in texts]

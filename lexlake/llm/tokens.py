@@ -1,27 +1,27 @@
-"""Token ids and token counts by a public vocabulary file.
+"""Token ids and token counts by a public vocabulary file, always by the file's own library.
 
-``Encoder`` gives the ids that the tokenizers library gives for a byte-level BPE file. Where the file is a plain
-byte-level BPE (ranks in merge order, no normalizer, no post-processor), the same merges are run by tiktoken, which is
-several times as fast; any other file is run by its own library.
+A pre-token of a plain byte-level BPE has the same ids wherever it stands, so a worker process asks the library once for
+each pre-token and keeps the answer (at most ``CACHE_ENTRIES`` of them). Texts are split into pre-tokens here only where
+every version of Unicode agrees on the classes of all their characters; any other text, a text with a special string, and any
+other kind of file go to the library whole. Texts of any length are read in runs of ``RUN`` pre-tokens.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-
-#: Fixed value: the published split pattern of byte-level BPE vocabularies of this family.
-SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of these characters only are split by the regex module; every Unicode version agrees on their classes.
+import re
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+CACHE_ENTRIES, LONGEST, RUN = 400_000, 200, 100_000
+#: Texts of these characters only are split here: ASCII, Latin, Greek and Cyrillic letters, common punctuation.
+LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏΑ-ΡΣ-ώА-я", "0-9²³¹¼-¾"
 COMMON_CHARS = "\t\n\r\x20-\x7e¡-ɏΑ-ΡΣ-ώА-я‐-‧€"
-
-
-@functools.cache
-def _byte_of_char() -> dict[str, int]:
-    """Byte-level vocabularies write each byte as a printable character; the others are moved up from 256."""
-    keep = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    moved = [b for b in range(256) if b not in set(keep)]
-    return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(moved)}
+#: Fixed value: the published split pattern of byte-level BPE vocabularies of this family, over the characters above.
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+COMMON = re.compile(f"[{COMMON_CHARS}]*")
 
 
 def is_plain_byte_bpe(spec: dict) -> bool:
@@ -34,42 +34,79 @@ def is_plain_byte_bpe(spec: dict) -> bool:
     )
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    """ids as little-endian unsigned 32-bit integers (the byte order of every machine that Spark runs on)."""
+    return array("I", ids).tobytes()
+
+
 class Encoder:
-    """ids of a text, without added special tokens; special strings inside a text become their ids, as by default."""
+    """What ``value`` makes of the ids of a text (its bytes, its count), without added special tokens; special strings inside a text
+    become their ids, as the library does by default. ``join`` puts the values of the parts together."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, value: Callable, join: Callable):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(data)
+        self.library.no_truncation()
+        self.library.no_padding()
         spec = json.loads(data)
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
-        self.plain = is_plain_byte_bpe(spec) and self._load_ranks(spec)
-
-    def _load_ranks(self, spec: dict) -> bool:
-        import tiktoken
-
-        vocab, chars = spec["model"]["vocab"], _byte_of_char()
-        ranks = {bytes(chars[c] for c in token): i for token, i in vocab.items() if token not in self.special}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        order = [vocab.get(a + b) for a, b in pairs]
-        if None in order or any(a >= b for a, b in zip(order, order[1:])) or len({len(t) for t in self.special}) > 1:
-            return False
-        self.bpe = tiktoken.Encoding("own", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return True
-
-    def __call__(self, text: str) -> list[int]:
-        if not self.plain:
-            return self.library.encode(text, add_special_tokens=False).ids
-        for token, number in self.special.items():
-            if token in text:
-                out: list[int] = []
-                for k, part in enumerate(text.split(token)):
-                    out += ([number] if k else []) + self(part)
-                return out
-        return self.bpe.encode_ordinary(text)
+        self.special = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.plain = is_plain_byte_bpe(spec)
+        self.value, self.join, self.known = value, join, {}
+
+    def by_library(self, texts: list[str]) -> list:
+        return [self.value(x.ids) for k in range(0, len(texts), 2_048) for x in self.library.encode_batch_fast(texts[k : k + 2_048], add_special_tokens=False)]
+
+    def runs(self, text: str) -> Iterator[list[str]] | None:
+        """The pre-tokens of a text, run by run; None where the text must go to the library whole."""
+        if not self.plain or not COMMON.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        if len(text) <= RUN:
+            return iter([SPLIT.findall(text)])
+        found = (m[0] for m in SPLIT.finditer(text))
+        return iter(lambda: list(islice(found, RUN)), [])
+
+    def _values(self, words: list[str]) -> list:
+        found = list(map(self.known.get, words))
+        if None not in found:
+            return found
+        new = list(dict.fromkeys(w for w, v in zip(words, found) if v is None))
+        if len(self.known) + len(new) > CACHE_ENTRIES:
+            self.known.clear()
+            new = list(dict.fromkeys(words))
+        self.known.update(zip(new, self.by_library(new)))
+        found = list(map(self.known.__getitem__, words))
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+        return found
+
+    def __call__(self, text: str, frequent: dict | None = None):
+        """``frequent``: values of common pre-tokens that are looked up before the cache."""
+        runs = self.runs(text)
+        if runs is None:
+            return self.by_library([text])[0]
+        parts = []
+        for words in runs:
+            if frequent:
+                found = list(map(frequent.get, words))
+                if None in found:
+                    found = [*(v for v in found if v is not None), *self._values([w for w, v in zip(words, found) if v is None])]
+                    parts.append(self.join(found))
+                    continue
+            else:
+                found = self._values(words)
+            parts.append(self.join(found))
+        return self.join(parts)
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(data: bytes) -> Encoder:
-    """One per worker process."""
-    return Encoder(data)
+    """Ids as bytes; one for each worker process, whose cache lives as long as the process."""
+    return Encoder(data, as_bytes, b"".join)
+
+
+@functools.lru_cache(maxsize=2)
+def counter(data: bytes) -> Encoder:
+    """Numbers of ids; one for each worker process."""
+    return Encoder(data, len, sum)
