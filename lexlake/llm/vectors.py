@@ -1,9 +1,8 @@
-"""Vectors in blocks: what the two vector searches share.
+"""What the two vector searches share: usable rows, classes of equal vectors, packs of vectors, and the best of each query.
 
 Equal vectors become one class that keeps its ``keep`` smallest ids: with the query's own id removed, no more than the
 first k of a class can be among k results, so nothing is lost and a vector that a third of all rows hold is searched
-once. Classes are packed into blocks, a row each; query vectors are packed into blocks too, and each block of queries
-meets each block of classes.
+once.
 """
 
 from __future__ import annotations
@@ -15,9 +14,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = "block long, dim int, ids binary, vectors binary"
-RESULT = "query_id long, vec_id long, score {}"
-
 
 def usable(df: DataFrame, vector: Callable[[Column], Column], zero: bool, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id and vec of the rows that take part: no null id, no null or empty vector, no null or non-finite component."""
@@ -36,59 +32,44 @@ def classes(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def packed(df: DataFrame, keep: int, dtype: str, most: int, extra: str | None = None) -> DataFrame:
-    """Rows (block, vec, ids or vec_id) that lie together by block, as one row per ``most`` vectors of a block and length."""
+def packs(df: DataFrame, key: dict[str, str], values: dict[str, str], most: int, least: str | None = None) -> DataFrame:
+    """One row for each run of equal keys, of at most ``most`` rows, with the values of each column one after another in a binary.
 
-    def make(block: int, dim: int, ids: list, vecs: list, more: list) -> dict:
-        out = np.full((len(ids), keep), -1, np.int64)
-        for k, own in enumerate(ids):
-            out[k, : len(own)] = own
-        row = {"block": block, "dim": dim, "ids": out.tobytes(), "vectors": np.asarray(vecs, dtype).tobytes()}
-        return row | ({extra: np.asarray([np.iinfo(np.int64).min if x is None else x for x in more], np.int64).tobytes()} if extra else {})
+    ``df`` is sorted by the key within its partitions; ``key`` and ``values`` give the Spark and the numpy type of each column (binary
+    values are "raw"). ``least``: a column of doubles whose smallest value in the pack stands beside it as "least"."""
+    names = [*key, *values]
+    kinds = pa.schema([*(pa.field(n, {"long": pa.int64(), "int": pa.int32()}[t]) for n, t in key.items()), *(pa.field(n, pa.binary()) for n in values), *[pa.field("least", pa.float64())] * bool(least)])
 
-    kinds = [("block", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())] + ([(extra, pa.binary())] if extra else [])
+    def made(at: tuple, held: list[tuple]) -> pa.RecordBatch:
+        columns = dict(zip(values, zip(*held)))
+        out = {n: b"".join(columns[n]) if t == "raw" else np.asarray(columns[n], t).tobytes() for n, t in values.items()}
+        return pa.RecordBatch.from_pylist([dict(zip(key, at)) | out | ({"least": min(columns[least])} if least else {})], schema=kinds)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, vecs, more = None, [], [], []
+        at, held = None, []
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("block", "ids", "vec")] + [batch.column(extra).to_pylist() if extra else [None] * batch.num_rows]
-            for block, own, vec, x in zip(*columns):
-                if ids and (at != (block, len(vec)) or len(ids) >= most):
-                    yield pa.RecordBatch.from_pylist([make(*at, ids, vecs, more)], schema=pa.schema(kinds))
-                    ids, vecs, more = [], [], []
-                at = (block, len(vec))
-                ids.append(own)
-                vecs.append(vec)
-                more.append(x)
-        if ids:
-            yield pa.RecordBatch.from_pylist([make(*at, ids, vecs, more)], schema=pa.schema(kinds))
-
-    columns = ["block", "ids", "vec"] + ([extra] if extra else [])
-    return df.select(*columns, F.size("vec").alias("dim")).sortWithinPartitions("block", "dim").select(*columns).mapInArrow(pack, BLOCK + (f", {extra} binary" if extra else ""))
-
-
-def matrix(raw: bytes, dtype: str, width: int) -> np.ndarray:
-    return np.frombuffer(raw, dtype).reshape(-1, width)
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for row in rows:
+                if held and (row[: len(key)] != at or len(held) >= most):
+                    yield made(at, held)
+                    held = []
+                at = row[: len(key)]
+                held.append(row[len(key) :])
+        if held:
+            yield made(at, held)
 
+    return df.select(*names).mapInArrow(pack, ", ".join([*(f"{n} {t}" for n, t in key.items()), *(f"{n} binary" for n in values), *["least double"] * bool(least)]))
 
-def meet(queries: DataFrame, blocks: DataFrame, search: Callable, score: str) -> DataFrame:
-    """Each block of queries with each block of classes of the same length, by ``search(row) -> (query, vec, score) arrays``.
 
-    The query blocks are dealt out to the numbered blocks by an equi-join; a pair of rows is a unit of work.
-    """
-    q = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    numbers = blocks.select(F.col("block").alias("at"), F.col("dim").alias("q_dim")).distinct()
-    right = blocks.select(F.col("block").alias("at"), F.col("dim").alias("q_dim"), *[c for c in blocks.columns if c != "block"])
-    pairs = q.join(numbers, "q_dim").join(right, ["at", "q_dim"])
+def rows_by(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of packs, one in memory at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {n: batch.column(i)[k].as_py() for i, n in enumerate(batch.schema.names)}
-                q, v, s = search(row)
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64() if score == "double" else pa.int64())], names=["query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(run, RESULT.format(score))
+def matrix(raw: bytes, dtype: str, width: int) -> np.ndarray:
+    return np.frombuffer(raw, dtype).reshape(-1, width)
 
 
 def best_per_query(found: DataFrame, k: int, nearest_first: bool) -> DataFrame:
@@ -96,12 +77,3 @@ def best_per_query(found: DataFrame, k: int, nearest_first: bool) -> DataFrame:
     order = F.asc("score") if nearest_first else F.desc("score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def top_of(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k smallest (score, id) among the ids of some classes, without the query's own. ids: -1 where there is none."""
-    flat_ids, flat_scores = ids.ravel(), np.repeat(scores, ids.shape[1])
-    ok = (flat_ids != own) & (flat_ids != -1)
-    flat_ids, flat_scores = flat_ids[ok], flat_scores[ok]
-    order = np.lexsort((flat_ids, flat_scores))[:k]
-    return flat_ids[order], flat_scores[order]
