@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 
 import pyarrow.fs as pafs
 import pytest
@@ -64,9 +65,46 @@ def test_warc_is_deterministic(spark):
         out = fresh_dir(spark, "warc")
         warc.write_warc(df.repartition(parts), out, shard_bytes=4_000, file_bytes=400)
         fs, path = pafs.FileSystem.from_uri(out)
-        with fs.open_input_stream(f"{path}/manifest.jsonl") as f:
-            lines = [json.loads(x) for x in f.read().splitlines()]
+        lines = [json.loads(r.value) for r in spark.read.text(f"{out}/manifest").collect()]
+        lines.sort(key=lambda x: (x["shard"], x["seq"]))
         names = {f.base_name for f in fs.get_file_info(pafs.FileSelector(path))}
-        assert names == {x["file"].rpartition("/")[2] for x in lines} | {"manifest.jsonl"} and len(lines) > 3
+        assert names == {x["file"].rpartition("/")[2] for x in lines} | {"manifest"} and len(lines) > 3
         sums.append([(x["file"].rpartition("/")[2], x["sha256"]) for x in lines])
     assert sums[0] == sums[1]
+
+
+def test_roles_equal_brute_force(spark):
+    rng = random.Random(3)
+    payloads = ["p" * 99, "q" * 100, *(rng.choice("rstu") * rng.randrange(90, 140) for _ in range(12)), "", None]
+    rows = [(rng.choice([rng.randrange(40), rng.randrange(10**15), None]), f"u{rng.randrange(5)}", rng.choice(payloads), "", 0) for _ in range(400)]
+    got = sorted(((r.page_id, r.url, r.payload_digest, r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive(spark.createDataFrame(rows, SCHEMA), shard_bytes=5_000, file_bytes=1_000).collect()), key=str)
+    want, first, answered = [], {}, set()
+    for i, _, h, *_ in rows:
+        if i is not None and len(h or "") >= 100:
+            first[h] = min(first.get(h, i), i)
+    for i, u, h, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        raw = (h or "").encode()
+        revisit = h in first and i is not None and (i > first[h] or (i, h) in answered)
+        answered.add((i, h))
+        want.append((i, u, hashlib.sha256(raw).hexdigest(), len(raw), "revisit" if revisit else "response", first[h] if revisit else None))
+    assert got == sorted(want, key=str)
+
+
+def test_shards_are_even_whatever_the_ids(spark):
+    rng = random.Random(1)
+    rows = [(10**15, "far", "f" * 300, "", 0)] + [(i, "u", str(rng.random()) * 15, "", 0) for i in range(1_500)] + [(7_777, "hot", str(rng.random()) * 15, "", 0) for _ in range(700)] + [(None, "null", str(rng.random()) * 15, "", 0) for _ in range(700)]
+    out = fresh_dir(spark, "warc")
+    manifest = warc.write_warc(spark.createDataFrame(rows, SCHEMA), out, shard_bytes=100_000, file_bytes=10**9).collect()
+    sizes = [r.n_records for r in manifest]
+    assert sum(sizes) == len(rows) and len(sizes) >= 15 and max(sizes) <= 1.2 * sum(sizes) / len(sizes)
+
+
+def test_headers(spark):
+    out = fresh_dir(spark, "warc")
+    warc.write_warc(spark.createDataFrame([(1, "http://a", "z" * 200, "", 0), (2, "http://b", "z" * 200, "", 0)], SCHEMA), out)
+    fs, path = pafs.FileSystem.from_uri(out)
+    with fs.open_input_stream(f"{path}/shard-000000-0000.warc.gz", compression=None) as f:
+        info, response, revisit = (raw.partition(b"\r\n\r\n")[0].decode() for _, raw in warc.members(f))
+    assert "WARC-Type: warcinfo" in info and "WARC-Filename: shard-000000-0000.warc.gz" in info
+    own = next(x for x in response.split("\r\n") if x.startswith("WARC-Record-ID"))
+    assert "WARC-Refers-To: " + own.removeprefix("WARC-Record-ID: ") in revisit and "WARC-Refers-To-Target-URI: http://a" in revisit
