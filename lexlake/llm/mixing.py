@@ -1,12 +1,13 @@
 """Soft-membership mixing of sources to target weights, in DataFrame functions only.
 
-The sources ("domains") are the classes of a labelled table. A classifier over hashed words (log ratios beyond their
-error, calibrated by a logistic model), fitted on at most ``per_domain`` labelled rows of each domain, gives every document a
-posterior over the domains. Nonnegative rates,
-one per document, are then fitted so that the expected token total of each domain (rate x tokens x posterior, summed)
-matches its target: least squares by projected gradient steps in the metric of the tokens. A step needs one aggregate
-of the table, which has one number per domain and pair of domains; rates are a function of one number for each domain and are
-never collected.
+The sources ("domains") are the classes of a labelled table. A classifier over words (log ratios beyond their error,
+calibrated by a logistic model), fitted on at most ``per_domain`` labelled rows of each domain, gives every document a
+posterior over the domains. It uses the ``most_words`` words that tell most.
+
+Nonnegative rates, one per document, are then fitted so that the expected token total of each domain (rate x tokens x
+posterior, summed) matches its target: projected-gradient least squares, with momentum. A step moves every rate against its
+gradient and sets it to 0 where it would be negative; it needs one aggregate of the table, a few numbers for each domain. Rates are a column
+that the steps rewrite; the driver holds the residuals of the totals only, from which any row's rate follows again.
 
 A null text is the empty text, with 0 tokens and the prior as its posterior. Labelled rows with a null id or domain,
 or a domain without a target, are left out; an id with two domains counts as the smaller. A domain whose expected share
@@ -16,38 +17,54 @@ rate; an empty table, or one without labelled rows, gives every row the rate 1 a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-BUCKETS = 8_192
+#: Steps that are one expression before the rates are stored.
+CHAIN = 8
 #: Words, and runs of other characters on their own.
 SPLIT = r"\s+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\s])"
 
 
 @dataclass
 class Mixture:
-    """Domains in order, their word weights and priors, the targets in tokens, and the numbers that give the rates."""
+    """Domains in order, their word weights and priors, the targets in tokens, and the steps that give the rates."""
 
     domains: list[str]
     vocabulary: list[str]
+    seed: int
     weights: list[list[float]]
     mix: list[list[float]] | None = None  # by domain: intercept, and a factor for each evidence
     targets: list[float] | None = None
-    z: list[float] | None = None
     reached: list[float] | None = None
+    size: float = 0.0  # of a step
+    ridge: float = 0.0
+    steps: list[tuple[list[float], float]] = field(default_factory=list)  # a slope for each domain, and the momentum
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
 
 
-def bucket_of(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def bucket_of(word: Column, seed: int, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(word, F.lit(seed)), F.lit(buckets)).cast("int")
+
+
+def without_collisions(spark: SparkSession, words: list[str], seeds: int = 32) -> tuple[int, int, dict[str, int]]:
+    """A seed and a number of buckets that give each word a bucket of its own, and the buckets."""
+    buckets = 65_536
+    while words:
+        rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", F.array(*[bucket_of(F.col("word"), s, buckets) for s in range(seeds)]).alias("b")).collect()
+        for s in range(seeds):
+            if len({r.b[s] for r in rows}) == len(words):
+                return s, buckets, {r.word: r.b[s] for r in rows}
+        buckets *= 2
+    return 0, buckets, {}
 
 
 def constant(values: list[float]) -> Column:
@@ -71,30 +88,26 @@ def sure_weight(own: Column, rest: Column, n_own: float, n_rest: float, sure: fl
 
 
 def word_weights(different: DataFrame, domains: list[str], most_words: int) -> dict[str, list[float]]:
-    """The words that tell most (at most ``most_words``) with their weight for each domain; of two words in one bucket the weightier."""
+    """The words that tell most (at most ``most_words``) with their weight for each domain."""
     k = range(len(domains))
     counts = different.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.sum(F.when(F.col("domain") == d, 1.0).otherwise(0.0)).alias(f"c{i}") for i, d in enumerate(domains)])
     counts = materialize(different.sparkSession, counts.where(sum((F.col(f"c{i}") for i in k), F.lit(0.0)) >= 5), "word-counts")
     totals = [float(x or 0.0) for x in counts.agg(*[F.sum(f"c{i}") for i in k]).first()]
     rest = lambda i: sum((F.col(f"c{j}") for j in k if j != i), F.lit(0.0))
-    w = counts.select("word", bucket_of(F.col("word")).alias("bucket"), F.array(*[F.round(sure_weight(F.col(f"c{i}"), rest(i), totals[i] + 1, sum(totals) - totals[i] + 1), 4) for i in k]).alias("w"))
+    w = counts.select("word", F.array(*[F.round(sure_weight(F.col(f"c{i}"), rest(i), totals[i] + 1, sum(totals) - totals[i] + 1), 4) for i in k]).alias("w"))
     top = F.array_max(F.transform("w", F.abs))
-    rows = w.withColumn("top", top).where("top > 0").orderBy(F.desc("top"), "word").limit(most_words).collect()
-    taken: dict[int, str] = {}
-    for r in rows:
-        taken.setdefault(r.bucket, r.word)
-    return {r.word: [r.bucket, *r.w] for r in rows if taken[r.bucket] == r.word}
+    return {r.word: list(r.w) for r in w.withColumn("top", top).where("top > 0").orderBy(F.desc("top"), "word").limit(most_words).collect()}
 
 
-def with_evidence(docs: DataFrame, vocabulary: list[str], weights: list[list[float]]) -> DataFrame:
+def with_evidence(docs: DataFrame, model: Mixture) -> DataFrame:
     """``docs`` with #n (tokens), #u (share of different tokens), #v (log of their number) and, for each domain, #a (weights of all
     tokens over the root of their number) and #m (their mean)."""
     out = docs.withColumn("#all", words_of(text_of())).withColumn("#n", F.size("#all").cast("double"))
     out = out.withColumns({"#u": F.size(F.array_distinct("#all")) / F.greatest("#n", F.lit(1.0)), "#v": F.log1p("#n")})
-    known = F.filter("#all", lambda w: w.isin(*vocabulary)) if vocabulary else F.array().cast("array<string>")
-    out = out.withColumn("#w", F.transform(known, bucket_of))
-    k = range(len(weights))
-    out = out.withColumns({f"#s{d}": summed(w) for d, w in enumerate(weights)}).drop("#w", "#all")
+    known = F.filter("#all", lambda w: w.isin(*model.vocabulary)) if model.vocabulary else F.array().cast("array<string>")
+    out = out.withColumn("#w", F.transform(known, lambda w: bucket_of(w, model.seed, len(model.weights[0]))))
+    k = range(len(model.weights))
+    out = out.withColumns({f"#s{d}": summed(w) for d, w in enumerate(model.weights)}).drop("#w", "#all")
     n = F.greatest("#n", F.lit(1.0))
     return out.withColumns({f"#a{d}": F.col(f"#s{d}") / F.sqrt(n) for d in k} | {f"#m{d}": F.col(f"#s{d}") / n for d in k}).drop(*[f"#s{d}" for d in k])
 
@@ -131,16 +144,18 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], per
         picked = part if picked is None else picked.unionByName(part)
     shares = {r.domain: r.n for r in own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text")).join(F.broadcast(picked), "id")
+    texts = texts.groupBy("id", "domain").agg(F.min("text").alias("text"))  # one row of an id, so that the bound holds for rows
     half = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))
     # each text once, and each word once a text: copies and repeated words are no further evidence
     different = texts.where(half == 0).select("domain", F.array_distinct(words_of(F.col("text"))).alias("words"), F.xxhash64("text").alias("h")).groupBy("domain", "h").agg(F.first("words").alias("words"))
     chosen = word_weights(different, domains, most_words)
-    weights = np.zeros((k, BUCKETS))
-    for bucket, *w in chosen.values():
-        weights[:, bucket] = w
-    model = Mixture(domains, sorted(chosen), weights.tolist())
+    seed, buckets, at = without_collisions(docs.sparkSession, sorted(chosen))
+    weights = np.zeros((k, buckets))
+    for word, bucket in at.items():
+        weights[:, bucket] = chosen[word]
+    model = Mixture(domains, sorted(chosen), seed, weights.tolist())
     names = evidence_names(k)
-    rows = with_evidence(texts.where(half == 1), model.vocabulary, model.weights).select("domain", *names).collect()  # numbers only
+    rows = with_evidence(texts.where(half == 1), model).select("domain", *names).collect()  # numbers only
     y = np.array([domains.index(r.domain) for r in rows], int)
     seen = np.bincount(y, minlength=k)
     x = np.array([[1.0, *(r[c] for c in names)] for r in rows]).reshape(len(rows), 1 + len(names))
@@ -156,7 +171,7 @@ def with_posteriors(docs: DataFrame, model: Mixture) -> DataFrame:
     """``docs`` with #n (tokens) and #p0, #p1, ... (posteriors); names that no table of documents has."""
     k = range(len(model.domains))
     names = evidence_names(len(k))
-    out = with_evidence(docs, model.vocabulary, model.weights)
+    out = with_evidence(docs, model)
     out = out.withColumns({f"#l{d}": sum((F.lit(w) * F.col(c) for w, c in zip(model.mix[d][1:], names)), F.lit(model.mix[d][0])) for d in k})
     top = F.greatest(*[F.col(f"#l{d}") for d in k]) if len(k) > 1 else F.col("#l0")
     out = out.withColumns({f"#e{d}": F.exp(F.col(f"#l{d}") - top) for d in k})
@@ -164,37 +179,39 @@ def with_posteriors(docs: DataFrame, model: Mixture) -> DataFrame:
     return out.withColumns({f"#p{d}": F.col(f"#e{d}") / total for d in k}).drop(*names, *[f"#{c}{d}" for c in "le" for d in k])
 
 
-def rate(z: list[float]) -> Column:
-    """The rate of a document: 1, moved down along its posteriors, and never below 0."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(v)) * F.col(f"#p{k}") for k, v in enumerate(z)), F.lit(0.0)))
+def moved(y: Column, slopes: list[Column], model: Mixture) -> Column:
+    """A gradient step from the rate ``y`` along a document's posteriors, and never below 0."""
+    slope = sum((F.col(f"#p{d}") * g for d, g in enumerate(slopes)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), y - F.lit(model.size) * (slope + F.lit(model.ridge) * (y - 1.0)))
+
+
+def rate(model: Mixture) -> Column:
+    """The rate of a row with posteriors: all steps of the fit, from 1."""
+    if not model.steps:
+        return F.lit(1.0)
+    steps = F.array(*[F.array(*map(F.lit, [*map(float, g), float(m)])) for g, m in model.steps])
+    k = len(model.domains)
+
+    def step(at: Column, s: Column) -> Column:
+        new = moved(at["y"], [s[d] for d in range(k)], model)
+        return F.struct(new.alias("r"), (new + s[k] * (new - at["r"])).alias("y"))
+
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["r"]
 
 
-def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget: str = "natural", ridge: float = 0.002, most_steps: int = 24, tolerance: float = 1e-5) -> Mixture:
-    """Fit the rates on stored (#n, #p...) rows: least squares of the domain totals, with a small ridge that keeps rates near 1.
+def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget: str = "natural", ridge: float = 0.002, most_steps: int = 200, tolerance: float = 1e-4) -> Mixture:
+    """Fit the rates on stored (#n, #p...) rows.
 
-    A gradient step in the metric of the tokens moves every rate along its document's posteriors, so after each projection the
-    rates are ``rate(z)`` for one number z for each domain; a step moves z by the gradient, scaled by the curvature of the documents
-    that are not at 0. ``budget``: "natural" keeps the token total; "largest" lets the domain with the largest weight keep its
+    Minimised over rates of 0 or more: half the squared differences of the domain totals from their targets, as shares of all tokens, each
+    over the domain's own curvature, plus ``ridge`` times half the mean of (rate - 1) squared by token, which keeps rates near 1. The fit
+    ends when no rate has anywhere to go (the root of the mean squared step by token, over the step size, is at most ``tolerance``) or
+    after ``most_steps``. ``budget``: "natural" keeps the token total; "largest" lets the domain with the largest weight keep its
     natural total."""
-    k = len(model.domains)
+    spark, k, n = slim.sparkSession, len(model.domains), F.col("#n")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def totals(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Expected tokens by domain, their curvature over documents with a rate above 0, and all tokens."""
-        n = F.col("#n")
-        active = F.when(F.col("#r") > 0, n).otherwise(0.0)
-        row = slim.withColumn("#r", rate(list(z))).agg(
-            F.sum(n).alias("n"), *[F.sum(F.col("#r") * n * F.col(f"#p{d}")).alias(f"t{d}") for d in range(k)],
-            *[F.sum(active * F.col(f"#p{i}") * F.col(f"#p{j}")).alias(f"g{i}_{j}") for i, j in pairs],
-        ).first()
-        g = np.zeros((k, k))
-        for i, j in pairs:
-            g[i, j] = g[j, i] = row[f"g{i}_{j}"] or 0.0
-        return np.array([row[f"t{d}"] or 0.0 for d in range(k)]), g, row["n"] or 0.0
-
-    z = np.zeros(k)
-    have, gram, every = totals(z)
-    model.z, model.targets, model.reached = z.tolist(), have.tolist(), have.tolist()
+    first = slim.agg(F.sum(n).alias("n"), *[F.sum(n * F.col(f"#p{d}")).alias(f"t{d}") for d in range(k)], *[F.sum(n * F.col(f"#p{i}") * F.col(f"#p{j}")).alias(f"g{i}_{j}") for i, j in pairs]).first()
+    every, have = float(first["n"] or 0.0), np.array([first[f"t{d}"] or 0.0 for d in range(k)])
+    model.targets = model.reached = have.tolist()
     if not every:
         return model
     wish = np.array([weights[d] if have[i] > 1e-6 * every else 0.0 for i, d in enumerate(model.domains)])
@@ -203,29 +220,47 @@ def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget
     wish /= wish.sum()
     top = int(wish.argmax())
     target = wish * (every if budget == "natural" else have[top] / wish[top])
-    gradient = lambda t, at: t - target - ridge * every * at
-    size = 1.0
+    gram = np.zeros((k, k))
+    for i, j in pairs:
+        gram[i, j] = gram[j, i] = (first[f"g{i}_{j}"] or 0.0) / every
+    curve = 1 / np.maximum(gram.diagonal(), 1e-12)
+    model.ridge, model.size = ridge, float(1 / (np.linalg.eigvalsh(np.sqrt(np.outer(curve, curve)) * gram).max() + ridge))
+    state = materialize(spark, slim.select("#n", *[f"#p{d}" for d in range(k)], F.lit(1.0).alias("#r"), F.lit(1.0).alias("#y")), "rates")
+    now, chain, t = state, 0, 1.0
+    at_y = have  # totals at the point that the step starts from
     for _ in range(most_steps):
-        g = gradient(have, z)
-        if np.abs(g).max() <= tolerance * every:
+        slopes = (curve * (at_y - target) / every).tolist()
+        new = moved(F.col("#y"), [F.lit(g) for g in slopes], model)
+        now = now.withColumn("#new", new)
+        row = now.agg(
+            *[F.sum(F.col("#new") * n * F.col(f"#p{d}")).alias(f"t{d}") for d in range(k)],
+            F.sum(n * F.pow(F.col("#new") - F.col("#y"), 2)).alias("moved"), F.sum(n * (F.col("#y") - F.col("#new")) * (F.col("#new") - F.col("#r"))).alias("against"),
+        ).first()
+        total, t_next = np.array([row[f"t{d}"] or 0.0 for d in range(k)]), (1 + (1 + 4 * t * t) ** 0.5) / 2
+        if row["against"] > 0:  # the momentum leads away: begin anew
+            t_next, momentum = 1.0, 0.0
+        else:
+            momentum = (t - 1) / t_next
+        model.steps.append((slopes, momentum))
+        at_y, have, t = total + momentum * (total - have), total, t_next
+        if (row["moved"] / every) ** 0.5 / model.size <= tolerance:
             break
-        new = z + size * np.linalg.solve(gram + ridge * every * np.eye(k), g)
-        t, new_gram, _ = totals(new)
-        if np.square(gradient(t, new)).sum() >= np.square(g).sum():
-            size /= 2
-            continue
-        z, have, gram, size = new, t, new_gram, min(1.0, 2 * size)
-    model.z, model.targets, model.reached = z.tolist(), target.tolist(), have.tolist()
+        now = now.withColumns({"#y": F.col("#new") + F.lit(momentum) * (F.col("#new") - F.col("#r")), "#r": F.col("#new")}).drop("#new")
+        chain += 1
+        if chain % CHAIN == 0:
+            now = materialize(spark, now, "rates")
+    model.targets, model.reached = target.tolist(), have.tolist()
     return model
 
 
-def fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: str = "natural", per_domain: int = 3_000, keep: tuple[str, ...] = ()) -> tuple[Mixture, DataFrame]:
+def fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: str = "natural", per_domain: int = 3_000, most_words: int = 400, keep: tuple[str, ...] = ()) -> tuple[Mixture, DataFrame]:
     """Classifier and rates, and the stored rows that they were fitted on: the columns ``keep`` of ``docs``, #draw, #n, #p0, ..."""
     domains = sorted(weights)
-    model = fit_classifier(docs, labelled, domains, per_domain)
-    rows = with_posteriors(docs.select(*keep, draw().alias("#draw"), "text"), model)
-    slim = materialize(docs.sparkSession, rows.select(*keep, "#draw", "#n", *[f"#p{k}" for k in range(len(domains))]), "posteriors")
-    return fit_rates(slim, model, weights, budget), slim
+    model = fit_classifier(docs, labelled, domains, per_domain, most_words)
+    kept = [F.col(f"`{c}`") for c in keep]
+    rows = with_posteriors(docs.select(*kept, draw().alias("#draw"), *[] if "text" in keep else ["text"]), model)
+    rows = materialize(docs.sparkSession, rows.select(*kept, "#draw", "#n", *[f"#p{k}" for k in range(len(domains))]), "posteriors")
+    return fit_rates(rows, model, weights, budget), rows
 
 
 def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> Mixture:
@@ -247,14 +282,14 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **optio
     """doc_id, n_tokens, posteriors (by domain name in order), rate, copies of each row of ``docs``; texts are scored once."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model, rows = fitted(slim, labelled, weights, keep=("doc_id",), **options)
-    rows = rows.withColumn("#rate", rate(model.z))
+    rows = rows.withColumn("#rate", rate(model))
     return rows.select("doc_id", F.col("#n").cast("long").alias("n_tokens"), F.array(*[F.col(f"#p{k}") for k in range(len(model.domains))]).alias("posteriors"), F.col("#rate").alias("rate"), copies(F.col("#draw")).alias("copies"))
 
 
 def resampled(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as its copies say."""
-    model = fit(docs, labelled, weights, **options)
-    rows = with_posteriors(docs, model).withColumn("#rate", rate(model.z)).withColumn("#copies", copies(draw()))
+    model, rows = fitted(docs, labelled, weights, keep=tuple(docs.columns), **options)
+    rows = rows.withColumn("#rate", rate(model)).withColumn("#copies", copies(F.col("#draw")))
     return rows.where(F.col("#copies") > 0).withColumn("#k", F.explode(F.sequence(F.lit(1), F.col("#copies")))).select(*docs.columns)
 
 

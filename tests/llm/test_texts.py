@@ -107,6 +107,39 @@ def test_runs_stay_whole():
         assert sum(tables, []) == keys and all(not set(a) & set(b) for a, b in zip(tables, tables[1:]))
 
 
+def test_recall_near_the_threshold(spark):
+    """Pairs of a similarity between 0.8 and 0.85, against brute force."""
+    rng, rows, want = random.Random(9), [], set()
+    for k in range(400):
+        t = words(rng, 200).split()
+        other = t[:]
+        for at in rng.sample(range(0, 200, 8), rng.randrange(3, 5)):  # a changed word changes five shingles
+            other[at] = words(rng, 1)
+        a, b = shingle_set(" ".join(t)), shingle_set(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.85:
+            want.add((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(t), 0.0, 1, ""), (2 * k + 1, " ".join(other), 0.0, 1, "")]
+    join = ngram_join.Join(spark.createDataFrame(rows, DOCS))
+    got = {tuple(sorted((r.doc_a, r.doc_b))) for r in join.link_pairs().collect()}
+    assert len(want) > 100 and len(want & got) >= 0.99 * len(want)
+    assert ngram_join.shortest_prefix(0.8, 0.9999) <= join.depth <= ngram_join.LABEL
+
+
+def test_prefix_is_shortened_only_as_needed(spark):
+    links = lambda counts: spark.createDataFrame([(d, a) for d, a, n in counts for _ in range(n)], "depth int, agree int")
+    assert ngram_join.matched_prefix(links([(8, 256, 50), (6, 100, 50)]), 0.8, 0.99, 6) == 8
+    assert ngram_join.matched_prefix(links([(8, 256, 50), (7, 220, 50), (6, 220, 1)]), 0.8, 0.99, 6) == 7
+    assert ngram_join.matched_prefix(links([(8, 256, 50), (6, 220, 5)]), 0.8, 0.99, 6) == 6
+
+
+def test_one_id_with_many_texts(spark):
+    rng = random.Random(6)
+    base = words(rng, 100)
+    rows = [(7, base + " " + words(rng, 2), 0.0, 1, "") for _ in range(60)] + [(8, base, 0.0, 1, "")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows)
+
+
 def labelled_rows(n=300):
     rng, rows, labels = random.Random(2), [], []
     for i in range(n):
@@ -174,6 +207,38 @@ def test_mixing_meets_reachable_targets(spark):
     assert np.abs(total / total.sum() - [0.8, 0.15, 0.05]).max() < 0.01
 
 
+@pytest.mark.parametrize("weights", [(0.5, 0.3, 0.2), (0.02, 0.02, 0.96), (1.0, 0.0, 0.0)])
+def test_rates_are_the_least_squares_solution(spark, weights):
+    """Against brute force: many plain projected-gradient steps over all rates in memory, and the conditions of an optimum."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet((0.4, 0.3, 0.2), 300)
+    n = rng.integers(0, 500, 300).astype(float)
+    slim = spark.createDataFrame([(float(x), *map(float, q)) for x, q in zip(n, p)], "`#n` double, `#p0` double, `#p1` double, `#p2` double")
+    model = mixing.Mixture(["a", "b", "c"], [], 0, [[0.0]] * 3)
+    mixing.fit_rates(slim, model, dict(zip("abc", weights)), ridge=0.01, most_steps=400, tolerance=1e-7)
+    got = np.array([r.r for r in slim.select("#n", "#p0", mixing.rate(model).alias("r")).collect()])
+    total, target = n.sum(), np.array(model.targets)
+    assert target == pytest.approx(np.array(weights) / sum(weights) * total)
+    a, curve = (n[:, None] * p).T / total, 1 / ((n[:, None] * p * p).sum(0) / total)
+
+    def slope(r):  # by token
+        return p @ (curve * (a @ r - target / total)) + 0.01 * (r - 1)
+
+    r = np.ones(300)
+    for _ in range(60_000):
+        r = np.maximum(0, r - model.size * slope(r))
+    assert np.abs(r - got)[n > 0].max() < 1e-3
+    g = slope(got)[n > 0]
+    assert g.min() > -1e-4 and np.abs(g * (got[n > 0] > 1e-6)).max() < 1e-4
+    assert model.reached == pytest.approx(a @ got * total, abs=1e-3 * total)
+
+
+def test_words_never_share_a_bucket(spark):
+    words = [f"w{k}" for k in range(3_000)]
+    seed, buckets, at = mixing.without_collisions(spark, words, seeds=4)
+    assert len(set(at.values())) == 3_000 and max(at.values()) < buckets
+
+
 def test_mixing_odd_rows(spark):
     rows, labels = labelled_rows(40)
     docs, lab = spark.createDataFrame(rows, DOCS), mixing.quality_domains(spark.createDataFrame(labels, LABELS))
