@@ -1,15 +1,18 @@
 """Quality classifier by compression with dictionaries.
 
 Two zstandard dictionaries are trained, on good and on bad labelled text. Each text is cut into windows over its whole
-length; every window is compressed with either dictionary. The difference of the two compressed sizes over their mean,
-with the plain compression ratio and the length beside it, goes through a logistic calibration fitted on labelled rows
-that the dictionaries have not seen.
-
-Labels are learnt from at most ``per_class`` rows of each label (those with the smallest hash of the id), and of each
-no more than ``sample_chars`` characters go into a dictionary. Rows whose crc32(doc_id as text) mod ``folds`` is
-``held_fold`` are never learnt from. Texts alone are scored.
-
-A null text is the empty text. An empty text gets the calibrated score of no evidence. Labels other than 0 and 1, or
+length; every window is compressed with either dictionary and with none. The evidence is the normalised difference of the sizes
+under the two dictionaries (over the whole text, and its least and greatest over windows), with the same difference between either's
+and the plain size, and between the plain size and the text's own, and the length. A logistic calibration, fitted on labelled rows that the dictionaries have
+not seen, makes it the probability of label 1 at the share that label 1 has among the labels. Evidence beyond what the calibration saw
+counts as its end, and a text of few bytes is drawn to that share (half way at ``SHORT`` bytes).
+
+Labels are learnt from at most ``per_class`` rows of each label (those with the smallest hash of the id), one row for an id. Of those
+for the dictionaries at most ``dict_chars`` characters each go to the driver; the others are measured whole, in tasks, and six
+numbers each go to the driver. Rows whose crc32(doc_id as text) mod ``folds`` is ``held_fold`` are never learnt from. Texts alone are
+scored.
+
+A null text is the empty text. An empty text has the share of label 1 as its score. Labels other than 0 and 1, or
 null, are left out; a doc_id with both labels counts as bad. With no labels of one kind every score is 0.5 or more if
 only good ones are known, below if only bad ones. Repeated rows are scored each; an empty table gives no rows.
 """
@@ -26,17 +29,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, text_of
 
 WINDOW = 2_048
 LEVEL = 3
+#: Bytes at which a text's own evidence and the share of label 1 weigh the same.
+SHORT = 32
+FEATURES = 6
 
 
 class Model:
     """Dictionaries and calibration; ``weights`` are for the columns of ``features``."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None, mean: np.ndarray | None = None, scale: np.ndarray | None = None):
-        self.good, self.bad, self.weights, self.mean, self.scale = good, bad, weights, mean, scale
+    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None, ends: np.ndarray | None = None, prior: float = 0.0):
+        self.good, self.bad, self.weights, self.ends, self.prior = good, bad, weights, ends, prior  # prior: log odds of label 1
 
     @functools.cached_property
     def packers(self) -> list:
@@ -51,7 +57,8 @@ class Model:
     def features(self, text: str) -> list[float]:
         raw = text.encode("utf-8", "replace")
         if not raw:
-            return [0.0] * 6
+            return [0.0] * FEATURES
+        apart = lambda x, y: (x - y) / (x + y)
         good = bad = plain = 0
         low, high = 1.0, -1.0
         for k in range(0, len(raw), WINDOW):
@@ -59,21 +66,26 @@ class Model:
             g, b, p = (len(x.compress(part)) for x in self.packers)
             good, bad, plain = good + g, bad + b, plain + p
             if len(part) >= WINDOW // 2 or k == 0:
-                low, high = min(low, (b - g) / (b + g)), max(high, (b - g) / (b + g))
-        return [(bad - good) / (bad + good), low, high, min(1.5, plain / len(raw)), min(1.5, good / len(raw)), float(np.log1p(len(raw))) / 10]
+                low, high = min(low, apart(b, g)), max(high, apart(b, g))
+        return [apart(bad, good), low, high, apart(plain, good), apart(len(raw), plain), float(np.log(len(raw)))]
 
     def expand(self, rows: np.ndarray) -> np.ndarray:
-        z = (rows - self.mean) / self.scale
+        low, high, mean, scale = self.ends
+        z = (np.clip(rows, low, high) - mean) / scale
         k = z.shape[1]
         return np.hstack([np.ones((len(z), 1)), z] + [z[:, [i]] * z[:, [j]] for i in range(k) for j in range(i, k)])
 
     def scores(self, rows: list[list[float]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.expand(np.asarray(rows, float).reshape(len(rows), -1)) @ self.weights, -30, 30)))
+        x = np.asarray(rows, float).reshape(len(rows), FEATURES)
+        size = np.where((x == 0).all(1), 0.0, np.exp(x[:, -1]))
+        trust = size / (size + SHORT)
+        own = self.expand(x) @ self.weights if self.weights is not None else np.full(len(x), self.prior)
+        return 1 / (1 + np.exp(-np.clip(trust * own + (1 - trust) * self.prior, -30, 30)))
 
     def calibrate(self, rows: list[list[float]], labels: list[int], ridge: float = 1.0) -> Model:
-        """Logistic regression by Newton steps, with a ridge."""
+        """Logistic regression by Newton steps, with a ridge; the sample's share of label 1 gives way to the prior."""
         x, y = np.asarray(rows, float), np.asarray(labels, float)
-        self.mean, self.scale = x.mean(0), x.std(0) + 1e-9
+        self.ends = np.stack([x.min(0), x.max(0), x.mean(0), x.std(0) + 1e-9])
         x = self.expand(x)
         w, keep = np.zeros(x.shape[1]), np.r_[0.0, np.full(x.shape[1] - 1, ridge)]
         for _ in range(50):
@@ -82,53 +94,65 @@ class Model:
             w += step
             if np.abs(step).max() < 1e-6:
                 break
+        w[0] += self.prior - np.log(y.sum() / (len(y) - y.sum()))
         self.weights = w
         return self
 
 
 def dictionary(texts: list[str], size: int) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train on."""
+    """A trained dictionary; where zstandard finds too little to train on, the end of the texts themselves is one."""
     parts = [raw[k : k + WINDOW] for t in texts for raw in [t.encode("utf-8", "replace")] for k in range(0, len(raw), WINDOW) if raw[k : k + WINDOW]]
-    total = sum(map(len, parts))
-    if len(parts) >= 50 and total > 8 * size // 4:
-        try:
-            return zstandard.train_dictionary(min(size, total // 4), parts, k=200, d=8, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return b"".join(parts)[-size:]
+    try:
+        return zstandard.train_dictionary(min(size, sum(map(len, parts)) // 4), parts, k=200, d=8, level=LEVEL).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(parts)[-size:]
 
 
 def fold(id_col: str = "doc_id", folds: int = 3):
     return F.crc32(F.col(id_col).cast("string")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, sample_chars: int = 4_096, dict_bytes: int = 112_640, folds: int = 3, held_fold: int = 1) -> Model:
+def measured(texts: DataFrame, model: Model) -> DataFrame:
+    """y and the features of each row (y, text)."""
+    shipped = texts.sparkSession.sparkContext.broadcast((model.good, model.bad))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*shipped.value)
+        for batch in batches:
+            rows = [own.features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["y", "x"])
+
+    return texts.select("y", "text").mapInArrow(run, "y int, x array<double>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, dict_chars: int = 4_096, dict_bytes: int = 112_640, folds: int = 3, held_fold: int = 1) -> Model:
     """A model from a bounded sample of labelled rows outside the held fold."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold(folds=folds) != held_fold))
     own = own.groupBy("doc_id").agg(F.min("y").alias("y"))
+    shares = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = own.where("y = 0").orderBy(*order).limit(per_class).unionByName(own.where("y = 1").orderBy(*order).limit(per_class))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    # at most 2 x per_class ids are broadcast; a text that is longer than its share gives windows spread over its length
-    known = texts.join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(7)))
-    rows = known.withColumn("at", F.pmod("h", F.greatest(F.length("text") - sample_chars, F.lit(1))) + 1).select("y", "h", F.col("text").substr(F.col("at").cast("int"), F.lit(sample_chars)).alias("part")).dropDuplicates(["h"]).orderBy("h").collect()
-    split = [[(r.y, r.part) for r in rows if (r.h % 5 < 3) == first] for first in (True, False)]
-    model = Model(*(dictionary([t for y, t in split[0] if y == k], dict_bytes) for k in (1, 0)))
-    y = [y for y, _ in split[1]]
-    if len(set(y)) < 2:
-        every = [r.y for r in rows]
-        sure = 0.0 if not every or len(set(every)) == 2 else (1.0 if every[0] else -1.0)
-        model.mean, model.scale, model.weights = np.zeros(6), np.ones(6), np.r_[sure, np.zeros(27)]
-        if len(set(every)) == 2:
-            model.weights[1] = 20.0
-        return model
-    return model.calibrate([model.features(t) for _, t in split[1]], y)
+    # at most 2 x per_class ids are broadcast
+    known = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
+    known = materialize(docs.sparkSession, known, "labelled-texts")
+    first = F.pmod("h", F.lit(5)) < 3
+    # of a longer text the window starts anywhere
+    at = (F.pmod("h", F.greatest(F.length("text") - dict_chars, F.lit(1))) + 1).cast("int")
+    parts = known.where(first).select("y", "doc_id", F.col("text").substr(at, F.lit(dict_chars)).alias("part")).orderBy("doc_id").collect()
+    model = Model(*(dictionary([r.part for r in parts if r.y == k], dict_bytes) for k in (1, 0)))
+    model.prior = float(np.log((shares.get(1, 0) + 0.5) / (shares.get(0, 0) + 0.5)))
+    rows = measured(known.where(~first), model).collect()
+    if len({r.y for r in rows}) == 2 and len({r.y for r in parts}) == 2:
+        order = sorted(range(len(rows)), key=lambda k: rows[k].x)  # the same sums in any order of rows
+        model.calibrate([rows[k].x for k in order], [rows[k].y for k in order])
+    return model
 
 
 def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """``docs`` with ``columns`` kept, and score and predicted added; every whole text is scored in one pass."""
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(pickle.dumps((model.good, model.bad, model.weights, model.mean, model.scale)))
+    shipped = spark.sparkContext.broadcast(pickle.dumps((model.good, model.bad, model.weights, model.ends, model.prior)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*pickle.loads(shipped.value))
