@@ -2,9 +2,13 @@
 
 A page is cut into blocks at block-level tags. Each block has a length, a link density, a stop-word density and the
 containers it stands in. The first pass decides: blocks in boilerplate containers or with dense links are boilerplate;
-long blocks with enough stop words are content; blocks between are near content; short ones stay open. The second
-pass gives open and near blocks the label of their nearest decided neighbours, content where both sides agree.
-Inside an <article> or <main> that has content, blocks outside it are boilerplate.
+long blocks with enough stop words are content; blocks between are near content; short ones stay open. On a page whose
+text has next to no stop words of the languages known here, the marks that end or divide sentences stand in for them, and
+characters of scripts without spaces count for more length. The second pass gives open and near blocks the label of their nearest decided
+neighbours, content where both sides agree. Where most of the text that looks like content stands inside an <article> or <main>, the
+blocks outside are boilerplate and open blocks inside are content; an <article> that holds less than that counts for nothing.
+
+A class or an id marks a container as boilerplate only as a whole: "social-share" and "comments-list" do, "social-security" does not.
 
 A null page is the empty page and gives an empty text. Markup that never ends is read to the end of the page. Repeated
 rows give repeated results; an empty table gives none. Other columns are ignored.
@@ -16,7 +20,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +40,13 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
 BOILERPLATE_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies copyright disqus footer masthead menu modal nav navbar navigation newsletter notice "
-    "notices pagination pager popup popular promo promoted related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar trending widget".split()
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies copyright discussion disqus footer masthead menu modal nav navbar navigation newsletter notice "
+    "notices pagination pager popular popup promo promoted related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar trending widget".split()
+)
+#: Words that say nothing about a container beside one of the above.
+NEUTRAL_WORDS = frozenset(
+    "area article bar bl blog body bottom box btn button buttons center col column container content entry footer form global group header holder icon icons inline inner item items left link links list main "
+    "media mobile module news outer page panel placement post primary reader readers region right row secondary section site slot story text title to top unit user users wrap wrapper".split()
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 PRUNED_BY_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -46,6 +55,8 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 RAW_ENDS = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in RAW_TAGS}
 WORD = re.compile(r"\w+")
+MARKS = re.compile("[.!?;:,\u3001\u3002\uff01\uff0c\uff1f\u060c\u061f\u0964]")
+UNSPACED = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")  # Thai, Lao, kana, Han, Hangul
 SPACE = re.compile(r"\s+")
 
 
@@ -58,7 +69,9 @@ class Rules:
     stop_low: float = 0.12
     stop_high: float = 0.22
     links: float = 0.4
-    heading_reach: int = 200
+    known_language: float = 0.04
+    unspaced: float = 1.5
+    inside_share: float = 0.5
 
 
 @dataclass
@@ -68,8 +81,16 @@ class Block:
     heading: bool
     boilerplate: bool
     inside: bool
-    label: str = ""
-    path: tuple = field(default=(), repr=False)
+    item: bool = False
+
+
+def marks_boilerplate(names: str) -> bool:
+    """Whether one of the names of a class or id attribute stands for boilerplate as a whole."""
+    for name in re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", names).lower().split():
+        parts = {x for x in re.split(r"[^a-z]+", name) if x}
+        if parts & BOILERPLATE_WORDS and parts <= BOILERPLATE_WORDS | NEUTRAL_WORDS:
+            return True
+    return False
 
 
 def is_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
@@ -78,7 +99,8 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, b
         return True, False
     hidden = False
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        name, given = m[1].lower(), m[2] or m[3] or m[4] or ""
+        value = given.lower()
         if name == "hidden" and m[0].lower() == "hidden" or name == "aria-hidden" and value == "true":
             hidden = True
         elif name == "style":
@@ -86,7 +108,7 @@ def is_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, b
         elif name == "role":
             if value in BOILERPLATE_ROLES:
                 return True, hidden
-        elif name in ("class", "id") and tag not in ("html", "body", "main", "article") and BOILERPLATE_WORDS.intersection(re.split(r"[^a-z]+", value)):
+        elif name in ("class", "id") and tag not in ("html", "body", "main", "article") and marks_boilerplate(given):
             return True, hidden
     return hidden, hidden
 
@@ -132,7 +154,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            found.append(Block(text, linked, tags.any("h1", "h2", "h3", "h4", "h5", "h6"), tags.flag(1), tags.any("article", "main")))
+            found.append(Block(text, linked, tags.any("h1", "h2", "h3", "h4", "h5", "h6"), tags.flag(1), tags.any("article", "main"), tags.any("li", "dd", "dt", "td", "th")))
         parts.clear()
         linked = 0
 
@@ -176,26 +198,47 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def first_pass(b: Block, rules: Rules) -> str:
-    """good, bad, near or open."""
-    size = len(b.text)
-    if b.boilerplate or b.linked > rules.links * size:
-        return "bad"
-    words = [w.lower() for w in WORD.findall(b.text)]
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if size < rules.short:
-        return "open"
-    if stops >= rules.stop_high:
-        return "good" if size > rules.long else "near"
-    if stops >= rules.stop_low:
-        return "near"
-    return "open" if b.linked == 0 and b.inside else "bad"
+def stop_words(text: str) -> tuple[int, int]:
+    """(stop words, words) of a text."""
+    words = [w.lower() for w in WORD.findall(text)]
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def first_pass(found: list[Block], rules: Rules) -> list[str]:
+    """good, bad, near or open for each block."""
+    counts = [(0, 0) if b.boilerplate else stop_words(b.text) for b in found]
+    unlinked = [c for b, c in zip(found, counts) if not b.linked]
+    known = sum(s for s, _ in unlinked) >= rules.known_language * sum(n for _, n in unlinked)
+    out = []
+    for b, (stops, n) in zip(found, counts):
+        size = len(b.text) + rules.unspaced * len(UNSPACED.findall(b.text))
+        marks = len(MARKS.findall(b.text))
+        if known:
+            density = stops / max(1, n)
+        else:  # a mark for each 60 characters is dense, one for each 150 is not
+            density = rules.stop_high if marks * 60 >= size else rules.stop_low if marks * 150 >= size else 0.0
+        if b.boilerplate:
+            out.append("bad")
+        elif b.linked > rules.links * len(b.text):
+            sentence = b.inside and not b.item and not b.heading and size >= rules.short and density >= rules.stop_low and marks
+            out.append("near" if sentence else "bad")
+        elif size < rules.short:
+            out.append("open")
+        elif density >= rules.stop_high:
+            out.append("good" if size > rules.long else "near")
+        elif density >= rules.stop_low:
+            out.append("near")
+        else:
+            out.append("open" if b.linked == 0 and b.inside else "bad")
+    return out
 
 
 def second_pass(found: list[Block], rules: Rules) -> list[Block]:
     """Blocks that are content."""
-    decided = [first_pass(b, rules) for b in found]
-    inside = any(b.inside and not b.boilerplate for b in found)
+    decided = first_pass(found, rules)
+    mass = lambda inside: sum(len(b.text) for b, label in zip(found, decided) if b.inside == inside and label in ("good", "near"))
+    own = sum(len(b.text) for b in found if b.inside and not b.boilerplate)
+    inside = own > 0 and own >= rules.inside_share * (own + mass(False))
     for k, b in enumerate(found):
         if inside and not b.inside:
             decided[k] = "bad"

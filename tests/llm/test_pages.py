@@ -1,6 +1,9 @@
 import hashlib
+import html
 import json
 import random
+import re
+from collections import Counter
 
 import pyarrow.fs as pafs
 import pytest
@@ -27,6 +30,49 @@ def test_without_an_article_the_neighbours_decide():
     assert text.startswith(ARTICLE) and "So it is." in text and "Home" not in text and "Next" not in text
 
 
+RUSSIAN = "Суд рассмотрел жалобу, поданную заявителем в прошлом году, и решил, что доводы сторон нуждаются в проверке. Решение вступит в силу после публикации."
+CHINESE = "法院认为，申请人在去年提出的请求需要重新审查，因此本案发回下级法院。判决自公布之日起生效，双方可以在规定的期限内提出上诉，逾期不再受理。"
+NAV = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>"
+#: (page, its main text by hand)
+LABELLED = [
+    (f"<body>{NAV}<div class='text'><p>{RUSSIAN} {RUSSIAN}</p><p>{RUSSIAN}</p></div><div><a href='/a'>Контакты</a> <a href='/b'>О нас</a></div></body>", f"{RUSSIAN} {RUSSIAN} {RUSSIAN}"),
+    (f"<body>{NAV}<div><p>{CHINESE}{CHINESE}</p><p>{CHINESE}</p></div><div><a href='/a'>关于我们</a></div></body>", f"{CHINESE}{CHINESE} {CHINESE}"),
+    (f"<body>{NAV}<article><a href='/t'>Teaser</a></article><div><p>{ARTICLE} {ARTICLE}</p><p>{ARTICLE} {ARTICLE}</p></div></body>", f"{ARTICLE} {ARTICLE} {ARTICLE} {ARTICLE}"),
+    (f"<body>{NAV}<article><p>{ARTICLE} {ARTICLE}</p><section class='discussion'><p>{ARTICLE} I do not agree with any of it.</p></section></article></body>", f"{ARTICLE} {ARTICLE}"),
+    (f"<body>{NAV}<article><p>{ARTICLE} {ARTICLE}</p><div class='social-security'><p>{ARTICLE} It is a right.</p></div><div class='social-share'>Tell all of your friends</div></article></body>", f"{ARTICLE} {ARTICLE} {ARTICLE} It is a right."),
+    (f"<body>{NAV}<article><p>{ARTICLE} {ARTICLE}</p><p><a href='/x'>{ARTICLE}</a></p><ul><li><a href='/r'>Read of the next one and the others in the list of this week now</a></li></ul><p>{ARTICLE} {ARTICLE}</p></article></body>", f"{ARTICLE} {ARTICLE} {ARTICLE} {ARTICLE} {ARTICLE}"),
+    (f"<body>{NAV}<main><h1>The rule</h1><p>{ARTICLE}</p><div id='commentList'><p>{ARTICLE} First!</p></div></main><div class='cookie-notice'>We use them to make it better for you.</div></body>", f"The rule {ARTICLE}"),
+    (f"<body>{NAV}<div class='post'><h2>A heading</h2><p>{ARTICLE} {ARTICLE}</p><p>So it is.</p><p>{ARTICLE} {ARTICLE}</p></div><aside><p>{ARTICLE}</p></aside><footer><p>{ARTICLE}</p></footer></body>", f"A heading {ARTICLE} {ARTICLE} So it is. {ARTICLE} {ARTICLE}"),
+]
+
+
+def test_labelled_pages_precision_and_recall():
+    right = found = wanted = 0
+    for page, text in LABELLED:
+        got, want = Counter(re.findall(r"\w", html_text.main_text(page))), Counter(re.findall(r"\w", text))
+        right, found, wanted = right + (got & want).total(), found + got.total(), wanted + want.total()
+    assert right >= 0.98 * found and right >= 0.98 * wanted
+
+
+@pytest.mark.parametrize("k", range(len(LABELLED)))
+def test_labelled_page(k):
+    assert html_text.main_text(LABELLED[k][0]) == LABELLED[k][1]
+
+
+def test_all_pages_of_the_table_keep_their_paragraphs(spark, sf):
+    """The articles of the test table, by a reader of their one form of page: what stands between <article> tags, without markup."""
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
+    got = {r.page_id: r.text for r in html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()}
+    squeezed = lambda t: re.sub(r"\s+", "", t)
+    seen = 0
+    for r in rows:
+        m = re.search(r"<article>(.*?)</article>", r.html or "", re.S)
+        if m and not re.search(r"<(form|aside|div|section|footer|header|nav|script|style|!--)", m[1]):
+            seen += 1
+            assert squeezed(got[r.page_id]) == squeezed(html.unescape(re.sub(r"<[^>]*>", " ", m[1])))
+    assert seen >= 10
+
+
 @pytest.mark.parametrize("page", ["<", "<p", "<!-- x", "<p class='a", "</p></div>", "<script>", "a < b & c &bogus; &#0; &#x110000;", "<b>" * 5_000 + "x", "<p>" + "word " * 200_000, "<a href=x>" * 3_000])
 def test_odd_markup(page):
     assert isinstance(html_text.main_text(page), str)
