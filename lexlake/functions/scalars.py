@@ -145,6 +145,38 @@ def surname(full_name: Column) -> Column:
     return F.coalesce(F.get(words, last), F.lit(""))
 
 
+#: What follows a name in a byline.
+ROLE_SUFFIX = r"(?i),?\s*(?:(?:chief|presiding|associate|acting|vice)\s+)*(?:judge|justice|c\.?\s?j\.?|p\.?\s?j\.?|jj?\.)\s*$"
+
+
+def byline_surname(name: Column) -> Column:
+    """The last word of a name in a byline, without the role that follows it and what stands after a comma; generations are not told apart."""
+    bare = F.element_at(F.split(F.trim(F.regexp_replace(text_or_blank(name), ROLE_SUFFIX, "")), ","), 1)
+    return F.regexp_replace(F.regexp_extract(F.trim(bare), r"(\S+)$", 1), r"^[.,'\-]+|[.,'\-]+$", "")
+
+
+def level_slug(level: Column) -> Column:
+    return F.lower(text_or_blank(level))
+
+
+def disposition_class(bucket: Column, disposition: Column) -> Column:
+    """The stored bucket, or else that of the disposition."""
+    return F.coalesce(blank_to_null(bucket), disposition_bucket(disposition))
+
+
+def bar_width(part_: Column, whole: Column, most: int = 100) -> Column:
+    """A share as a whole number of ``most``, halves up; 0 where there is no whole."""
+    return F.coalesce(F.round(part_ / F.nullif(whole, F.lit(0)) * most), F.lit(0)).cast("int")
+
+
+def inside_parenthesis(text: Column, at: Column, window: int = 150) -> Column:
+    """Whether place ``at`` (from 0) stands in a parenthesis that opened within ``window`` characters and has not closed."""
+    before = F.substring(text, F.greatest(at - window, F.lit(0)) + 1, F.least(at, F.lit(window)))
+    last = lambda c: F.length(before) - F.instr(F.reverse(before), c)
+    has = F.contains(before, F.lit("("))
+    return has & (~F.contains(before, F.lit(")")) | (last("(") > last(")")))
+
+
 def name_key(full_name: Column) -> Column:
     return F.translate(F.lower(collapse(full_name)), ".,", "")
 
@@ -299,4 +331,4 @@ def highlight(escaped: Column, query: str) -> Column:
 
 def title_case(c: Column) -> Column:
     """Words in capitals get one capital; mixed case stays."""
-    return F.array_join(F.transform(F.split(text_or_blank(c), " "), lambda w: F.when((w == F.upper(w)) & (F.length(w) > 1), F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1_000)))).otherwise(w)), " ")
+    return F.array_join(F.transform(F.split(text_or_blank(c), " "), lambda w: F.when((w == F.upper(w)) & (F.length(w) > 1), F.concat(F.substring(w, 1, 1), F.lower(w.substr(F.lit(2), F.length(w))))).otherwise(w)), " ")

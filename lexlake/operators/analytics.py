@@ -191,7 +191,7 @@ def review_progress(labels: DataFrame) -> DataFrame:
 
 
 def tag_index(tags: DataFrame, opinions: DataFrame) -> DataFrame:
-    """Opinions with each tag among the given ones, tags without any left out, with the list of their ids by date."""
+    """How many of the given opinions each tag has, and the date of the newest; tags without any are left out. The opinions of a tag: ``lookups.opinions_of``."""
     rows = tags.join(opinions.select(F.col("id").alias("opinion_id"), "release_date"), "opinion_id")
     return rows.groupBy("category", "tag").agg(F.count_distinct("opinion_id").alias("n"), F.max("release_date").alias("newest")).where("n > 0")
 

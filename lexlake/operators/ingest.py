@@ -56,20 +56,25 @@ def best_text(opinions: DataFrame, order: tuple[str, ...] = LOAD_PRIORITY) -> Da
 
 
 def load_opinions(dockets: DataFrame, clusters: DataFrame, courts: DataFrame, existing: DataFrame) -> DataFrame:
-    """New opinions: first title that is not blank, a date and a court; a docket number of its own where there is none; known clusters and keys left out."""
+    """New opinions: first title that is not blank, a date and a court; a docket number of its own where there is none. Known clusters are left out, and
+    known (court, docket, date) where ``existing`` has them; of several clusters with one such key the smallest id comes in."""
     name = F.coalesce(*[S.blank_to_null(F.col(c)) for c in ("case_name", "case_name_full", "case_name_short")])
     rows = clusters.join(dockets.select(F.col("id").alias("docket_id"), "docket_number", F.col("court_id").alias("source_court")), "docket_id")
-    rows = rows.join(F.broadcast(courts.select(F.col("external_id").alias("source_court"), F.col("id").alias("court_id"))), "source_court")
+    rows = rows.join(courts.select(F.col("external_id").alias("source_court"), F.col("id").alias("court_id")), "source_court")
     number = F.coalesce(S.blank_to_null(F.col("docket_number")), F.concat(F.lit("cl-"), F.col("id")))
     rows = rows.select(F.col("id").alias("cluster_id"), "court_id", number.alias("case_number"), name.alias("title"), F.try_to_date("date_filed", "yyyy-MM-dd").alias("release_date"), "disposition", (F.col("precedential_status") == "Published").alias("is_precedential"))
     fresh = rows.where("title IS NOT NULL AND release_date IS NOT NULL").join(existing.select("cluster_id"), "cluster_id", "left_anti")
-    return fresh.dropDuplicates(["court_id", "case_number", "release_date"])
+    key = ["court_id", "case_number", "release_date"]
+    if set(key) <= set(existing.columns):
+        fresh = fresh.join(existing.select(*key), key, "left_anti")
+    rest = [c for c in fresh.columns if c not in key]
+    return fresh.groupBy(*key).agg(F.min_by(F.struct(*rest), "cluster_id").alias("x")).select("x.cluster_id", *key, *[F.col(f"x.{c}") for c in rest if c != "cluster_id"]).select(*fresh.columns)
 
 
 def load_judges(people: DataFrame, positions: DataFrame, courts: DataFrame, primary: tuple[str, ...]) -> DataFrame:
     """Judges with their main court (first of ``primary``, earliest start) and earliest appointment; slugs made unique by -2, -3, ..."""
     rank = priority(F.col("court_id"), primary)
-    at = positions.join(F.broadcast(courts.select(F.col("external_id").alias("court_id"), F.col("id").alias("own_court"))), "court_id").withColumn("start", F.try_to_date("date_start", "yyyy-MM-dd"))
+    at = positions.join(courts.select(F.col("external_id").alias("court_id"), F.col("id").alias("own_court")), "court_id").withColumn("start", F.try_to_date("date_start", "yyyy-MM-dd"))
     main = at.groupBy("person_id").agg(F.min_by("own_court", F.struct(rank, F.col("start").isNull(), "start", "own_court")).alias("court_id"), F.min("start").alias("appointment_date"))
     name = S.collapse(F.concat_ws(" ", "name_first", "name_middle", "name_last", "name_suffix"))
     rows = people.join(main, people.id == main.person_id).select(people.id.alias("external_id"), "court_id", "appointment_date", name.alias("full_name")).withColumn("base", S.slugify(F.col("full_name")))
@@ -91,9 +96,10 @@ def reject_future(rows: DataFrame, ref_date: str, column: str = "date_filed") ->
 
 
 def upsert(old: DataFrame, new: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
-    """Old and new rows with one row for each key: new before old, the latest new one by ``order``. One shuffle by the key."""
+    """Old and new rows with one row for each key: new before old, the latest new one by ``order``; of equal ones that with the larger
+    values in the other columns, taken in order. One shuffle by the key."""
     both = old.withColumn("gen", F.lit(0)).unionByName(new.withColumn("gen", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*key).orderBy(F.desc("gen"), F.desc(order))
+    w = Window.partitionBy(*key).orderBy(F.desc("gen"), F.desc(order), *[F.desc(c) for c in both.columns if c not in (*key, order, "gen") and not c.startswith("map")])
     return both.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "gen")
 
 
@@ -133,7 +139,7 @@ def changed_fields(rows: DataFrame, manifest: DataFrame, key: tuple[str, ...], f
     for f in fields:
         one = ~F.col(f).eqNullSafe(F.col(f"new_{f}"))
         differs = one if differs is None else differs | one
-    return rows.join(F.broadcast(m), list(key)).where(differs)
+    return rows.join(m, list(key)).where(differs)
 
 
 def fill_parsed(opinions: DataFrame, parsed: DataFrame, fields: tuple[str, ...]) -> DataFrame:

@@ -11,6 +11,11 @@ from lexlake.functions import scalars as S
 LINE = r'\[(\d{1,2}/[A-Za-z]{3}/\d{4}):[^\]]*\]\s+"[A-Z]+\s+(\S.*?)\s+HTTP/[0-9.]+"\s+(\d{3})\s+\S+\s+"([^"]*)"'
 LIVE_AGENTS = ("chatgpt-user", "claude-user", "claude-web", "perplexity-user")
 TRAINING_AGENTS = ("gptbot", "claudebot", "ccbot", "google-extended", "bytespider", "amazonbot", "perplexitybot")
+BLOCKED_CRAWLERS = ("semrushbot", "ahrefsbot", "mj12bot", "dotbot", "seznambot", "blexbot", "petalbot", "rogerbot", "exabot", "magpie-crawler")
+INDEXERS = (
+    "googlebot", "google-extended", "bingbot", "duckduckbot", "gptbot", "oai-searchbot", "chatgpt-user", "claudebot", "anthropic-ai", "claude-web", "perplexitybot", "ccbot", "applebot", "amazonbot", "bytespider",
+    "facebookexternalhit", "meta-externalagent", "claude-user", "perplexity-user",
+)
 PAGE_SHAPES = (
     (r"^/opinion/.*/cited-by/?$", "/opinion/<X>/cited-by/"), (r"^/opinion/.*/pdf/?$", "/opinion/<X>/pdf/"), (r"^/opinion/.", "/opinion/<X>/"), (r"^/judge/.", "/judge/<X>/"),
     (r"^/statute/.", "/statute/<X>/"), (r"^/tag/.", "/tag/<X>/"), (r"^/sitemap", "/sitemap*.xml"),
@@ -29,6 +34,12 @@ def has_token(agent: Column, tokens: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower(agent), t))
 
 
+def crawler_kind(agent: Column) -> Column:
+    """blocked, indexer or visitor."""
+    own = F.coalesce(agent, F.lit(""))
+    return F.when(has_token(own, BLOCKED_CRAWLERS), "blocked").when(has_token(own, INDEXERS), "indexer").otherwise("visitor")
+
+
 def page_shape(path: Column) -> Column:
     out = None
     for pattern, shape in PAGE_SHAPES:

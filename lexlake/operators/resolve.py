@@ -30,7 +30,7 @@ def docket_lookup(requests: DataFrame, opinions: DataFrame, courts: DataFrame) -
     so that many requests for a docket of many opinions do not multiply."""
     ask = ["docket", "want_level", "want_date"]
     asked = requests.select(*ask).distinct().withColumn("variant", F.explode(lookup_variants(F.col("docket"))))
-    op = opinions.select("id", "court_id", "case_number", "release_date").join(F.broadcast(courts.select(F.col("id").alias("court_id"), F.col("level"))), "court_id")
+    op = opinions.select("id", "court_id", "case_number", "release_date").join(courts.select(F.col("id").alias("court_id"), F.col("level")), "court_id")
     hits = asked.join(op, asked.variant == op.case_number)
     level = F.lower("level")
     wanted = S.text_or_blank(F.lower(F.trim("want_level")))
@@ -150,13 +150,19 @@ def merge_children(rows: DataFrame, plan: DataFrame, key: str, only_if_empty: bo
     if only_if_empty:
         moved = moved.withColumn("any_own", F.max("own").over(Window.partitionBy(key))).where("own OR NOT any_own").drop("any_own")
     moved = moved.drop("own")
-    return moved.dropDuplicates([key, *unique]) if unique else moved
+    if not unique:
+        return moved
+    rest = [c for c in moved.columns if c not in (key, *unique)]
+    if not rest:
+        return moved.distinct()
+    best = moved.groupBy(key, *unique).agg(F.min(F.struct(*rest)).alias("x"))  # of rows that fall together the smallest
+    return best.select(key, *unique, *[F.col(f"x.{c}") for c in rest]).select(*moved.columns)
 
 
 def rehome(opinions: DataFrame, courts: DataFrame, default_court: Column, division: Column) -> DataFrame:
     """Opinions moved to the court of their division, where the docket tells it."""
     c = courts.select(F.col("state_code").alias("to_state"), F.col("level").alias("to_level"), F.col("division").alias("to_division"), F.col("id").alias("to_court"))
-    rows = opinions.withColumn("want", division).join(F.broadcast(c), (F.col("want") == F.col("to_division")) & (F.col("state_code") == F.col("to_state")) & (F.col("level") == F.col("to_level")), "left")
+    rows = opinions.withColumn("want", division).join(c, (F.col("want") == F.col("to_division")) & (F.col("state_code") == F.col("to_state")) & (F.col("level") == F.col("to_level")), "left")
     return rows.withColumn("court_id", F.coalesce("to_court", default_court)).drop("want", "to_state", "to_level", "to_division", "to_court")
 
 
@@ -182,7 +188,7 @@ def parallel_cites(rows: DataFrame, opinions: DataFrame, existing: DataFrame, ke
     skip = F.exists(F.array(*map(F.lit, SKIPPED_REPORTERS)), lambda r: F.contains(F.col("cite"), r))
     fresh = rows if keep_all else rows.where(~skip)
     fresh = fresh.where((F.trim("cite") != "") & (F.length("cite") <= 64)).join(opinions.select("cluster_id", F.col("id").alias("opinion_id")), "cluster_id")
-    return fresh.select("opinion_id", "cite", "reporter").dropDuplicates(["opinion_id", "cite"]).join(existing.select("opinion_id", "cite"), ["opinion_id", "cite"], "left_anti")
+    return fresh.groupBy("opinion_id", "cite").agg(F.min("reporter").alias("reporter")).join(existing.select("opinion_id", "cite"), ["opinion_id", "cite"], "left_anti")
 
 
 def roster_diff(judges: DataFrame, roster: DataFrame, key: str = "source_id") -> DataFrame:

@@ -172,7 +172,26 @@ def centroids(items: DataFrame, group: str, vector: str = "embedding") -> DataFr
     return long.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
 
 
+def stale_vectors(stored: DataFrame, opinions: DataFrame) -> DataFrame:
+    """Stored rows whose (opinion_id, court_id, release_date) is no opinion with a vector any more."""
+    own = opinions.where("embedding IS NOT NULL").select(F.col("id").alias("opinion_id"), "court_id", "release_date")
+    return stored.join(own, ["opinion_id", "court_id", "release_date"], "left_anti")
+
+
+def year_bounds(opinions: DataFrame) -> DataFrame:
+    """First and last year of each court's opinions with a vector, and how many these are."""
+    year = F.year("release_date")
+    return opinions.where("embedding IS NOT NULL").groupBy("court_id").agg(F.min(year).alias("first_year"), F.max(year).alias("last_year"), F.count(F.lit(1)).alias("n"))
+
+
 def sync_vectors(opinions: DataFrame, path: str) -> None:
-    """The slim vector table, partitioned by court and year; rows that are gone from ``opinions`` are gone from what is written."""
+    """The slim vector table, partitioned by court and year. Partitions with an opinion are written anew; one whose opinions are all gone would stay
+    as it is, so the folders of such (court, year) pairs are deleted: their number, not their rows, goes through the driver."""
+    spark = opinions.sparkSession
     rows = opinions.where("embedding IS NOT NULL").select("court_id", F.year("release_date").alias("year"), "release_date", F.col("id").alias("opinion_id"), "embedding")
     rows.repartition("court_id", "year").sortWithinPartitions("release_date", "opinion_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("court_id", "year").parquet(path)
+    stored = spark.read.parquet(path).select("court_id", "year").distinct()
+    gone = stored.join(rows.select("court_id", "year").distinct(), ["court_id", "year"], "left_anti")
+    for r in gone.toLocalIterator():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/court_id={r.court_id}/year={r.year}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

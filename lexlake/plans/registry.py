@@ -273,17 +273,9 @@ def strip_markup_pages(spark, d):
     return role(spark, d, "pages").select("page_id", S.strip_markup(F.col("html")).alias("text"))
 
 
-@query("SELECT o_orderkey AS id, 'A' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS case_number, CAST(o_orderdate AS DATE) AS iso_date, 'ctappub' AS category FROM orders WHERE year(o_orderdate) >= 2000")
-def url_parse_manifest(spark, d):
-    url = F.format_string("https://x/law-library-stat/archive/ctappub/OPa%02d%04d-%s.pdf", F.col("o_orderkey") % 100, F.col("o_orderkey") % 10000, F.date_format("o_orderdate", "MMddyy"))
-    rows = role(spark, d, "orders").where("year(o_orderdate) >= 2000").select(F.col("o_orderkey").alias("id"), url.alias("url"))
-    parts = S.archive_url(F.col("url"))
-    return rows.select("id", *[c.alias(n) for n, c in parts.items()])
-
-
 @query("SELECT o_orderkey AS id, 'A' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 10000 AS VARCHAR), 4, '0') AS case_number, make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) AS iso_date, 'ctappub' AS category FROM orders")
-def url_parse_manifest_all(spark, d):
-    """All orders; a year of two digits is read as 20xx. ``url_parse_manifest`` reads those of 2000 and later."""
+def url_parse_manifest(spark, d):
+    """All orders; a year of two digits is read as 20xx."""
     url = F.format_string("https://x/law-library-stat/archive/ctappub/OPa%02d%04d-%s.pdf", F.col("o_orderkey") % 100, F.col("o_orderkey") % 10000, F.date_format("o_orderdate", "MMddyy"))
     parts = S.archive_url(F.col("url"))
     return role(spark, d, "orders").select(F.col("o_orderkey").alias("id"), url.alias("url")).select("id", *[c.alias(n) for n, c in parts.items()])
@@ -375,8 +367,8 @@ STATE_SQL = by_state({s: f"'{s}'" for s in RENDERED})
 
 
 def rendered(spark, d) -> DataFrame:
-    """Citation-shaped texts of the opinions, of a state each."""
-    return role(spark, d, "opinion").select("id", F.expr(STATE_SQL).alias("state_code"), F.expr(by_state(RENDERED)).alias("raw_text"), F.lit("").alias("self_cite"))
+    """Citation-shaped texts of the opinions, of a state each; the test tables are one row group each, so they are dealt to all cores."""
+    return role(spark, d, "opinion").repartition(spark.sparkContext.defaultParallelism).select("id", F.expr(STATE_SQL).alias("state_code"), F.expr(by_state(RENDERED)).alias("raw_text"), F.lit("").alias("self_cite"))
 
 
 @query(f"SELECT id, {by_state(SLUGS)} AS reference_slug, 6 AS text_offset FROM opinion", "opinion")
@@ -384,10 +376,17 @@ def statute_mentions(spark, d):
     return T.extract_statutes(rendered(spark, d)).select("id", "reference_slug", "text_offset")
 
 
-@query("SELECT id, 'Minn. Stat. § ' || (100 + id % 800) || '.' || (1 + id % 99) AS found, 6 AS at FROM opinion WHERE id % 4 = 0", "opinion")
+NATIVE = {"MN": r"Minn\. Stat\. § \d+\.\d+", "NH": r"RSA \d+-[A-Z]:\d+", "AZ": r"A\.R\.S\. § \d+-\d+", "LA": r"La\. R\.S\. \d+:\d+"}
+NATIVE_SQL = {
+    "MN": "'Minn. Stat. § ' || (100 + id % 800) || '.' || (1 + id % 99)", "NH": "'RSA ' || (100 + id % 800) || '-A:' || (1 + id % 99)",
+    "AZ": "'A.R.S. § ' || (1 + id % 48) || '-' || (100 + id % 900)", "LA": "'La. R.S. ' || (1 + id % 56) || ':' || (10 + id % 900)",
+}
+
+
+@query(f"SELECT id, {by_state(NATIVE_SQL)} AS found, 6 AS at FROM opinion", "opinion")
 def statute_mentions_native(spark, d):
-    texts = rendered(spark, d).where("state_code = 'MN'")
-    return texts.select("id", F.inline(T.native_offsets(F.col("raw_text"), r"Minn\. Stat\. § \d+\.\d+")))
+    found = F.coalesce(*[F.when(F.col("state_code") == s, T.native_offsets(F.col("raw_text"), p)) for s, p in NATIVE.items()])
+    return rendered(spark, d).select("id", F.inline(found))
 
 
 @query(f"SELECT id, {by_state(CITED)} AS reporter_cite, CAST(instr({by_state(RENDERED)}, CASE WHEN id % 4 = 3 THEN replace({by_state(CITED)}, 'So. 2d', 'So.2d') ELSE {by_state(CITED)} END) - 1 AS INTEGER) AS text_offset FROM opinion", "opinion")
@@ -472,18 +471,24 @@ def docket_rename_plan(spark, d):
     return R.rename_plan(role(spark, d, "opinion"))
 
 
-@query(f"""WITH q AS (SELECT id AS request_id, {CANON_SQL} AS docket, case_number FROM opinion WHERE id % 17 = 0), v AS (SELECT DISTINCT request_id, docket, unnest(CASE WHEN starts_with(lower(docket), 'no.') THEN [docket, c] ELSE [docket, c, 'No. ' || docket, 'No. ' || c] END) AS variant FROM (SELECT request_id, docket, {CANON_SQL.replace('case_number', 'docket')} AS c FROM q)),
-    h AS (SELECT DISTINCT request_id, docket, o.id AS opinion_id, release_date, CASE level WHEN 'SUPREME' THEN 0 ELSE 1 END AS rank FROM v JOIN opinion o ON o.case_number = variant JOIN court c ON c.id = o.court_id)
-    SELECT request_id, docket, opinion_id, release_date FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, release_date DESC, opinion_id) AS rn FROM h) WHERE rn = 1""", "opinion", "court")
+LOOKUP_SQL = """a AS (SELECT DISTINCT docket, want_level, want_date FROM q), v AS (SELECT DISTINCT docket, want_level, want_date, unnest(CASE WHEN starts_with(lower(docket), 'no.') THEN [docket, c] ELSE [docket, c, 'No. ' || docket, 'No. ' || c] END) AS variant FROM (SELECT *, {canon} AS c FROM a)),
+    h AS (SELECT DISTINCT docket, want_level, want_date, o.id AS opinion_id, release_date, CASE level WHEN 'SUPREME' THEN 0 ELSE 1 END AS rank, CASE WHEN want_date = release_date AND (want_level = '' OR lower(level) = want_level) THEN 0 WHEN want_level <> '' AND lower(level) = want_level THEN 1 ELSE 2 END AS tier FROM v JOIN opinion o ON o.case_number = variant JOIN court c ON c.id = o.court_id),
+    b AS (SELECT *, row_number() OVER (PARTITION BY docket, want_level, want_date ORDER BY tier, CASE WHEN tier = 2 THEN rank ELSE 0 END, release_date DESC, CASE WHEN tier = 1 THEN -opinion_id ELSE opinion_id END) AS rn FROM h)
+    SELECT request_id, q.docket, opinion_id, release_date FROM q JOIN b ON b.docket = q.docket AND b.want_level = q.want_level AND b.want_date IS NOT DISTINCT FROM q.want_date WHERE rn = 1""".format(canon=CANON_SQL.replace("case_number", "docket"))
+
+
+@query(f"WITH q AS (SELECT id AS request_id, {CANON_SQL} AS docket, CASE id % 3 WHEN 1 THEN 'appeals' ELSE '' END AS want_level, CASE id % 3 WHEN 2 THEN release_date END AS want_date FROM opinion), " + LOOKUP_SQL, "opinion", "court")
 def docket_lookup_pick(spark, d):
+    """The docket of every opinion is a request: a third with a wish for a level, a third with a date."""
     op, courts = tables(spark, d, "opinion", "court")
-    asked = op.where("id % 17 = 0").select(F.col("id").alias("request_id"), S.canonical_case_number(F.col("case_number")).alias("docket"), F.lit("").alias("want_level"), F.lit(None).cast("date").alias("want_date"))
+    level, date = F.when(F.col("id") % 3 == 1, "appeals").otherwise(""), F.when(F.col("id") % 3 == 2, F.col("release_date"))
+    asked = op.select(F.col("id").alias("request_id"), S.canonical_case_number(F.col("case_number")).alias("docket"), level.alias("want_level"), date.alias("want_date"))
     return R.docket_lookup(asked, op, courts)
 
 
-@query(ORACLES["docket_lookup_pick"].replace(" WHERE id % 17 = 0", ""))
+@query(f"WITH q AS (SELECT id AS request_id, {CANON_SQL} AS docket, '' AS want_level, CAST(NULL AS DATE) AS want_date FROM opinion), " + LOOKUP_SQL, "opinion", "court")
 def docket_lookup_all(spark, d):
-    """The docket of every opinion is a request; ``docket_lookup_pick`` asks for one in 17."""
+    """The docket of every opinion is a request, without a wish."""
     op, courts = tables(spark, d, "opinion", "court")
     asked = op.select(F.col("id").alias("request_id"), S.canonical_case_number(F.col("case_number")).alias("docket"), F.lit("").alias("want_level"), F.lit(None).cast("date").alias("want_date"))
     return R.docket_lookup(asked, op, courts)
@@ -631,9 +636,16 @@ def holdings(spark, d):
     return T.extract_holdings(docs)
 
 
-@query("SELECT id, 'smith' AS author_last FROM opinion", "opinion")
+WRITERS = ("smith", "larkin", "o'brien", "bjorkman")
+BYLINE_SHAPES = ("'STATE OF MINNESOTA\\n{n}, Judge\\nThe appeal fails.'", "'Justice {n} authored the opinion of the Court, in which Justices Lopez and King joined.\\nMore.'", "'COURT OF APPEAL\\n\\n{n}, J.\\n\\nThe facts.'")
+
+
+@query(f"SELECT id, [{', '.join("'" + w.replace("'", "''") + "'" for w in WRITERS)}][1 + id % 4] AS author_last FROM opinion", "opinion")
 def bylines(spark, d):
-    docs = role(spark, d, "opinion").select("id", F.lit("STATE OF MINNESOTA\nSMITH, Judge\nThe appeal fails.").alias("raw_text"))
+    """Four writers in the bylines of three states."""
+    name = F.upper(F.get(F.array(*map(F.lit, WRITERS)), (F.col("id") % 4).cast("int")))
+    shapes = [F.concat(*[x for k, part in enumerate(t.strip("'").encode().decode("unicode_escape").split("{n}")) for x in ([name] if k else []) + [F.lit(part)]]) for t in BYLINE_SHAPES]
+    docs = role(spark, d, "opinion").select("id", F.get(F.array(*shapes), (F.col("id") % 3).cast("int")).alias("raw_text"))
     return T.extract_bylines(docs).select("id", "author_last")
 
 
@@ -736,3 +748,6 @@ def user_sessions(spark, d):
     from lexlake.streaming.pipelines import sessions
 
     return sessions(role(spark, d, "events")).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))
+
+
+from lexlake.plans import more  # noqa: E402, F401  (registers its queries)

@@ -57,4 +57,4 @@ def test_every_opinion_and_order_is_asked(spark, sf):
     got = registry.QUERIES["docket_lookup_all"](spark, sf)
     assert got.count() == got.select("request_id").distinct().count() and got.where("request_id % 17 <> 0").count() > 10 * got.where("request_id % 17 = 0").count()
     assert got.join(dockets, got.request_id == dockets.id, "left_anti").isEmpty()
-    assert registry.QUERIES["url_parse_manifest_all"](spark, sf).count() == registry.role(spark, sf, "orders").count()
+    assert registry.QUERIES["url_parse_manifest"](spark, sf).count() == registry.role(spark, sf, "orders").count()
