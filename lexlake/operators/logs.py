@@ -69,7 +69,8 @@ def agent_profile(log: DataFrame, opinions: DataFrame, courts: DataFrame, ref_da
     """What live agents read, by decade, outcome, court and in all; cases that are not in the corpus are counted apart. Where a case number is not
     unique, the opinion with the oldest date, then the smallest id, stands for it."""
     hits = live_fetches(log, ref_date, days)
-    one = opinions.groupBy("case_number").agg(F.min_by(F.struct("court_id", "release_date", "disposition", "id"), F.struct("release_date", "id")).alias("o"))
+    read = opinions.join(hits.select("case_number"), "case_number", "left_semi")  # the cases that were asked for, before anything is aggregated
+    one = read.groupBy("case_number").agg(F.min_by(F.struct("court_id", "release_date", "disposition", "id"), F.struct("release_date", "id")).alias("o"))
     rows = hits.join(one, "case_number", "left").select("hits", "o.*").join(courts.select(F.col("id").alias("court_id"), "state_code", "level"), "court_id", "left")
     known = F.col("release_date").isNotNull()
     facts = F.array(

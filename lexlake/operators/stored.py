@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; under a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'lexlake-shared')}"
-    base = base if ":" in base.split("/")[0] else f"file://{base}"
+    """A new folder under ``spark.checkpoint.dir``; under a temporary one only in local mode, where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or f"file://{os.path.join(tempfile.gettempdir(), 'lexlake-shared')}"
     return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 

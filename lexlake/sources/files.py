@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexlake.operators.stored import fresh_dir, store
+
 CORRUPT = "_corrupt_record"
 
 
 def bulk_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    r"""The raw dump: "\" escapes, quotes are not doubled, fields hold line breaks (so a file is one task; split dumps by table),
+    r"""The raw dump: "\" escapes, quotes are not doubled, fields hold line breaks (so a file is one task: for large dumps see ``split_csv``),
     bz2 is read as it is. Rows that do not read are kept in a column, to be counted and left out by ``valid``."""
     return spark.read.schema(f"{schema}, {CORRUPT} STRING").options(header=True, multiLine=True, quote='"', escape="\\", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True).csv(path)
 
 
+def split_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    r"""The raw dump like ``bulk_csv``, for files of any size: lines are read in splits (bz2 too), and a record goes on where the quotes before a
+    line, counted over all lines of its file, are odd. Rows that do not read are kept in the same column. ``path`` is one file."""
+    lines = spark.read.text(path).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
+    bare = F.regexp_replace("value", r"\\\\.", "")  # without escaped characters
+    lines = store(lines.withColumn("quotes", F.length(bare) - F.length(F.translate(bare, '"', ""))), fresh_dir(spark, "dump-lines"))
+    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    over_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    before = lines.groupBy("part").agg(F.sum("quotes").alias("q")).select("part", F.coalesce(F.sum("q").over(over_parts), F.lit(0)).alias("before"))
+    open_quotes = F.col("before") + F.coalesce(F.sum("quotes").over(inside), F.lit(0))
+    lines = lines.join(before, "part").withColumn("starts", (open_quotes % 2 == 0).cast("long"))
+    earlier = lines.groupBy("part").agg(F.sum("starts").alias("s")).select("part", F.coalesce(F.sum("s").over(over_parts), F.lit(0)).alias("earlier"))
+    upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.join(earlier, "part").withColumn("record", F.col("earlier") + F.sum("starts").over(upto))
+    records = numbered.groupBy("record").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    read = F.from_csv("value", f"{schema}, {CORRUPT} STRING", {"quote": '"', "escape": "\\", "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return records.where("record > 1").select(read.alias("r")).select("r.*")  # the first record is the header
+
+
 def subset_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Files that were filtered before: standard CSV, quotes are doubled."""
     return spark.read.schema(f"{schema}, {CORRUPT} STRING").options(header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).csv(path)

@@ -222,3 +222,33 @@ def test_same_result_for_any_partitions(spark, sf):
         out.append(got(registry.QUERIES["sitemap_chunks"](spark, sf)) + got(registry.QUERIES["judge_merge_plan"](spark, sf)))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1]
+
+
+def test_split_dump_equals_the_whole_read(spark, tmp_path):
+    from lexlake.sources import files
+
+    lines = ["id,name,note"] + [f'{i},"n{i}","line one of {i}\nand \\"two\\", with a comma\n\nfour"' if i % 3 else f"{i},plain,none" for i in range(3_000)]
+    path = tmp_path / "dump.csv"
+    path.write_text("\n".join(lines) + "\n")
+    schema = "id INT, name STRING, note STRING"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        split = files.split_csv(spark, str(path), schema)
+        got = sorted(map(tuple, files.valid(split).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sorted(map(tuple, files.valid(files.bulk_csv(spark, str(path), schema)).collect()))
+    assert len(want) == 3_000 and got == want
+
+
+def test_vectors_of_emptied_partitions_go(spark, tmp_path):
+    from lexlake.operators import search
+
+    rows = [(i, i % 3, f"20{10 + i % 4}-01-0{1 + i % 5}", [1.0, float(i)]) for i in range(24)]
+    op = spark.createDataFrame(rows, "id long, court_id long, d string, embedding array<double>").selectExpr("id", "court_id", "cast(d as date) release_date", "embedding")
+    path = str(tmp_path / "vectors")
+    search.sync_vectors(op, path)
+    assert spark.read.parquet(path).count() == 24
+    search.sync_vectors(op.where("court_id <> 1 AND id <> 0"), path)
+    kept = spark.read.parquet(path)
+    assert sorted(r.opinion_id for r in kept.select("opinion_id").collect()) == [i for i in range(24) if i % 3 != 1 and i != 0]
