@@ -306,8 +306,8 @@ def verified(sets: DataFrame, members: DataFrame, threshold: float, pairs: bool
 def components(spark, links: DataFrame) -> DataFrame:
     """key, root: the smallest key that each key of ``links`` (a, b) is connected to, by alternating large and small stars.
 
-    The least neighbours are stored before each join, so that both of its sides are read from a shuffle and adaptive execution can split
-    a hub that many rows name. Tables that a later round replaces are deleted."""
+    The least neighbours are stored before the join that meets hubs, so that both of its sides are read from a shuffle and adaptive execution
+    can split a hub that many rows name. Tables that a later round replaces are deleted."""
     stored: list[str] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -322,10 +322,11 @@ def components(spark, links: DataFrame) -> DataFrame:
         before, old = tuple(now), stored[:]
         both = edges.union(edges.select("v", "u"))
         least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = kept(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), "large-stars")
-        least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
-        edges = kept(small, "small-stars")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        # the larger end of an edge is no hub: after the large stars it has few neighbours
+        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(nearest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u > v").distinct()
+        edges = kept(small, "stars")
         for path in old:
             discard(spark, path)
             stored.remove(path)
