@@ -59,7 +59,7 @@ def without_collisions(spark: SparkSession, words: list[str], seeds: int = 32) -
     """A seed and a number of buckets that give each word a bucket of its own, and the buckets."""
     buckets = 65_536
     while words:
-        rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", F.array(*[bucket_of(F.col("word"), s, buckets) for s in range(seeds)]).alias("b")).collect()
+        rows = spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("word")).select("word", F.array(*[bucket_of(F.col("word"), s, buckets) for s in range(seeds)]).alias("b")).collect()
         for s in range(seeds):
             if len({r.b[s] for r in rows}) == len(words):
                 return s, buckets, {r.word: r.b[s] for r in rows}
