@@ -23,10 +23,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, n_blocks, text_of
 
 #: Steps that are one expression before the rates are stored.
 CHAIN = 8
+#: Rows that a task of a step reads: some numbers each, so that a step is not all overhead.
+STEP_ROWS = 100_000
 #: Words, and runs of other characters on their own.
 SPLIT = r"\s+|(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}\s])"
 
@@ -209,7 +211,7 @@ def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget
     natural total."""
     spark, k, n = slim.sparkSession, len(model.domains), F.col("#n")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    first = slim.agg(F.sum(n).alias("n"), *[F.sum(n * F.col(f"#p{d}")).alias(f"t{d}") for d in range(k)], *[F.sum(n * F.col(f"#p{i}") * F.col(f"#p{j}")).alias(f"g{i}_{j}") for i, j in pairs]).first()
+    first = slim.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("rows"), *[F.sum(n * F.col(f"#p{d}")).alias(f"t{d}") for d in range(k)], *[F.sum(n * F.col(f"#p{i}") * F.col(f"#p{j}")).alias(f"g{i}_{j}") for i, j in pairs]).first()
     every, have = float(first["n"] or 0.0), np.array([first[f"t{d}"] or 0.0 for d in range(k)])
     model.targets = model.reached = have.tolist()
     if not every:
@@ -225,7 +227,8 @@ def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget
         gram[i, j] = gram[j, i] = (first[f"g{i}_{j}"] or 0.0) / every
     curve = 1 / np.maximum(gram.diagonal(), 1e-12)
     model.ridge, model.size = ridge, float(1 / (np.linalg.eigvalsh(np.sqrt(np.outer(curve, curve)) * gram).max() + ridge))
-    state = materialize(spark, slim.select("#n", *[f"#p{d}" for d in range(k)], F.lit(1.0).alias("#r"), F.lit(1.0).alias("#y")), "rates")
+    state = slim.select("#n", *[f"#p{d}" for d in range(k)], F.lit(1.0).alias("#r"), F.lit(1.0).alias("#y"))
+    state = materialize(spark, state.coalesce(n_blocks(first["rows"], STEP_ROWS)), "rates")
     now, chain, t = state, 0, 1.0
     at_y = have  # totals at the point that the step starts from
     for _ in range(most_steps):
