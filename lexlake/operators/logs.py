@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexlake.functions import scalars as S
 
-# The shape of a log line, live agents, and the shapes of pages, first match first.
+# The shape of a log line, agents that read live, that collect, that are blocked and that index, and the shapes of pages, first match first.
 LINE = r'\[(\d{1,2}/[A-Za-z]{3}/\d{4}):[^\]]*\]\s+"[A-Z]+\s+(\S.*?)\s+HTTP/[0-9.]+"\s+(\d{3})\s+\S+\s+"([^"]*)"'
 LIVE_AGENTS = ("chatgpt-user", "claude-user", "claude-web", "perplexity-user")
 TRAINING_AGENTS = ("gptbot", "claudebot", "ccbot", "google-extended", "bytespider", "amazonbot", "perplexitybot")
