@@ -220,9 +220,10 @@ def byline_surnames(spark, d):
     return role(spark, d, "opinion").select("id", S.byline_surname(F.get(F.array(*map(F.lit, NAMES)), (F.col("id") % 6).cast("int"))).alias("surname"))
 
 
-@query("SELECT doc_id, list_aggregate(list_transform(string_split(text, ' '), lambda w: CASE WHEN w = upper(w) AND length(w) > 1 THEN upper(substr(w, 1, 1)) || lower(substr(w, 2)) ELSE w END), 'string_agg', ' ') AS text FROM (SELECT doc_id, upper(coalesce(text, '')) AS text FROM documents WHERE lang = 'en')")
+@query("SELECT doc_id, list_aggregate(list_transform(string_split(text, ' '), lambda w: CASE WHEN w = upper(w) AND length(w) > 1 THEN upper(substr(w, 1, 1)) || lower(substr(w, 2)) ELSE w END), 'string_agg', ' ') AS text FROM (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g')) AS text FROM documents)")
 def title_casing(spark, d):
-    return role(spark, d, "documents").where("lang = 'en'").select("doc_id", S.title_case(F.upper(F.coalesce("text", F.lit("")))).alias("text"))
+    """ASCII alone: the two engines differ in the capitals of some other letters."""
+    return role(spark, d, "documents").select("doc_id", S.title_case(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", ""))).alias("text"))
 
 
 # --- headers of opinions -------------------------------------------------------------------------------------------------------------
