@@ -77,12 +77,6 @@ def hyphen_plan(judges: DataFrame) -> DataFrame:
     return pairs.where(ok).groupBy(F.col("b.id").alias("loser")).agg(F.min("a.id").alias("survivor"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
 
 
-def follow(plan: DataFrame) -> DataFrame:
-    """The plan with survivors that are losers themselves followed one step."""
-    onward = plan.select(F.col("loser").alias("mid"), F.col("survivor").alias("last"))
-    return plan.join(onward, plan.survivor == onward.mid, "left").select("loser", F.coalesce("last", "survivor").alias("survivor"))
-
-
 def merge_votes(votes: DataFrame, plan: DataFrame) -> DataFrame:
     """Votes of the survivors: one for each opinion and judge, the strongest."""
     rows = votes.join(plan.select(F.col("loser").alias("judge_id"), "survivor"), "judge_id", "left").withColumn("judge_id", F.coalesce("survivor", "judge_id"))

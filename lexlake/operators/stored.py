@@ -15,9 +15,18 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = base or f"file://{os.path.join(tempfile.gettempdir(), 'lexlake-shared')}"
+    if ":" not in base.split("/")[0]:  # of Hadoop's default file system, as for Spark itself
+        at = spark._jvm.org.apache.hadoop.fs.Path(base)
+        base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
     return f"{base}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored result that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def store(df: DataFrame, path: str) -> DataFrame:
     """``df`` written once and read back: lineage ends there."""
     df.write.parquet(path)
