@@ -16,23 +16,28 @@ def bulk_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, {CORRUPT} STRING").options(header=True, multiLine=True, quote='"', escape="\\", mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, enforceSchema=True).csv(path)
 
 
-def split_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    r"""The raw dump like ``bulk_csv``, for files of any size: lines are read in splits (bz2 too), and a record goes on where the quotes before a
-    line, counted over all lines of its file, are odd. Rows that do not read are kept in the same column. ``path`` is one file."""
-    lines = spark.read.text(path).withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()})
-    bare = F.regexp_replace("value", r"\\\\.", "")  # without escaped characters
-    lines = store(lines.withColumn("quotes", F.length(bare) - F.length(F.translate(bare, '"', ""))), fresh_dir(spark, "dump-lines"))
-    inside = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    over_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
-    before = lines.groupBy("part").agg(F.sum("quotes").alias("q")).select("part", F.coalesce(F.sum("q").over(over_parts), F.lit(0)).alias("before"))
+def split_csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    r"""The raw dump like ``bulk_csv``, for files of any size and any number of them, each with a header: lines are read in splits (bz2 too), and a record goes
+    on where the quotes before a line, counted over all lines of its file in the order of its splits, are odd. A character after "\" counts for nothing. Rows that
+    do not read are kept in the same column."""
+    at = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"))
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
+    folder = fresh_dir(spark, "dump-lines")
+    lines = store(lines.withColumn("quotes", F.length(bare) - F.length(F.translate(bare, '"', ""))), folder)
+    split = ["file", "block"]
+    inside = Window.partitionBy(*split).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    over_splits = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    before = lines.groupBy(*split).agg(F.sum("quotes").alias("q")).select(*split, F.coalesce(F.sum("q").over(over_splits), F.lit(0)).alias("before"))
     open_quotes = F.col("before") + F.coalesce(F.sum("quotes").over(inside), F.lit(0))
-    lines = lines.join(before, "part").withColumn("starts", (open_quotes % 2 == 0).cast("long"))
-    earlier = lines.groupBy("part").agg(F.sum("starts").alias("s")).select("part", F.coalesce(F.sum("s").over(over_parts), F.lit(0)).alias("earlier"))
-    upto = Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.join(earlier, "part").withColumn("record", F.col("earlier") + F.sum("starts").over(upto))
-    records = numbered.groupBy("record").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    lines = lines.join(before, split).withColumn("starts", (open_quotes % 2 == 0).cast("long"))
+    earlier = lines.groupBy(*split).agg(F.sum("starts").alias("s")).select(*split, F.coalesce(F.sum("s").over(over_splits), F.lit(0)).alias("earlier"))
+    upto = Window.partitionBy(*split).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.join(earlier, split).withColumn("record", F.col("earlier") + F.sum("starts").over(upto))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n")
+    records = numbered.groupBy("file", "record").agg(F.regexp_replace(whole, r"\r\z", "").alias("value"))
     read = F.from_csv("value", f"{schema}, {CORRUPT} STRING", {"quote": '"', "escape": "\\", "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return records.where("record > 1").select(read.alias("r")).select("r.*")  # the first record is the header
+    return records.where("record > 1 AND value <> ''").select(read.alias("r")).select("r.*")  # the first record is the header
 
 
 def subset_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -45,8 +50,9 @@ def valid(df: DataFrame) -> DataFrame:
 
 
 def rejected(df: DataFrame) -> DataFrame:
-    """How many rows do not read. The frame is cached because a file scan of the corrupt column alone is refused."""
-    return df.cache().agg(F.count(CORRUPT).alias("rejected"), F.count(F.lit(1)).alias("rows"))
+    """How many rows do not read. All columns are read, as a file scan of the corrupt column alone is refused."""
+    never = F.xxhash64(*[c for c in df.columns if c != CORRUPT]).cast("string") == ""
+    return df.agg(F.count(F.when(F.col(CORRUPT).isNotNull() | never, 1)).alias("rejected"), F.count(F.lit(1)).alias("rows"))
 
 
 def copy_csv(df: DataFrame, path: str) -> None:
