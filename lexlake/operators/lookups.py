@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexlake.functions import scalars as S
+from lexlake.operators.grams import containing
 from lexlake.operators.resolve import docket_lookup, lookup_variants
 
 # Characters of a text and of a quotation that are given out, and rows of a list.
@@ -45,11 +46,13 @@ def cites_to_opinions(requests: DataFrame, opinions: DataFrame, parallel: DataFr
 
 def judges_by_name(requests: DataFrame, judges: DataFrame, most: int = MOST_NAMES) -> DataFrame:
     """name, state_code, judge_id, candidates: the judge of a state with that slug, else the only one whose name contains it; where several
-    do, the first ``most`` by id and no judge."""
+    do, the first ``most`` by id and no judge. Names meet by their rarest gram inside a state."""
     asked = requests.select("name", "state_code").distinct()
     own = judges.select("state_code", F.col("id").alias("its_id"), "slug", F.lower("full_name").alias("lower_name"))
     exact = asked.join(own, (own.state_code == asked.state_code) & (own.slug == asked.name)).groupBy(asked.name, asked.state_code).agg(F.min("its_id").alias("by_slug"))
-    some = asked.join(own, (own.state_code == asked.state_code) & F.contains(own.lower_name, F.lower(asked.name))).select(asked.name, asked.state_code, "its_id")
+    inside = containing(asked.select("state_code", F.col("name").alias("q")), judges.select("state_code", F.col("full_name").alias("t")), ("state_code",))
+    named = asked.withColumn("q", F.lower("name")).join(inside, ["state_code", "q"])
+    some = named.join(own.select("state_code", "its_id", F.col("lower_name").alias("t")), ["state_code", "t"]).select("name", "state_code", "its_id")
     ranked = some.withColumn("rn", F.row_number().over(Window.partitionBy("name", "state_code").orderBy("its_id"))).where(F.col("rn") <= most)
     near = ranked.groupBy("name", "state_code").agg(F.sort_array(F.collect_list("its_id")).alias("like"))
     rows = asked.join(exact, ["name", "state_code"], "left").join(near, ["name", "state_code"], "left")
