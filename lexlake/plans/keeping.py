@@ -52,3 +52,13 @@ def incremental_landing_stats(spark, d):
     kind = F.col("kind")
     figures = [n(kind == "opinion").alias("opinions"), F.min("day").alias("first_date"), F.max("day").alias("last_date"), F.count_distinct("tag").alias("tags"), n(kind == "judge").alias("judges"), n(F.col("seated")).alias("seated")]
     return view.rows().groupBy("state_code").agg(*figures).where("opinions > 0 AND judges > 0")
+
+
+@query("""WITH h AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, ts, event_id AS id, sha256(CASE WHEN event_type IS NULL THEN '-' ELSE '=' || base64(encode(event_type)) END || ',' || CASE WHEN props IS NULL THEN '-' ELSE '=' || base64(encode(props)) END) AS sha256 FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    l AS (SELECT *, lag(sha256) OVER w AS s, lag(ts) OVER w AS t FROM h WINDOW w AS (PARTITION BY key ORDER BY ts, id)) SELECT key, id, sha256, true AS pending FROM l WHERE s IS NULL OR s <> sha256 OR ts - t > INTERVAL 30 DAY""")
+def pending_changes(spark, d):
+    """Events whose content is not that of the user's event before, or that come 30 days after it; all rows come twice, and a row that comes again counts once."""
+    from lexlake.streaming.changes import content_changes
+
+    ev = tables(spark, d, "events")[0]
+    return content_changes(ev.union(ev), "user_id", "ts", "event_id", ("event_type", "props"), 30 * 86_400).select("key", "id", "sha256", "pending")
