@@ -58,6 +58,16 @@ def error_rate(log: DataFrame, most: int = 20, percent: float = 1.0) -> DataFram
     return by.crossJoin(F.broadcast(checked)).select("shape", "n", "requests", "errors", F.round(rate, 3).alias("rate"), ((F.col("errors") >= most) | (rate >= percent)).alias("alert"))
 
 
+def error_report(spark, paths: list[str], lines: int = 50_000, most: int = 20, percent: float = 1.0) -> DataFrame:
+    """``error_rate`` of the last lines of some log files. A log that cannot be read, is empty, or has no line that reads as a request is an error, never a good report."""
+    from lexlake.sources.tails import tail
+
+    log = parse_lines(tail(spark, paths, lines))
+    if log.isEmpty():
+        raise ValueError("no line reads as a request")
+    return error_rate(log, most, percent)
+
+
 def live_fetches(log: DataFrame, ref_date: str, days: int = 7) -> DataFrame:
     """Successful fetches of opinions by live agents in the last days, by case number."""
     rows = log.where((F.col("status") == 200) & F.col("day").between(F.date_sub(F.lit(ref_date).cast("date"), days - 1), F.lit(ref_date).cast("date")) & has_token(F.col("agent"), LIVE_AGENTS))

@@ -750,4 +750,4 @@ def user_sessions(spark, d):
     return sessions(role(spark, d, "events")).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))
 
 
-from lexlake.plans import indexes, keeping, merging, more  # noqa: E402, F401  (they register their queries)
+from lexlake.plans import indexes, keeping, merging, more, outputs  # noqa: E402, F401  (they register their queries)
