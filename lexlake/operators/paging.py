@@ -12,13 +12,14 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PLACE = (1 << 33) - 1
 
 
 class PagedList:
-    def __init__(self, spark: SparkSession, path: str):
-        self.rows = spark.read.parquet(f"{path}/rows")
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | None = None):
+        self.rows = (spark.read.schema(schema) if schema else spark.read).parquet(f"{path}/rows")
         known = spark.read.parquet(f"{path}/index").orderBy("part").collect()  # a row for each range
         self.parts, sizes = [r.part for r in known], [r.n for r in known]
         self.before, self.total = [0, *accumulate(sizes)][: len(sizes)], sum(sizes)
@@ -30,7 +31,7 @@ class PagedList:
         placed.write.partitionBy("part").parquet(f"{path}/rows")
         spark = df.sparkSession
         spark.read.parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{path}/index")
-        return cls(spark, path)
+        return cls(spark, path, placed.schema)  # without rows there is nothing to read a schema from
 
     def between(self, first: int, last: int) -> DataFrame:
         """Rows ``first`` to ``last`` (without it), from 0, with ``pos`` from 1."""
