@@ -3,14 +3,14 @@
 Pivots are vectors of a bounded sample (``SAMPLE`` vectors of each length, by hash; ``n_pivots`` of them, spread out by
 farthest-first choice). Every vector is represented by its ``prefix`` nearest pivots in order. Pivot inverted files hold, for
 each pivot, the vectors that have it among their first ``posted`` pivots, with their prefixes. A query looks into the
-files of its first ``asked`` pivots only (of all pivots, where these are at most twice as many). There it ranks by the footrule distance of the prefixes (a pivot outside a
+files of its first ``asked`` pivots only. There it ranks by the footrule distance of the prefixes (a pivot outside a
 prefix counts as place ``prefix``); a vector that it meets in several files counts in the first of them. The ``per_list`` best
-of each list go on (all, where the table has no more than ``budget`` vectors), and of those the ``budget`` best of each query, a fixed number at every size, are ranked by the exact
-Euclidean distance in double precision.
+of each list go on, and of those the best of each query are ranked by the exact Euclidean distance in double precision: ``budget`` of them or,
+where that is more, ``share`` of all vectors; all that go on, with ``budget`` None.
 
-Files are cut into lists of at most about ``list_rows`` vectors, and the queries of a pivot into packs; a pack and a list are a
-unit of work, so a pivot that a third of all vectors are close to is spread over many tasks. A query that found fewer than k
-vectors looks into all files.
+Files are cut into lists of at most about ``list_rows`` vectors, so what goes on is a fixed share of what a query meets and recall does not fall as a table
+grows. The queries of a pivot are cut into packs; a pack and a list are a unit of work, so a pivot that a third of all vectors are close to is spread
+over many tasks. A query that found fewer than k vectors looks into all files. The same steps are taken at every size.
 
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a null id.
 Vectors are compared with vectors of the same length only. Equal distances go to the smaller vec_id. Rows that repeat
@@ -63,8 +63,8 @@ def pivots_of(index: DataFrame, n_pivots: int) -> dict[int, np.ndarray]:
     return out
 
 
-def with_prefixes(rows: DataFrame, pivots, prefix: int, places: int, few: int = 0) -> DataFrame:
-    """id, dim, perm (places of 16 bits), lists (the first ``places`` pivots; all where there are at most ``few``) of rows (id, vec)."""
+def with_prefixes(rows: DataFrame, pivots, prefix: int, places: int) -> DataFrame:
+    """id, dim, perm (places of 16 bits), lists (the first ``places`` pivots) of rows (id, vec)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,8 +74,7 @@ def with_prefixes(rows: DataFrame, pivots, prefix: int, places: int, few: int =
                 by_dim.setdefault(len(vec), []).append((i, vec))
             for dim, own in by_dim.items():
                 perms = permutations(np.asarray([v for _, v in own]), pivots.value[dim], prefix)
-                shown = few if len(pivots.value[dim]) <= few else places
-                out += [(i, dim, p.tobytes(), p[:shown].tolist()) for (i, _), p in zip(own, perms)]
+                out += [(i, dim, p.tobytes(), p[:places].tolist()) for (i, _), p in zip(own, perms)]
             if out:
                 kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["id", "dim", "perm", "lists"])
@@ -113,13 +112,14 @@ def by_footrule(pairs: DataFrame, n_pivots: dict[int, int], prefix: int, posted:
 
 
 def nearest(
-    df: DataFrame, every: int = 100, k: int = 10, n_pivots: int = 512, prefix: int = 128, posted: int = 8, asked: int = 48, per_list: int = 32, budget: int = 1_000, list_rows: int = 4_096, query_rows: int = 256
+    df: DataFrame, every: int = 100, k: int = 10, n_pivots: int = 512, prefix: int = 128, posted: int = 8, asked: int = 48, per_list: int = 32, budget: int | None = 1_000, share: float = 0.01, list_rows: int = 1_024, query_rows: int = 256
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found to each vector whose vec_id is divisible by ``every``."""
     spark = df.sparkSession
     rows = materialize(spark, usable(df, lambda v: F.transform(v, lambda x: x.cast("double")), zero=False), "vectors")
     index = materialize(spark, classes(rows, k + 1).select(F.element_at("ids", 1).alias("id"), "ids", "vec", F.size("vec").alias("dim")), "vector-classes")
-    pivots, rows_in_all = pivots_of(index, n_pivots), index.count()
+    pivots = pivots_of(index, n_pivots)
+    most = None if budget is None else max(budget, round(share * index.count()))
     shipped, n_of = spark.sparkContext.broadcast(pivots), {dim: len(p) for dim, p in pivots.items()}
 
     posts = materialize(spark, with_prefixes(index, shipped, prefix, posted), "prefixes").select("id", "dim", "perm", F.explode("lists").alias("pivot"))
@@ -135,22 +135,22 @@ def nearest(
 
     def found(own: DataFrame, places: int) -> DataFrame:
         """query_id, vec_id, score of the vectors within the budget of each query."""
-        looks = with_prefixes(own, shipped, max(prefix, 2 * places), places, 2 * places)
+        looks = with_prefixes(own, shipped, max(prefix, places), places)
         looks = looks.select("dim", F.explode("lists").alias("pivot"), F.col("id").alias("q_ids"), F.substring("perm", 1, 2 * prefix).alias("q_perms"))
         packed = packs(looks.repartition("dim", "pivot").sortWithinPartitions("dim", "pivot"), {"dim": "int", "pivot": "int"}, {"q_ids": "<i8", "q_perms": "raw"}, query_rows)
         pairs = packed.join(F.broadcast(sizes), ["dim", "pivot"]).withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1))).drop("lists").join(files, list(key))
         order = Window.partitionBy("query_id").orderBy("away", "id")
-        met = by_footrule(pairs, n_of, prefix, posted, budget if rows_in_all <= budget else max(per_list, k + 1))
-        if 2 * places > prefix:  # beyond the prefix no file is the first
+        met = by_footrule(pairs, n_of, prefix, posted, max(per_list, k + 1))
+        if places > prefix:  # beyond the prefix no file is the first
             met = met.distinct()
-        near = met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= budget)
+        near = met if most is None else met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
         both = near.join(index.select("id", "ids", "vec"), "id").join(own.select(F.col("id").alias("query_id"), F.col("vec").alias("own")), "query_id")
         distance = F.sqrt(F.aggregate(F.zip_with("vec", "own", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
         rows = both.select("query_id", distance.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
         return best_per_query(rows, k, nearest_first=True)
 
     out = materialize(spark, found(queries, asked), "nearest")
-    wide = [dim for dim, n in n_of.items() if n > 2 * asked]
+    wide = [dim for dim, n in n_of.items() if n > asked]
     full = out.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = queries.where(F.size("vec").isin(wide)).join(full, "id", "left_anti") if wide else queries.limit(0)
     if short.isEmpty():

@@ -99,6 +99,16 @@ def test_recall_with_a_budget_of_a_fortieth(spark):
     check_nearest(table(spark, n=8_000, dim=24), 0.9, budget=200)
 
 
+@pytest.mark.parametrize("n", [300, 3_000])
+def test_recall_at_small_sizes(spark, n):
+    """The same steps at every size: 64 dimensions without clusters, production parameters."""
+    check_nearest(table(spark, n=n, dim=64), 0.9)
+
+
+def test_all_that_go_on(spark):
+    check_nearest(table(spark, n=2_000), 0.95, budget=None, per_list=64)
+
+
 def test_few_files_still_give_k(spark):
     check_nearest(table(spark, n=2_000), 0.2, asked=1, posted=1, budget=20)
 
