@@ -14,6 +14,9 @@ from lexlake.llm.queries import vocabulary
 
 #: Target shares of tokens; the clean domain keeps its natural total, so that its documents stay.
 WEIGHTS = {"clean": 0.98, "toxic": 0.02}
+#: How often a row may stand in the mixture. Near duplicates have just been taken out, so nothing is repeated: what is over its target is thinned, and a target that
+#: there is too little text for stays unmet.
+MOST_COPIES = 1.0
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +30,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the fitted rates say."""
+    """Documents that the fitted rates keep, none more often than MOST_COPIES."""
     toxic = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean").alias("domain"))
-    return mixing.resampled(docs, toxic, WEIGHTS, budget="largest")
+    return mixing.resampled(docs, toxic, WEIGHTS, budget="largest", most_rate=MOST_COPIES)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,7 @@ class Mixture:
     reached: list[float] | None = None
     size: float = 0.0  # of a step
     ridge: float = 0.0
+    most: float | None = None  # the largest rate
     steps: list[tuple[list[float], float]] = field(default_factory=list)  # a slope for each domain, and the momentum
 
 
@@ -182,9 +183,15 @@ def with_posteriors(docs: DataFrame, model: Mixture) -> DataFrame:
 
 
 def moved(y: Column, slopes: list[Column], model: Mixture) -> Column:
-    """A gradient step from the rate ``y`` along a document's posteriors, and never below 0."""
+    """A gradient step from the rate ``y`` along a document's posteriors, never below 0 and never above the largest rate."""
     slope = sum((F.col(f"#p{d}") * g for d, g in enumerate(slopes)), F.lit(0.0))
-    return F.greatest(F.lit(0.0), y - F.lit(model.size) * (slope + F.lit(model.ridge) * (y - 1.0)))
+    new = F.greatest(F.lit(0.0), y - F.lit(model.size) * (slope + F.lit(model.ridge) * (y - 1.0)))
+    return new if model.most is None else F.least(F.lit(float(model.most)), new)
+
+
+def unmet(model: Mixture, within: float = 0.01) -> dict[str, tuple[float, float]]:
+    """Targets that the rates do not reach: domain -> (target, reached), where they are more than ``within`` of the target apart."""
+    return {d: (t, r) for d, t, r in zip(model.domains, model.targets or [], model.reached or []) if abs(t - r) > within * max(t, 1.0)}
 
 
 def rate(model: Mixture) -> Column:
@@ -201,14 +208,14 @@ def rate(model: Mixture) -> Column:
     return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["r"]
 
 
-def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget: str = "natural", ridge: float = 0.002, most_steps: int = 200, tolerance: float = 1e-4) -> Mixture:
+def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget: str = "natural", ridge: float = 0.002, most_steps: int = 200, tolerance: float = 1e-4, most_rate: float | None = None) -> Mixture:
     """Fit the rates on stored (#n, #p...) rows.
 
     Minimised over rates of 0 or more: half the squared differences of the domain totals from their targets, as shares of all tokens, each
     over the domain's own curvature, plus ``ridge`` times half the mean of (rate - 1) squared by token, which keeps rates near 1. The fit
     ends when no rate has anywhere to go (the root of the mean squared step by token, over the step size, is at most ``tolerance``) or
     after ``most_steps``. ``budget``: "natural" keeps the token total; "largest" lets the domain with the largest weight keep its
-    natural total."""
+    natural total. With ``most_rate`` no row counts for more than that: a target that cannot be reached so is not forced (``unmet`` tells which)."""
     spark, k, n = slim.sparkSession, len(model.domains), F.col("#n")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     first = slim.agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("rows"), *[F.sum(n * F.col(f"#p{d}")).alias(f"t{d}") for d in range(k)], *[F.sum(n * F.col(f"#p{i}") * F.col(f"#p{j}")).alias(f"g{i}_{j}") for i, j in pairs]).first()
@@ -226,7 +233,7 @@ def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget
     for i, j in pairs:
         gram[i, j] = gram[j, i] = (first[f"g{i}_{j}"] or 0.0) / every
     curve = 1 / np.maximum(gram.diagonal(), 1e-12)
-    model.ridge, model.size = ridge, float(1 / (np.linalg.eigvalsh(np.sqrt(np.outer(curve, curve)) * gram).max() + ridge))
+    model.ridge, model.most, model.size = ridge, most_rate, float(1 / (np.linalg.eigvalsh(np.sqrt(np.outer(curve, curve)) * gram).max() + ridge))
     state = slim.select("#n", *[f"#p{d}" for d in range(k)], F.lit(1.0).alias("#r"), F.lit(1.0).alias("#y"))
     state = materialize(spark, state.coalesce(n_blocks(first["rows"], STEP_ROWS)), "rates")
     now, chain, t = state, 0, 1.0
@@ -256,14 +263,14 @@ def fit_rates(slim: DataFrame, model: Mixture, weights: dict[str, float], budget
     return model
 
 
-def fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: str = "natural", per_domain: int = 3_000, most_words: int = 400, keep: tuple[str, ...] = ()) -> tuple[Mixture, DataFrame]:
+def fitted(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: str = "natural", per_domain: int = 3_000, most_words: int = 400, keep: tuple[str, ...] = (), most_rate: float | None = None) -> tuple[Mixture, DataFrame]:
     """Classifier and rates, and the stored rows that they were fitted on: the columns ``keep`` of ``docs``, #draw, #n, #p0, ..."""
     domains = sorted(weights)
     model = fit_classifier(docs, labelled, domains, per_domain, most_words)
     kept = [F.col(f"`{c}`") for c in keep]
     rows = with_posteriors(docs.select(*kept, draw().alias("#draw"), *[] if "text" in keep else ["text"]), model)
     rows = materialize(docs.sparkSession, rows.select(*kept, "#draw", "#n", *[f"#p{k}" for k in range(len(domains))]), "posteriors")
-    return fit_rates(rows, model, weights, budget), rows
+    return fit_rates(rows, model, weights, budget, most_rate=most_rate), rows
 
 
 def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], **options) -> Mixture:

@@ -251,6 +251,24 @@ def test_rates_are_the_least_squares_solution(spark, weights):
     assert model.reached == pytest.approx(a @ got * total, abs=1e-3 * total)
 
 
+@pytest.mark.parametrize("most", [1.0, 1.5])
+def test_rates_have_an_upper_bound(spark, most):
+    """Against brute force over the box of rates; targets that cannot be reached are told, not forced."""
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet((0.9, 0.05), 300)
+    n = rng.integers(1, 500, 300).astype(float)
+    slim = spark.createDataFrame([(float(x), *map(float, q)) for x, q in zip(n, p)], "`#n` double, `#p0` double, `#p1` double")
+    model = mixing.Mixture(["a", "b"], [], 0, [[0.0]] * 2)
+    mixing.fit_rates(slim, model, {"a": 0.6, "b": 0.4}, budget="largest", ridge=0.01, most_steps=600, tolerance=1e-7, most_rate=most)
+    got = np.array([r.r for r in slim.select("#n", "#p0", mixing.rate(model).alias("r")).collect()])
+    total, target = n.sum(), np.array(model.targets)
+    a, curve = (n[:, None] * p).T / total, 1 / ((n[:, None] * p * p).sum(0) / total)
+    r = np.ones(300)
+    for _ in range(20_000):
+        r = np.clip(r - model.size * (p @ (curve * (a @ r - target / total)) + 0.01 * (r - 1)), 0, most)
+    assert got.max() <= most and np.abs(r - got).max() < 1e-3 and "b" in mixing.unmet(model)
+
+
 def test_words_never_share_a_bucket(spark):
     words = [f"w{k}" for k in range(3_000)]
     seed, buckets, at = mixing.without_collisions(spark, words, seeds=4)
