@@ -30,7 +30,7 @@ class PagedList:
         placed = df.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order).withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id().bitwiseAND(PLACE)})
         placed.write.partitionBy("part").parquet(f"{path}/rows")
         spark = df.sparkSession
-        spark.read.parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{path}/index")
+        spark.read.schema(placed.schema).parquet(f"{path}/rows").groupBy("part").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.parquet(f"{path}/index")
         return cls(spark, path, placed.schema)  # without rows there is nothing to read a schema from
 
     def between(self, first: int, last: int) -> DataFrame:
