@@ -103,3 +103,22 @@ def opinions_filled_from_logs(spark, d):
     id_ = F.col("event_id")
     own = rows.select(id_.alias("id"), F.lit("").alias("case_number"), F.when(id_ % 6 == 0, "own").otherwise("").alias("title"), F.when(id_ % 7 == 0, "Remanded").otherwise("").alias("disposition"), F.when(id_ % 7 == 0, "kept").otherwise("").alias("disposition_bucket"), (id_ % 8 != 1).alias("is_precedential"))
     return G.filled_opinions(own, logs)
+
+
+@query("""WITH r AS (SELECT *, CASE WHEN id <= (SELECT CAST(floor(max(id) / 2.0) AS BIGINT) FROM opinion) THEN 'crawl-1' ELSE 'crawl-2' END AS crawl FROM opinion)
+    SELECT id, case_number AS docket_number, title AS case_name, CAST(release_date AS VARCHAR) AS date_filed, id * 10 + 1 AS lead_opinion, crawl, CAST(1 AS BIGINT) AS times FROM r""", "opinion")
+def page_feed_new_items(spark, d):
+    """All opinions as pages of an API, newest first, in two crawls of which the second holds all; a stream that stops after the first and goes on reads each once."""
+    from lexlake.sources.page_feed import PageFeed, save_pages
+
+    op = role(spark, d, "opinion").select("id", "case_number", "title", "release_date")
+    half = op.agg(F.floor(F.max("id") / 2)).first()[0] or 0
+    address = F.concat(F.lit(f"{HOST}/api/opinions/"), F.col("id") * 10 + 1, F.lit("/"))
+    item = F.struct("id", F.col("case_number").alias("docketNumber"), F.col("title").alias("caseName"), F.col("release_date").cast("string").alias("dateFiled"), F.array(address).alias("sub_opinions"))
+    folder, out, mark = (fresh_dir(spark, f"page-feed-{x}") for x in ("in", "out", "mark"))
+    spark.dataSource.register(PageFeed)
+    for crawl, rows in (("crawl-1", op.where(F.col("id") <= half)), ("crawl-2", op)):
+        save_pages(rows, item, folder, crawl)
+        spark.readStream.format("page_feed").load(folder).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    read = spark.read.parquet(out)
+    return read.groupBy("id", "docket_number", "case_name", "date_filed", F.element_at("opinion_ids", 1).alias("lead_opinion"), "crawl").agg(F.count(F.lit(1)).alias("times"))
