@@ -82,6 +82,36 @@ def load_judges(people: DataFrame, positions: DataFrame, courts: DataFrame, prim
     return rows.withColumn("slug", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n))).drop("base")
 
 
+def sync_judges(loaded: DataFrame, existing: DataFrame) -> DataFrame:
+    """What a load does to the judges on file: id (null for a new one), external_id, full_name, court_id, appointment_date, slug, action.
+
+    A person is the judge with their external id, else the one with the slug of their name. Then name, external id and court (if there is one) are set; an appointment
+    date on file stays, and so does the slug. Of several persons with one slug the smallest external id takes the judge, unless an id has; the others, and those without
+    a judge, are created under the first free of slug, slug-2, slug-3. Persons without a name are left out; where several judges have an external id or a slug, the
+    smallest id stands for them. Every step is an equi-join or a group by slug or id."""
+    people = loaded.where("trim(full_name) <> ''").select("external_id", F.col("court_id").alias("new_court"), F.col("appointment_date").alias("appointed"), "full_name")
+    people = people.withColumn("base", F.coalesce(S.blank_to_null(F.substring(S.slugify(F.col("full_name")), 1, 120)), F.concat(F.lit("judge-"), "external_id")))
+    first = lambda key: existing.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min("id").alias(f"by_{key}"))
+    ids, slugs = first("external_id"), first("slug")
+    people = people.join(ids, people.external_id == ids.k, "left").drop("k")
+    claimed = people.where("by_external_id IS NOT NULL").select(F.col("by_external_id").alias("by_slug"))
+    free = slugs.join(claimed, "by_slug", "left_anti")
+    people = people.join(free, people.base == free.k, "left").drop("k")
+    turn = F.row_number().over(Window.partitionBy("base", F.col("by_external_id").isNull()).orderBy("external_id"))
+    people = people.withColumn("id", F.coalesce("by_external_id", F.when(turn == 1, F.col("by_slug"))))
+    on_file = existing.select("id", F.col("court_id").alias("old_court"), F.col("appointment_date").alias("on_file"), F.col("slug").alias("old_slug"))
+    people = people.join(on_file, "id", "left")
+    ending = F.try_to_number(F.regexp_extract("slug", r"-([1-9]\d{0,8})$", 1), F.lit("999999999")).cast("long")
+    taken = existing.where("slug IS NOT NULL").select(F.explode(F.array(F.struct(F.col("slug").alias("base"), F.lit(1).cast("long").alias("n")), F.struct(F.regexp_replace("slug", r"-\d+$", "").alias("base"), ending.alias("n")))).alias("x")).select("x.*")
+    taken = taken.where("n IS NOT NULL").groupBy("base").agg(F.collect_set("n").alias("taken"))  # the judges of one name
+    created = people.where("id IS NULL").join(taken, "base", "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<bigint>")))
+    turn = F.row_number().over(Window.partitionBy("base").orderBy("external_id")).cast("long")
+    created = created.withColumn("turn", turn).withColumn("n", F.element_at(F.array_except(F.sequence(F.lit(1).cast("long"), F.size("taken") + F.col("turn")), "taken"), F.col("turn").cast("int")))
+    fresh = created.select("id", "external_id", "full_name", F.col("new_court").alias("court_id"), F.col("appointed").alias("appointment_date"), F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("slug"), F.lit("created").alias("action"))
+    known = people.where("id IS NOT NULL").select("id", "external_id", "full_name", F.coalesce("new_court", "old_court").alias("court_id"), F.coalesce("on_file", "appointed").alias("appointment_date"), F.col("old_slug").alias("slug"), F.lit("updated").alias("action"))
+    return known.unionByName(fresh)
+
+
 def load_panel(panel: DataFrame, opinions: DataFrame, judges: DataFrame, existing: DataFrame) -> DataFrame:
     """Votes of panels that are new; the export does not say how, so all join the majority."""
     rows = panel.join(opinions.select(F.col("cluster_id").alias("opinioncluster_id"), F.col("id").alias("opinion_id")), "opinioncluster_id")

@@ -176,6 +176,24 @@ def test_files(spark, tmp_path):
     assert states.count() == 4 and courts.select("state_code").distinct().count() == 4
 
 
+def test_judges_are_matched_by_id_else_slug(spark):
+    d = datetime.date
+    have = [(1, "p1", "old-name", 5, d(1990, 1, 1)), (2, None, "ann-lee", None, None), (3, None, "ann-lee-3", 5, None), (4, "p4", "bo-ray", 5, None), (5, None, "cy-fox", 5, None), (6, None, None, 5, None)]
+    have = spark.createDataFrame(have, "id long, external_id string, slug string, court_id long, appointment_date date")
+    come = [("p1", "New Name", None, d(2001, 1, 1)), ("p2", "Ann Lee", 7, d(2002, 1, 1)), ("p3", "Ann Lee", 8, None), ("p5", "Ann  Lee", 9, None), ("p4", "Bo Ray", 6, d(2004, 1, 1)), ("p6", "Bo Ray", 6, None), ("p7", " ", 6, None), ("p8", "***", 6, None), ("p9", None, 6, None)]
+    come = spark.createDataFrame(come, "external_id string, full_name string, court_id long, appointment_date date")
+    assert sorted((r.external_id, r.id, r.slug, r.court_id, r.appointment_date, r.action) for r in I.sync_judges(come, have).collect()) == [
+        ("p1", 1, "old-name", 5, d(1990, 1, 1), "updated"),  # by id; the court and date on file stay
+        ("p2", 2, "ann-lee", 7, d(2002, 1, 1), "updated"),  # by slug
+        ("p3", None, "ann-lee-2", 8, None, "created"),  # the judge is taken, and so is -3
+        ("p4", 4, "bo-ray", 6, d(2004, 1, 1), "updated"),
+        ("p5", None, "ann-lee-4", 9, None, "created"),
+        ("p6", None, "bo-ray-2", 6, None, "created"),  # an id has claimed the judge
+        ("p8", None, "judge-p8", 6, None, "created"),
+    ]
+    assert I.sync_judges(come, have.limit(0)).where("action = 'updated'").isEmpty() and I.sync_judges(come.limit(0), have).isEmpty()
+
+
 def test_saved_pages(spark, tmp_path):
     second = {"results": [{"id": 2, "docket_number": "B", "date_filed": "2020-01-02"}], "next": None}
     first = {"results": [{"id": 1, "docket_number": "A", "date_filed": "2020-01-01"}], "next": str(tmp_path / "2.json")}
