@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexlake.functions import legal_text as T
 from lexlake.functions import scalars as S
 from lexlake.operators import graph as G
+from lexlake.operators import ingest as I
 from lexlake.operators import logs as L
 from lexlake.operators import lookups as K
 from lexlake.operators import review as V
@@ -276,3 +277,26 @@ def statute_mentions_la(spark, d):
 def treatment_words(spark, d):
     context = F.when(F.col("id") % 2 == 0, "the court cited it").otherwise("we hereby overrule it, as explained in it")
     return role(spark, d, "opinion").select("id", F.lit("MAJORITY").alias("kind"), G.treatment(context).alias("treatment"))
+
+
+# --- loading -----------------------------------------------------------------------------------------------------------------------
+
+@query(r"""WITH e AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'p' || id END AS external_id, CASE WHEN id % 3 = 0 THEN 'known-' || id WHEN id < 60 THEN 'judge-n' || id ELSE 'judge-n' || (id % 60) || '-' || (id // 60 + 1) END AS slug, court_id, appointment_date FROM judge WHERE id % 3 <> 2),
+    p AS (SELECT 'p' || id AS external_id, 'Judge N' || (id % 60) AS full_name, 'judge-n' || (id % 60) AS base, CASE WHEN id % 5 <> 0 THEN court_id END AS court, DATE '2001-02-03' AS appointed FROM judge),
+    m AS (SELECT p.*, e.id AS by_id FROM p LEFT JOIN e USING (external_id)),
+    r AS (SELECT m.*, e.id AS by_slug, row_number() OVER (PARTITION BY base, by_id IS NULL ORDER BY m.external_id) AS t FROM m LEFT JOIN e ON e.slug = base AND e.id NOT IN (SELECT by_id FROM m WHERE by_id IS NOT NULL)),
+    k AS (SELECT *, coalesce(by_id, CASE WHEN t = 1 THEN by_slug END) AS id FROM r),
+    n AS (SELECT base, list(n) AS taken FROM (SELECT slug AS base, CAST(1 AS BIGINT) AS n FROM e UNION SELECT regexp_replace(slug, '-\d+$', ''), CAST(regexp_extract(slug, '-([1-9]\d*)$', 1) AS BIGINT) FROM e WHERE regexp_matches(slug, '-[1-9]\d*$')) GROUP BY base),
+    c AS (SELECT k.*, row_number() OVER (PARTITION BY base ORDER BY external_id) AS turn, coalesce(taken, []) AS taken FROM k LEFT JOIN n USING (base) WHERE k.id IS NULL),
+    f AS (SELECT *, [x FOR x IN range(1, turn + len(taken) + 1) IF NOT list_contains(taken, x)][turn] AS n FROM c)
+    SELECT CAST(NULL AS BIGINT) AS id, external_id, full_name, court AS court_id, appointed AS appointment_date, CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS slug, 'created' AS action FROM f
+    UNION ALL SELECT e.id, k.external_id, full_name, coalesce(court, e.court_id), coalesce(e.appointment_date, appointed), e.slug, 'updated' FROM k JOIN e ON e.id = k.id""", "judge")
+def judge_sync(spark, d):
+    """All judges loaded again under 60 names: a third is on file by external id, a third by slugs of which many are taken, a third is new."""
+    j = role(spark, d, "judge").select("id", "court_id", "appointment_date")
+    i, name = F.col("id"), F.col("id") % 60
+    slug = F.when(i % 3 == 0, F.concat(F.lit("known-"), i)).when(i < 60, F.concat(F.lit("judge-n"), i)).otherwise(F.concat(F.lit("judge-n"), name, F.lit("-"), F.floor(i / 60) + 1))
+    external = F.concat(F.lit("p"), i)
+    existing = j.where(i % 3 != 2).select("id", F.when(i % 3 == 0, external).alias("external_id"), slug.alias("slug"), "court_id", "appointment_date")
+    loaded = j.select(external.alias("external_id"), F.concat(F.lit("Judge N"), name).alias("full_name"), F.when(i % 5 != 0, F.col("court_id")).alias("court_id"), F.lit("2001-02-03").cast("date").alias("appointment_date"))
+    return I.sync_judges(loaded, existing)
