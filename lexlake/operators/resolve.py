@@ -26,22 +26,26 @@ def lookup_variants(docket: Column) -> Column:
 
 def docket_lookup(requests: DataFrame, opinions: DataFrame, courts: DataFrame) -> DataFrame:
     """The opinion that each requested docket (request_id, docket, want_level, want_date) stands for: the wanted date, else the
-    newest of the wanted level with the largest id, else the highest court, newest, smallest id. Equal requests are looked up once,
-    so that many requests for a docket of many opinions do not multiply."""
-    ask = ["docket", "want_level", "want_date"]
-    asked = requests.select(*ask).distinct().withColumn("variant", F.explode(lookup_variants(F.col("docket"))))
+    newest of the wanted level with the largest id, else the highest court, newest, smallest id. Opinions are brought to one for each
+    docket, docket and level, and docket, level and date first, and each request meets one row of each, so many requests for a docket of many opinions do not multiply."""
     op = opinions.select("id", "court_id", "case_number", "release_date").join(courts.select(F.col("id").alias("court_id"), F.col("level")), "court_id")
-    hits = asked.join(op, asked.variant == op.case_number)
-    level = F.lower("level")
-    wanted = S.text_or_blank(F.lower(F.trim("want_level")))
-    on_date = (F.col("want_date") == F.col("release_date")) & ((wanted == "") | (level == wanted))
-    tier = F.when(F.coalesce(on_date, F.lit(False)), 0).when((wanted != "") & (level == wanted), 1).otherwise(2)
+    by_date = op.groupBy("case_number", "level", "release_date").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    variants = requests.select("docket").distinct().select("docket", F.explode(lookup_variants(F.col("docket"))).alias("case_number"))
+    hits = variants.join(by_date, "case_number").select("docket", "level", "release_date", "least", "most")
     rank = F.when(F.col("level") == "SUPREME", 0).when(F.col("level") == "APPEALS", 1).otherwise(9)
-    order = [F.col("tier"), F.when(F.col("tier") == 2, rank).otherwise(0), F.desc_nulls_last("release_date"), F.when(F.col("tier") == 1, -F.col("id")).otherwise(F.col("id"))]
-    w = Window.partitionBy(*ask).orderBy(*order)
-    best = hits.withColumn("tier", tier).withColumn("rn", F.row_number().over(w)).where("rn = 1").select(*[F.col(c).alias(f"its_{c}") for c in ask], F.col("id").alias("opinion_id"), "release_date")
-    same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in ask]
-    return requests.join(best, same).select("request_id", "docket", "opinion_id", "release_date")
+    day = F.coalesce(-F.unix_date("release_date"), F.lit(2**31 - 1))  # newest first, no date last
+    first = lambda *order: F.min(F.struct(*order, "release_date")).alias("r")
+    any_level = hits.groupBy("docket").agg(first(rank.alias("k"), day.alias("day"), F.col("least").alias("id"))).select(F.col("docket").alias("#docket"), F.struct("r.id", "r.release_date").alias("by_court"))
+    level = hits.groupBy("docket", F.lower("level").alias("#level")).agg(first(day.alias("day"), (-F.col("most")).alias("id")))
+    level = level.where("`#level` <> ''").select(F.col("docket").alias("#docket"), "#level", F.struct((-F.col("r.id")).alias("id"), "r.release_date").alias("by_level"))
+    dates = hits.where("release_date IS NOT NULL").select("docket", F.explode(F.array_distinct(F.array(F.lit(""), F.lower("level")))).alias("#level"), "release_date", "least")
+    dates = dates.groupBy(F.col("docket").alias("#docket"), "#level", F.col("release_date").alias("#date")).agg(F.min("least").alias("by_date"))
+    asked = requests.select("request_id", "docket", "want_date", S.text_or_blank(F.lower(F.trim("want_level"))).alias("wanted"))
+    rows = asked.join(any_level, F.col("docket") == F.col("#docket")).drop("#docket")
+    rows = rows.join(level, (F.col("docket") == F.col("#docket")) & (F.col("wanted") == F.col("#level")), "left").drop("#docket", "#level")
+    rows = rows.join(dates, (F.col("docket") == F.col("#docket")) & (F.col("wanted") == F.col("#level")) & (F.col("want_date") == F.col("#date")), "left")
+    best = F.when(F.col("by_date").isNotNull(), F.struct(F.col("by_date").alias("id"), F.col("want_date").alias("release_date"))).otherwise(F.coalesce("by_level", "by_court"))
+    return rows.select("request_id", "docket", best.alias("b")).select("request_id", "docket", F.col("b.id").alias("opinion_id"), "b.release_date")
 
 
 def metadata_score() -> Column:
