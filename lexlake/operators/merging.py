@@ -1,15 +1,18 @@
 """Merges of whole records: the closure of a merge plan, and every table that names the merged rows rewritten by it.
 
-A plan is a mapping (loser, survivor). Chains (a survivor is a loser elsewhere) and stars of any size end at one survivor by pointer
-jumping: each round doubles the steps that every row has gone, so a chain of n rows takes log2(n) rounds. A round joins the plan with the
-few rows that survivors name, unique by key, so a survivor that most rows name is split by adaptive execution. Rounds are stored in the shared
-folder; the one before is deleted.
+A plan is a mapping (loser, survivor). Rows are range-sorted by loser, and each task first follows the chains inside its range. Then only losers that another row still
+names go on: they end at one survivor by pointer jumping, where each round doubles the steps that every row has gone, so a chain of n such rows takes log2(n) rounds. All
+other rows look up their end once. A round joins rows that are unique by key, so a survivor that most rows name is split by adaptive execution. Rounds are
+stored in the shared folder; the one before is deleted.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,19 +39,49 @@ def closure(plan: DataFrame) -> DataFrame:
         paths.append(fresh_dir(spark, "merge-closure"))
         return store(df, paths[-1])
 
-    first = plan.where("loser <> survivor").groupBy("loser").agg(F.min("survivor").alias("at"))
-    rows = kept(first.withColumn("least", F.col("loser")))
-    rounds = math.ceil(math.log2(rows.count() + 1)) + 1
+    first = plan.where("loser <> survivor").repartitionByRange("loser").groupBy("loser").agg(F.min("survivor").alias("at"))
+    rows = store(shortened(first), fresh_dir(spark, "merge-plan"))
+    named = rows.select(F.col("at").alias("loser")).distinct()
+    inner = kept(rows.join(named, "loser", "left_semi"))
+    rounds = math.ceil(math.log2(inner.count() + 1)) + 1
     for k in range(rounds + 1):
-        hop = rows.join(rows.select(F.col("at").alias("loser")).distinct(), "loser", "left_semi").select(F.col("loser").alias("mid"), F.col("at").alias("last"), F.col("least").alias("low"))
+        hop = inner.join(inner.select(F.col("at").alias("loser")).distinct(), "loser", "left_semi").select(F.col("loser").alias("mid"), F.col("at").alias("last"), F.col("least").alias("low"))
         if hop.isEmpty():
-            return rows.select("loser", F.col("at").alias("survivor"))
-        joined = rows.join(hop, F.col("at") == F.col("mid"), "left")
+            ends = inner.select(F.col("loser").alias("mid"), F.col("at").alias("last"))
+            break
+        joined = inner.join(hop, F.col("at") == F.col("mid"), "left")
         if k == rounds:  # what still leads on leads in a circle: every row of it has seen all of it
-            ends = joined.select("loser", F.coalesce("low", "at").alias("survivor")).where("loser <> survivor")
-            return ends
-        rows = kept(joined.select("loser", F.coalesce("last", "at").alias("at"), F.least("least", F.coalesce("low", "least")).alias("least")))
+            ends = joined.select(F.col("loser").alias("mid"), F.coalesce("low", "at").alias("last"))
+            break
+        inner = kept(joined.select("loser", F.coalesce("last", "at").alias("at"), F.least("least", F.coalesce("low", "least")).alias("least")))
         discard(spark, paths.pop(0))
+    whole = rows.join(ends, F.col("at") == F.col("mid"), "left").select("loser", F.coalesce("last", "at").alias("survivor")).where("loser <> survivor")
+    return store(whole, fresh_dir(spark, "merge-ends"))  # every table that names the rows reads it
+
+
+def shortened(rows: DataFrame) -> DataFrame:
+    """loser, at, least: rows (loser, at; unique by loser) that lead to the first row outside of their partition, and the smallest loser on the way, themselves
+    included. What leads into a circle inside of a partition stays as it is. A partition is held in whole, 24 bytes a row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := list(batches)):
+            return
+        loser, own = (c.to_numpy() for c in pa.Table.from_batches(held).sort_by("loser").columns)
+        at, least = own.copy(), loser.copy()
+        place = lambda ids: np.minimum(np.searchsorted(loser, ids), len(loser) - 1)
+        for _ in range(len(loser).bit_length() + 1):
+            next_ = place(at)
+            inside = loser[next_] == at
+            if not inside.any():
+                break
+            at, least = np.where(inside, at[next_], at), np.where(inside, np.minimum(least, least[next_]), least)
+        else:  # more steps than rows: these lead into a circle
+            at, least = np.where(inside, own, at), np.where(inside, loser, least)
+        for k in range(0, len(loser), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (loser, at, least)], ["loser", "at", "least"])
+
+    longs = rows.select(F.col("loser").cast("long"), F.col("at").cast("long"))
+    return longs.mapInArrow(run, "loser long, at long, least long")
 
 
 def discovered_pairs(opinions: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 
+from lexlake.operators import merging as M
 from lexlake.operators import resolve as R
 
 
@@ -35,3 +36,13 @@ def test_requests_for_many_dates_of_a_docket_do_not_multiply(spark):
         want[k] = k if hit else 1_999 if k % 4 in (1, 2) else 498
     assert {r.request_id: r.opinion_id for r in found} == want
     assert most <= 5_000
+
+
+def test_only_rows_that_others_name_go_through_the_rounds(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(M, "store", lambda df, path, own=M.store: stored.append(own(df, path)) or stored[-1])
+    monkeypatch.setattr(M, "discard", lambda *_: None)
+    pairs = [(k, k - 1) for k in range(1, 3_000)] + [(k, 7) for k in range(3_000, 6_000)] + [(9_002, 9_000), (9_000, 9_001), (9_001, 9_002)]
+    got = {(r.loser, r.survivor) for r in M.closure(spark.createDataFrame(pairs, "loser long, survivor long")).collect()}
+    assert got == {(k, 0) for k in range(1, 6_000)} | {(9_001, 9_000), (9_002, 9_000)}
+    assert sum(df.count() for df in stored) < 7_000
