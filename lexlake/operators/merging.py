@@ -156,13 +156,16 @@ def moved_edges(edges: DataFrame, plan: DataFrame) -> DataFrame:
 
     A citation that would lead to itself goes. One that moves at its citing end goes where that row has one with equal cited_id, cite and source; one
     that moves at its cited end, where there is one with equal citing_id, cited_id and source. Citations that do not move win, then the smallest ids. Rows that no
-    loser is in are not shuffled for that."""
+    loser is in are not shuffled for that; of those that move, only the first of equal citing_id, cited_id, cite and source goes on, found before the shuffle."""
     a, b = (plan.select(F.col("loser").alias(c), F.col("survivor").alias(f"#{c}")) for c in ("citing_id", "cited_id"))
     rows = edges.join(a, "citing_id", "left").join(b, "cited_id", "left")
     out, into = F.col("#citing_id").isNotNull(), F.col("#cited_id").isNotNull()
     own = rows.where(~(out | into)).select(*edges.columns)
     moved = rows.where(out | into).withColumns({"#out": out, "#into": into, "#a": F.col("citing_id"), "#b": F.col("cited_id")})
     moved = moved.withColumns({"citing_id": F.coalesce("#citing_id", "citing_id"), "cited_id": F.coalesce("#cited_id", "cited_id")}).where("cited_id IS NULL OR cited_id <> citing_id")
+    same = ("citing_id", "cited_id", "cite", "source")
+    rest = [c for c in edges.columns if c not in same]
+    moved = moved.groupBy(*same).agg(F.min(F.struct("#a", "#b", *rest, "#out", "#into")).alias("r")).select(*same, *[F.col("r").getField(c).alias(c) for c in ("#a", "#b", *rest, "#out", "#into")])
     near = own.join(moved.select("citing_id").distinct(), "citing_id", "left_semi").withColumns({c: F.lit(False) for c in ("#out", "#into")} | {"#a": F.col("citing_id"), "#b": F.col("cited_id")})
     columns = [*edges.columns, "#out", "#into", "#a", "#b"]
     both = near.select(*columns).unionByName(moved.select(*columns))

@@ -46,3 +46,14 @@ def test_only_rows_that_others_name_go_through_the_rounds(spark, monkeypatch):
     got = {(r.loser, r.survivor) for r in M.closure(spark.createDataFrame(pairs, "loser long, survivor long")).collect()}
     assert got == {(k, 0) for k in range(1, 6_000)} | {(9_001, 9_000), (9_002, 9_000)}
     assert sum(df.count() for df in stored) < 7_000
+
+
+def test_equal_citations_of_merged_rows_meet_before_the_shuffle(spark):
+    edges = spark.createDataFrame([(k, 5_000 + k % 2, "1 N.W.2d 1", "bulk") for k in range(1, 3_000)], "citing_id long, cited_id long, cite string, source string").coalesce(2)
+    plan = spark.createDataFrame([(k, 1) for k in range(2, 3_000)], "loser long, survivor long")
+    merged = M.moved_edges(edges, plan)
+    text = merged._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in merged.collect())
+    assert got == [(1, 5_000, "1 N.W.2d 1", "bulk"), (1, 5_001, "1 N.W.2d 1", "bulk")]
+    # the windows read what an aggregate has left
+    assert text.index("Window") < text.index("Aggregate") and "min(struct(#a" in text
