@@ -1,8 +1,9 @@
 """Substring search for many queries at once: a filter on character grams with a count bound, then the comparison itself.
 
-A text that contains a query has all of its grams. Each query looks for texts under its rarest gram alone (grams are counted over the different texts), the
+A text that contains a query has all of its grams. Grams are as long as the longest of LADDER that the query has room for, so what many texts share in a few characters (the
+digits of a number) is not looked under by longer queries. Each query looks for texts under its rarest gram alone (grams are counted over the different texts), the
 count bound asks that all its other grams are there too, and what is left is compared. So a gram that most texts have is looked under only by queries
-that have no rarer one, and no two tables meet on anything broader than a gram. Queries shorter than a gram are grams themselves. Case does not count; "%" and "_" are plain.
+that have no rarer one, and no two tables meet on anything broader than a gram. Only lengths that some query uses are made of texts. Case does not count; "%" and "_" are plain.
 """
 
 from __future__ import annotations
@@ -11,6 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 3
+LADDER = (1, 2, SIZE, 4, 8, 16, 32, 64, 128)
+
+
+def gram_size(q: Column) -> Column:
+    return F.greatest(*[F.when(F.length(q) >= n, n).otherwise(1) for n in LADDER])
 
 
 def grams(text: Column, size: Column | int = SIZE) -> Column:
@@ -20,7 +26,7 @@ def grams(text: Column, size: Column | int = SIZE) -> Column:
 
 
 def query_grams(q: Column) -> Column:
-    return grams(q, F.least(F.lit(SIZE), F.length(q)))
+    return grams(q, gram_size(q))
 
 
 def candidates(queries: DataFrame, texts: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
@@ -29,14 +35,13 @@ def candidates(queries: DataFrame, texts: DataFrame, within: tuple[str, ...] = (
     asked = queries.select(*within, F.lower("q").alias("q")).where("q <> ''").distinct().withColumn("grams", query_grams(F.col("q")))
     own = texts.select(*within, F.lower("t").alias("t")).where("t IS NOT NULL").distinct()
     used = asked.select(*within, F.explode("grams").alias("gram")).distinct()
-    short = asked.select(F.length("q").alias("n")).where(F.col("n") < SIZE).distinct()
-    sizes = sorted({SIZE} | {r.n for r in short.collect()})  # at most SIZE numbers
-    rows = own.select(*within, "t", F.explode(F.array_distinct(F.concat(*[grams(F.col("t"), n) for n in sizes]))).alias("gram")).join(used, [*within, "gram"], "left_semi")
+    sizes = sorted(r.n for r in asked.select(gram_size(F.col("q")).alias("n")).distinct().collect()) or [SIZE]  # at most those of LADDER
+    rows = own.select(*within, "t", F.explode(F.concat(*[grams(F.col("t"), n) for n in sizes])).alias("gram")).join(used, [*within, "gram"], "left_semi")
     counts = rows.groupBy(*within, "gram").agg(F.count(F.lit(1)).alias("n"))
-    each = asked.select(*within, "q", "grams", F.explode("grams").alias("gram")).join(counts, [*within, "gram"], "left")
-    rarest = each.groupBy(*within, "q").agg(F.min_by(F.struct("gram", "grams"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r")).select(*within, "q", "r.gram", "r.grams")
+    each = asked.select(*within, "q", F.explode("grams").alias("gram")).join(counts, [*within, "gram"], "left")
+    rarest = each.groupBy(*within, "q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r")).select(*within, "q", "r.gram")
     met = rarest.join(rows, [*within, "gram"])
-    return met.where(F.forall("grams", lambda g: F.contains("t", g))).select(*within, "q", "t")
+    return met.where(F.forall(query_grams(F.col("q")), lambda g: F.contains("t", g))).select(*within, "q", "t")
 
 
 def containing(queries: DataFrame, texts: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 
+from lexlake.operators import grams as N
 from lexlake.operators import merging as M
 from lexlake.operators import resolve as R
 
@@ -57,3 +58,11 @@ def test_equal_citations_of_merged_rows_meet_before_the_shuffle(spark):
     assert got == [(1, 5_000, "1 N.W.2d 1", "bulk"), (1, 5_001, "1 N.W.2d 1", "bulk")]
     # the windows read what an aggregate has left
     assert text.index("Window") < text.index("Aggregate") and "min(struct(#a" in text
+
+
+def test_numbers_are_not_looked_for_under_three_digits(spark):
+    texts = spark.createDataFrame([(f"Name#{k * 7_919 % 1_000_000:09d}",) for k in range(4_000)], "t string")
+    queries = texts.selectExpr("substr(t, 6) AS q")
+    found, most = most_rows(N.candidates(queries, texts))
+    assert sorted(r.q for r in found) == sorted(r.t[5:] for r in found) and len(found) == 4_000
+    assert most <= 4_000 * 10
