@@ -366,9 +366,19 @@ def by_state(parts: dict[str, str]) -> str:
 STATE_SQL = by_state({s: f"'{s}'" for s in RENDERED})
 
 
+#: Opinions that one task reads through.
+READ_AT_ONCE = 50_000
+
+
+def dealt(spark, d) -> DataFrame:
+    """The ids of the opinions, dealt to all cores (the test tables are a few row groups each) and to more tasks as they grow."""
+    most = -(-role(spark, d, "orders").count() // READ_AT_ONCE)  # an opinion is an order
+    return role(spark, d, "opinion").select("id").repartition(max(spark.sparkContext.defaultParallelism, most))
+
+
 def rendered(spark, d) -> DataFrame:
-    """Citation-shaped texts of the opinions, of a state each; the test tables are one row group each, so they are dealt to all cores."""
-    return role(spark, d, "opinion").repartition(spark.sparkContext.defaultParallelism).select("id", F.expr(STATE_SQL).alias("state_code"), F.expr(by_state(RENDERED)).alias("raw_text"), F.lit("").alias("self_cite"))
+    """Citation-shaped texts of the opinions, of a state each."""
+    return dealt(spark, d).select("id", F.expr(STATE_SQL).alias("state_code"), F.expr(by_state(RENDERED)).alias("raw_text"), F.lit("").alias("self_cite"))
 
 
 @query(f"SELECT id, {by_state(SLUGS)} AS reference_slug, 6 AS text_offset FROM opinion", "opinion")
@@ -645,13 +655,13 @@ def bylines(spark, d):
     """Four writers in the bylines of three states."""
     name = F.upper(F.get(F.array(*map(F.lit, WRITERS)), (F.col("id") % 4).cast("int")))
     shapes = [F.concat(*[x for k, part in enumerate(t.strip("'").encode().decode("unicode_escape").split("{n}")) for x in ([name] if k else []) + [F.lit(part)]]) for t in BYLINE_SHAPES]
-    docs = role(spark, d, "opinion").select("id", F.get(F.array(*shapes), (F.col("id") % 3).cast("int")).alias("raw_text"))
+    docs = dealt(spark, d).select("id", F.get(F.array(*shapes), (F.col("id") % 3).cast("int")).alias("raw_text"))
     return T.extract_bylines(docs).select("id", "author_last")
 
 
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN '2' WHEN id % 3 = 1 THEN '5' END AS circuit FROM opinion", "opinion")
 def circuit_detect(spark, d):
-    docs = role(spark, d, "opinion").select("id", F.expr("CASE id % 3 WHEN 0 THEN 'STATE OF LOUISIANA\nCOURT OF APPEAL\nSECOND CIRCUIT' WHEN 1 THEN 'Parish of St. Charles' ELSE 'No court named' END").alias("raw_text"))
+    docs = dealt(spark, d).select("id", F.expr("CASE id % 3 WHEN 0 THEN 'STATE OF LOUISIANA\nCOURT OF APPEAL\nSECOND CIRCUIT' WHEN 1 THEN 'Parish of St. Charles' ELSE 'No court named' END").alias("raw_text"))
     return T.detect_circuits(docs)
 
 

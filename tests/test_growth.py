@@ -1,10 +1,16 @@
 """Steps whose work may not grow faster than their tables: the rows that the operators of a plan put out are counted."""
 
 import datetime
+import random
+import re
+import time
 
+from lexlake.functions import legal_patterns as P
+from lexlake.functions import legal_text as T
 from lexlake.operators import grams as N
 from lexlake.operators import merging as M
 from lexlake.operators import resolve as R
+from lexlake.plans import registry
 
 
 def most_rows(df):
@@ -66,3 +72,39 @@ def test_numbers_are_not_looked_for_under_three_digits(spark):
     found, most = most_rows(N.candidates(queries, texts))
     assert sorted(r.q for r in found) == sorted(r.t[5:] for r in found) and len(found) == 4_000
     assert most <= 4_000 * 10
+
+
+def test_texts_are_dealt_to_more_tasks_as_they_grow(spark, sf, monkeypatch):
+    monkeypatch.setattr(registry, "READ_AT_ONCE", 100, raising=False)
+    n = registry.role(spark, sf, "orders").count()
+    for name in ("parse_opinions", "bylines", "circuit_detect"):
+        assert registry.QUERIES[name](spark, sf).rdd.getNumPartitions() >= n / 100 > 4
+
+
+def test_a_head_is_read_for_all_parishes_at_once(monkeypatch):
+    heads = ["", "No court named", "the parish is old", "Parish of Nowhere", "Parishes of Caddo"]
+    heads += [form.format(name) for names in P.PARISH_CIRCUITS.values() for name in names.split(", ") for form in ("Parish  of {}.", "in {} parish", "PARISH OF {}x", "Parish of {} and Orleans Parish")]
+
+    def plainly(head):
+        found = {n for n, names in P.PARISH_CIRCUITS.items() for name in names.split(", ") if re.search(rf"(?i)\bparish\s+of\s+{re.escape(name)}\b|\b{re.escape(name)}\s+parish\b", head)}
+        return found.pop() if len(found) == 1 else None
+
+    want, searches = [plainly(h) for h in heads], []
+    monkeypatch.setattr(T.re, "search", lambda *a, own=re.search: searches.append(1) or own(*a))
+    assert [T.circuit(h) for h in heads] == want
+    assert len(searches) <= 6 * len(heads)
+
+
+def test_panels_are_read_in_time_that_grows_with_the_heading():
+    began = time.monotonic()
+    assert T.byline("COURT OF APPEAL " + "SUPERIOR " * 3 + "\n\nSMITH, J.\n\nThe facts.")["panel_last"] == []
+    assert time.monotonic() - began < 1
+    # names that no space parts were one name, so the pattern finds what it found when it let them part
+    loose = P.PANELS["NH"].replace(r"(?:,\s*|\s+|(?<=\.)|(?=and\s))", r",?\s*")
+    assert loose != P.PANELS["NH"]
+    rng = random.Random(5)
+    pieces = ["AB", "CDJ", "JJ", "J", ".", ",", " ", "\n", "and ", ", C.J.", " C. J.", "J., concurred", " JJ., concurred", "JJ., concurred", "-", "x"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(2, 7))) + rng.choice(["", ", JJ., concurred", "J., concurred"])
+        a, b = re.search(loose, text), re.search(P.PANELS["NH"], text)
+        assert (a and (a.span(), a[1])) == (b and (b.span(), b[1])), text
