@@ -11,7 +11,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +31,46 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(S.text_or_blank(text)), WORD_BREAK), lambda w: w != "")
 
 
+def gathered(docs: DataFrame) -> DataFrame:
+    """token, block, p (key, at): for each Arrow batch of ``docs`` (key, words) a row for each token and block of keys, with the token's places in each text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, lists = batch.column(0).to_numpy(), batch.column(1)
+            sizes = pc.list_value_length(lists).to_numpy()
+            if not sizes.sum():
+                continue
+            coded = lists.flatten().dictionary_encode()
+            code, text = coded.indices.to_numpy(), np.repeat(np.arange(len(key)), sizes)
+            place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.lexsort((place, key[text], code))
+            code, text, place = code[order], text[order], place[order].astype(np.int32)
+            keys = key[text]
+            once = np.r_[True, (code[1:] != code[:-1]) | (keys[1:] != keys[:-1]) | (place[1:] != place[:-1])]  # a key may stand in several rows
+            code, keys, place = code[once], keys[once], place[once]
+            block = keys // BLOCK
+            new_row = np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])]
+            new_key = new_row | np.r_[True, keys[1:] != keys[:-1]]
+            starts = np.flatnonzero(new_key)
+            at = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(code)].astype(np.int32)), pa.array(place))
+            entries = pa.StructArray.from_arrays([pa.array(keys[starts]), at], ["key", "at"])
+            rows = np.flatnonzero(new_row)
+            edges = np.r_[np.searchsorted(starts, rows), len(starts)].astype(np.int32)
+            words = coded.dictionary.take(pa.array(code[rows]))
+            yield pa.RecordBatch.from_arrays([words, pa.array(block[rows]), pa.ListArray.from_arrays(pa.array(edges), entries)], ["token", "block", "p"])
+
+    return docs.select("key", "words").mapInArrow(run, "token string, block long, p array<struct<key:long,at:array<int>>>")
+
+
 def postings(docs: DataFrame, text: str = "text", key: str = "id", buckets: int = BUCKETS) -> DataFrame:
     """bucket, token, block, n, keys, places: a row for each token and block of keys. Places are gathered before the shuffle, where a text's words stand
-    together, so what is shuffled is a row for each different word of a text."""
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.posexplode(tokens(F.col(text))).alias("at", "token"))
-    placed = rows.groupBy("token", "key").agg(F.sort_array(F.collect_set("at")).alias("at"))
-    listed = placed.groupBy("token", F.floor(F.col("key") / BLOCK).cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("key", "at"))).alias("p"))
+    together, and so are texts of one block that stand together; what is shuffled is a row for each different word of a batch and block."""
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), tokens(F.col(text)).alias("words"))
+    listed = gathered(rows).groupBy("token", "block").agg(F.flatten(F.collect_list("p")).alias("p"))
+    # a key that stands in several rows of the table has its places together
+    keys = F.array_sort(F.array_distinct("p.key"))
+    several = F.transform(keys, lambda k: F.struct(k.alias("key"), F.array_sort(F.array_distinct(F.flatten(F.filter("p", lambda e: e["key"] == k)["at"]))).alias("at")))
+    listed = listed.withColumn("p", F.when(F.size(keys) == F.size("p"), F.sort_array("p")).otherwise(several))
     return listed.select(F.pmod(F.crc32("token"), F.lit(buckets)).cast("int").alias("bucket"), "token", "block", F.size("p").alias("n"), F.col("p.key").alias("keys"), F.col("p.at").alias("places"))
 
 

@@ -9,6 +9,7 @@ from lexlake.functions import legal_patterns as P
 from lexlake.functions import legal_text as T
 from lexlake.operators import grams as N
 from lexlake.operators import merging as M
+from lexlake.operators import postings as W
 from lexlake.operators import resolve as R
 from lexlake.plans import registry
 
@@ -108,3 +109,14 @@ def test_panels_are_read_in_time_that_grows_with_the_heading():
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(2, 7))) + rng.choice(["", ", JJ., concurred", "J., concurred"])
         a, b = re.search(loose, text), re.search(P.PANELS["NH"], text)
         assert (a and (a.span(), a[1])) == (b and (b.span(), b[1])), text
+
+
+def test_places_of_a_block_are_gathered_before_the_shuffle(spark):
+    docs = spark.createDataFrame([(k, "of the of court" if k % 2 else "the end") for k in range(1_000)] + [(5, "new the of"), (5, "the"), (None, "the"), (7, None), (-3, "the"), (1_500, "")], "id long, text string").coalesce(1)
+    rows = W.postings(docs)
+    found, most = most_rows(rows)
+    lists = {(r.token, r.block): dict(zip(r["keys"], r.places)) for r in found}
+    assert all(list(r["keys"]) == sorted(set(r["keys"])) and r.n == len(r["keys"]) for r in found)
+    assert lists[("of", 0)] == {k: [0, 2] for k in range(1, 1_000, 2)} and lists[("court", 0)][9] == [3]
+    assert lists[("the", 0)][5] == [0, 1] and lists[("the", -1)] == {-3: [0]} and lists[("new", 0)] == {5: [0]} and len(lists) == 6
+    assert most <= 1_006
