@@ -2,7 +2,7 @@
 
 ``<path>/<crawl>/<n>.json`` is page n of a crawl, newest items first (by id); crawls are named in the order of their time, and one counts once it holds ``_SUCCESS``. A crawl may
 hold the whole list, or only the pages down to what was known. Each item is read once: an offset is the last crawl and the newest id so far, so a batch needs only the
-pages of later crawls above that id. The driver finds the last such page by halving, with a few pages read; each page is a partition of its own.
+pages of later crawls above that id. The driver finds the last such page by halving, with a few pages read; a partition is a page, or a run of pages where they are many.
 """
 
 from __future__ import annotations
@@ -22,19 +22,28 @@ from lexlake.operators.numbering import with_position
 SCHEMA = "id bigint, docket_number string, case_name string, date_filed string, court_id string, opinion_ids array<bigint>, crawl string, page int"
 DONE = "_SUCCESS"
 NOTHING = {"crawl": "", "newest": -1}
+#: A crawl of up to this many pages is read page by page. Of more, as many pages are read at once as make this many runs, but not over LONGEST_RUN.
+RUNS, LONGEST_RUN = 128, 128
 
 
 def number_of(x: object) -> int | None:
     """A whole number, of a number, a record with an id, or an address that ends in one."""
     if isinstance(x, dict):
         return number_of(x.get("id"))
+    if type(x) is int and x >= 0:
+        return x
     m = re.search(r"(\d+)/?$", str(x)) if x is not None and not isinstance(x, bool | float) else None
     return int(m[1]) if m else None
 
 
+@functools.lru_cache(10_000)
+def named(key: str) -> str:
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", key).lower()
+
+
 def normalised(raw: dict) -> dict:
     """An item with keys in small letters and underscores, its id, and the ids of its opinions, whichever way the endpoint writes them."""
-    item = {re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", k).lower(): v for k, v in raw.items()}
+    item = {named(k): v for k, v in raw.items()}
     item["id"] = number_of(item.get("id") if item.get("id") is not None else item.get("cluster_id"))
     parts = item["opinions"] if item.get("opinions") is not None else item.get("sub_opinions")
     item["opinion_ids"] = [n for n in map(number_of, parts or ()) if n is not None]
@@ -54,7 +63,7 @@ class Feed:
         return [f.base_name for f in self.system.get_file_info(self.fs.FileSelector(path, allow_not_found=True))]
 
     def crawls(self) -> list[str]:
-        return sorted(c for c in self.names(self.root) if DONE in self.names(f"{self.root}/{c}"))
+        return sorted(c for c in self.names(self.root) if self.system.get_file_info(f"{self.root}/{c}/{DONE}").type != self.fs.FileType.NotFound)
 
     def pages(self, crawl: str) -> int:
         return max((int(m[1]) for n in self.names(f"{self.root}/{crawl}") if (m := re.fullmatch(r"(\d+)\.json", n))), default=0)
@@ -89,9 +98,10 @@ class Feed:
 
 
 @dataclass
-class Page(InputPartition):
+class Pages(InputPartition):
     crawl: str
-    page: int
+    first: int
+    last: int
     known: int
 
 
@@ -117,19 +127,23 @@ class FeedStream(DataSourceStreamReader):
         known, out = start["newest"], []
         for crawl in self.feed.crawls():
             if start["crawl"] < crawl <= end["crawl"]:
-                out += [Page(crawl, k, known) for k in range(1, self.feed.newer(crawl, known) + 1)]
+                pages = self.feed.newer(crawl, known)
+                run = min(-(-pages // RUNS), LONGEST_RUN) or 1
+                out += [Pages(crawl, k, min(k + run - 1, pages), known) for k in range(1, pages + 1, run)]
                 known = max(known, self.feed.top(crawl))
         return out
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        before = partition.page - 1
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        before, rows = partition.first - 1, []
         while before and not (rows := self.feed.items(partition.crawl, before)):
             before -= 1
-        last = min(x["id"] for x in rows) if before else None  # items that moved down a page while the crawl went on stand on two
-        for x in self.feed.items(partition.crawl, partition.page):
-            if x["id"] > partition.known and (last is None or x["id"] < last):
-                last = x["id"]
-                yield (x["id"], *(None if x.get(k) is None else str(x[k]) for k in ("docket_number", "case_name", "date_filed", "court_id")), x["opinion_ids"], partition.crawl, partition.page)
+        for page in range(partition.first, partition.last + 1):
+            last = min((x["id"] for x in rows), default=None)  # items that moved down a page while the crawl went on stand on two
+            rows = (own := self.feed.items(partition.crawl, page)) or rows
+            for x in own:
+                if x["id"] > partition.known and (last is None or x["id"] < last):
+                    last = x["id"]
+                    yield (x["id"], *(None if x.get(k) is None else str(x[k]) for k in ("docket_number", "case_name", "date_filed", "court_id")), x["opinion_ids"], partition.crawl, page)
 
     def commit(self, end: dict) -> None:
         """Nothing to release: a crawl stays until someone deletes it. All but the last may go once they are read."""
@@ -142,7 +156,7 @@ class FeedTable(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return self.stream.partitions(dict(NOTHING), self.stream.latestOffset())
 
-    def read(self, partition: Page | None) -> Iterator[tuple]:
+    def read(self, partition: Pages | None) -> Iterator[tuple]:
         return self.stream.read(partition) if partition else iter(())  # a table of no partitions is read as one that is None
 
 

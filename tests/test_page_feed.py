@@ -81,3 +81,22 @@ def test_saved_and_read_back(spark, tmp_path):
     spark.dataSource.register(P.PageFeed)
     got = spark.read.format("page_feed").load(str(tmp_path))
     assert got.rdd.getNumPartitions() == 101 and got.where("case_name = concat('c', id)").select("id").distinct().count() == got.count() == 1_003
+
+
+def test_many_pages_are_read_in_runs(spark, tmp_path):
+    pages = [[3_000 - 2 * k, 2_999 - 2 * k] for k in range(1_000)]
+    for k in range(9, 1_000, 10):
+        pages[k].insert(0, pages[k - 1][-1])  # moved down a page, over the bounds of runs too
+    pages[16], pages[520] = [], []
+    crawl(tmp_path, "1", pages)
+    stream = P.FeedStream({"path": str(tmp_path)})
+    parts = stream.partitions(dict(P.NOTHING), stream.latestOffset())
+    assert len(parts) <= 128 and [k for p in parts for k in range(p.first, p.last + 1)] == list(range(1, 1_001))
+    looked, items = [], stream.feed.items
+    stream.feed.items = lambda c, k: looked.append(k) or items(c, k)
+    got = [(r[0], r[-1]) for p in parts for r in stream.read(p)]
+    want = {x: k for k, page in reversed(list(enumerate(pages, 1))) for x in page}
+    assert got == sorted(want.items(), reverse=True)
+    assert len(looked) <= 1_000 + len(parts) + 2
+    spark.dataSource.register(P.PageFeed)
+    assert sorted((r.id, r.page) for r in spark.read.format("page_feed").load(str(tmp_path)).collect()) == sorted(want.items())
