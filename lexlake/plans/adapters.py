@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 REF_DATE = "2001-09-01"
+#: Rows of a table that one task takes where the table is dealt by a key: with the table the tasks grow in number, not in memory.
+ROWS_AT_ONCE = 500_000
 
 #: name -> (tables and roles it reads, SQL)
 ROLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -65,12 +67,18 @@ def needed(names: tuple[str, ...]) -> list[str]:
     return out
 
 
-def role(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A role, or a test table, as a DataFrame."""
+def tasks_of(table: DataFrame) -> int:
+    """The tasks that a stored table is dealt to; its rows are counted by Parquet's footers."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS_AT_ONCE))
+
+
+def role(spark: SparkSession, sf_dir: str, name: str, by: dict[str, str] | None = None) -> DataFrame:
+    """A role, or a test table, as a DataFrame. ``by``: columns by which test tables are dealt before anything else."""
     if name not in ROLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table.repartition(tasks_of(table), by[name]) if by and name in by else table
     reads, sql = ROLES[name]
-    inputs = {r: role(spark, sf_dir, r) for r in reads}
+    inputs = {r: role(spark, sf_dir, r, by) for r in reads}
     for r in reads:
         sql = sql.replace(f"FROM {r}", f"FROM {{{r}}}").replace(f"JOIN {r}", f"JOIN {{{r}}}")
     return spark.sql(sql, **inputs)

@@ -5,13 +5,15 @@ import random
 import re
 import time
 
+import pytest
+
 from lexlake.functions import legal_patterns as P
 from lexlake.functions import legal_text as T
 from lexlake.operators import grams as N
 from lexlake.operators import merging as M
 from lexlake.operators import postings as W
 from lexlake.operators import resolve as R
-from lexlake.plans import registry
+from lexlake.plans import adapters, registry
 
 
 def most_rows(df):
@@ -120,3 +122,15 @@ def test_places_of_a_block_are_gathered_before_the_shuffle(spark):
     assert lists[("of", 0)] == {k: [0, 2] for k in range(1, 1_000, 2)} and lists[("court", 0)][9] == [3]
     assert lists[("the", 0)][5] == [0, 1] and lists[("the", -1)] == {-3: [0]} and lists[("new", 0)] == {5: [0]} and len(lists) == 6
     assert most <= 1_006
+
+
+@pytest.mark.parametrize("name", ["concordance_matrix"])
+def test_lineitem_is_dealt_by_opinion_to_more_tasks_as_it_grows(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(adapters, "ROWS_AT_ONCE", 500, raising=False)
+    n = -(-registry.role(spark, sf, "lineitem").count() // 500)
+    text = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", text)
+    assert n > 10 and dealt and {(k, int(m)) for k, m in dealt} == {("l_orderkey", n)}
+    # rows of an opinion are where they are joined and grouped by it: no exchange of theirs, and no grouping before it
+    below = text[text.index("REPARTITION_BY_NUM"):].split("Exchange")[0]
+    assert "Aggregate" not in below and not re.search(r"hashpartitioning\(l_orderkey#\d+L?, l_suppkey", text)
