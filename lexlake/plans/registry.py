@@ -15,7 +15,7 @@ from lexlake.operators import ingest as I
 from lexlake.operators import logs as L
 from lexlake.operators import resolve as R
 from lexlake.operators import search as Q
-from lexlake.plans.adapters import REF_DATE, oracle, role
+from lexlake.plans.adapters import REF_DATE, oracle, role, tasks_of
 from lexlake.schemas import VOTES
 from lexlake.sources import rosters
 
@@ -211,7 +211,7 @@ def tag_index_filtered_count(spark, d):
 @query("SELECT CAST(l_partkey % 500 AS VARCHAR) AS statute, count(*) AS mentions, count(DISTINCT l_orderkey) AS opinions, max(release_date) AS newest FROM lineitem JOIN opinion o ON o.id = l_orderkey GROUP BY ALL", "opinion")
 def statute_detail_counts(spark, d):
     li, op = tables(spark, d, "lineitem", "opinion")
-    rows = li.select((F.col("l_partkey") % 500).cast("string").alias("statute"), F.col("l_orderkey").alias("id")).join(op.select("id", "release_date"), "id")
+    rows = li.repartition(tasks_of(li), "l_orderkey").select((F.col("l_partkey") % 500).cast("string").alias("statute"), F.col("l_orderkey").alias("id")).join(op.select("id", "release_date"), "id")
     return rows.groupBy("statute").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("id").alias("opinions"), F.max("release_date").alias("newest"))
 
 

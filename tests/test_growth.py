@@ -124,7 +124,7 @@ def test_places_of_a_block_are_gathered_before_the_shuffle(spark):
     assert most <= 1_006
 
 
-@pytest.mark.parametrize("name", ["concordance_matrix"])
+@pytest.mark.parametrize("name", ["concordance_matrix", "statute_detail_counts"])
 def test_lineitem_is_dealt_by_opinion_to_more_tasks_as_it_grows(spark, sf, monkeypatch, name):
     monkeypatch.setattr(adapters, "ROWS_AT_ONCE", 500, raising=False)
     n = -(-registry.role(spark, sf, "lineitem").count() // 500)
