@@ -205,7 +205,7 @@ TAG_SQL = "SELECT l_orderkey AS opinion_id, p_type AS category, p_brand AS tag F
 def tag_index_filtered_count(spark, d):
     li, part = tables(spark, d, "lineitem", "part")
     tags = li.join(part, li.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("opinion_id"), F.col("p_type").alias("category"), F.col("p_brand").alias("tag"))
-    return A.tag_index(tags, role(spark, d, "opinion").where("court_id < 10"))
+    return A.tag_index(tags.repartition(tasks_of(li), "opinion_id"), role(spark, d, "opinion").where("court_id < 10"))
 
 
 @query("SELECT CAST(l_partkey % 500 AS VARCHAR) AS statute, count(*) AS mentions, count(DISTINCT l_orderkey) AS opinions, max(release_date) AS newest FROM lineitem JOIN opinion o ON o.id = l_orderkey GROUP BY ALL", "opinion")

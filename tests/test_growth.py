@@ -124,13 +124,13 @@ def test_places_of_a_block_are_gathered_before_the_shuffle(spark):
     assert most <= 1_006
 
 
-@pytest.mark.parametrize("name", ["concordance_matrix", "statute_detail_counts"])
-def test_lineitem_is_dealt_by_opinion_to_more_tasks_as_it_grows(spark, sf, monkeypatch, name):
+@pytest.mark.parametrize("name,key", [("concordance_matrix", "l_orderkey"), ("statute_detail_counts", "l_orderkey"), ("tag_index_filtered_count", "opinion_id")])
+def test_lineitem_is_dealt_by_opinion_to_more_tasks_as_it_grows(spark, sf, monkeypatch, name, key):
     monkeypatch.setattr(adapters, "ROWS_AT_ONCE", 500, raising=False)
     n = -(-registry.role(spark, sf, "lineitem").count() // 500)
     text = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", text)
-    assert n > 10 and dealt and {(k, int(m)) for k, m in dealt} == {("l_orderkey", n)}
+    assert n > 10 and dealt and {(k, int(m)) for k, m in dealt} == {(key, n)}
     # rows of an opinion are where they are joined and grouped by it: no exchange of theirs, and no grouping before it
     below = text[text.index("REPARTITION_BY_NUM"):].split("Exchange")[0]
     assert "Aggregate" not in below and not re.search(r"hashpartitioning\(l_orderkey#\d+L?, l_suppkey", text)
