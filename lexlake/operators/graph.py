@@ -33,8 +33,9 @@ def cite_map(opinions: DataFrame, parallel: DataFrame | None = None) -> DataFram
     """cite -> opinion: own cites first, then parallel ones, then dockets that only one opinion has. Where a cite is not
     unique the oldest opinion, then the smallest id, keeps it."""
     own = opinions.where("reporter_cite <> ''").select(F.col("reporter_cite").alias("cite"), F.col("id").alias("opinion_id"), "release_date", F.lit(0).alias("prio"))
-    case = S.canonical_case_number(F.col("case_number"))
-    docket = opinions.select(case.alias("cite"), "id", "release_date").where("cite <> ''").groupBy("cite").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("opinion_id"), F.min("release_date").alias("release_date")).where("n = 1")
+    spelled = opinions.groupBy("case_number").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("opinion_id"), F.min("release_date").alias("release_date"))
+    case = S.canonical_case_number(F.when(F.col("n") > 0, F.col("case_number")))  # n is there so that no filter of cites goes below: each spelling is read once, not each opinion
+    docket = spelled.withColumn("cite", case).where("cite <> ''").groupBy("cite").agg(F.sum("n").alias("n"), F.min("opinion_id").alias("opinion_id"), F.min("release_date").alias("release_date")).where("n = 1")
     every = own.unionByName(docket.select("cite", "opinion_id", "release_date", F.lit(2).alias("prio")))
     if parallel is not None:
         dated = parallel.join(opinions.select(F.col("id").alias("opinion_id"), "release_date"), "opinion_id")
@@ -51,6 +52,21 @@ def resolve_edges(found: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.groupBy("citing_id", key.alias("target")).agg(best.alias("b")).select("citing_id", "b.cited_id", "b.cite", "b.context", treatment(F.col("b.context")).alias("treatment"))
 
 
+def citing_pairs(found: DataFrame, mapping: DataFrame) -> DataFrame:
+    """citing_id, cited_id: the different pairs of ``resolve_edges`` that resolve, without what the citing opinion says. Only cites that are found are looked up; they are stored
+    once, and so are the pairs, which are asked more than once."""
+    spark = found.sparkSession
+    asked = store(mapping.join(found.select("cite").distinct(), "cite", "left_semi"), fresh_dir(spark, "asked-cites"))
+    rows = found.select("citing_id", "cite").distinct().join(asked.select("cite", F.col("opinion_id").alias("cited_id")), "cite").where("cited_id <> citing_id")
+    return store(rows.select("citing_id", "cited_id").distinct(), fresh_dir(spark, "citing-pairs"))
+
+
+def most_cited(pairs: DataFrame) -> int | None:
+    """The opinion that most opinions cite, of ``citing_pairs``; of equal ones that with the smallest id."""
+    top = pairs.groupBy("cited_id").agg(F.count(F.lit(1)).alias("citing_count")).orderBy(F.desc("citing_count"), "cited_id").first()
+    return top.cited_id if top else None
+
+
 def replace_extracted(edges: DataFrame, fresh: DataFrame) -> DataFrame:
     """Edges after re-extraction: extracted edges of the opinions seen again go, all others stay."""
     seen = fresh.select("citing_id").distinct()

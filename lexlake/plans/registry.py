@@ -453,9 +453,10 @@ def prefer_extracted_edges(spark, d):
 
 @query(f"WITH {EDGE_SQL}, x AS (SELECT cited_id FROM r WHERE cited_id IS NOT NULL GROUP BY ALL ORDER BY count(DISTINCT citing_id) DESC, cited_id LIMIT 1) SELECT id, title, release_date FROM opinion WHERE id IN (SELECT citing_id FROM r JOIN x USING (cited_id)) ORDER BY release_date DESC, id LIMIT 5 OFFSET 5", "opinion", "edge")
 def cited_by_page(spark, d):
-    e = edges(spark, d)
-    top = G.cited_by(e).orderBy(F.desc("citing_count"), "cited_id").first()
-    return G.cited_by_page(e, role(spark, d, "opinion"), top.cited_id if top else -1, page=2, size=5)
+    op = role(spark, d, "opinion")
+    pairs = G.citing_pairs(role(spark, d, "edge", {"lineitem": "l_orderkey"}), G.cite_map(op))
+    top = G.most_cited(pairs)
+    return G.cited_by_page(pairs, op, -1 if top is None else top, page=2, size=5)
 
 
 @query()

@@ -6,9 +6,11 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexlake.functions import legal_patterns as P
 from lexlake.functions import legal_text as T
+from lexlake.operators import graph as G
 from lexlake.operators import grams as N
 from lexlake.operators import merging as M
 from lexlake.operators import postings as W
@@ -134,3 +136,24 @@ def test_lineitem_is_dealt_by_opinion_to_more_tasks_as_it_grows(spark, sf, monke
     # rows of an opinion are where they are joined and grouped by it: no exchange of theirs, and no grouping before it
     below = text[text.index("REPARTITION_BY_NUM"):].split("Exchange")[0]
     assert "Aggregate" not in below and not re.search(r"hashpartitioning\(l_orderkey#\d+L?, l_suppkey", text)
+
+
+def test_a_page_of_citing_opinions_resolves_citations_once(spark, sf, monkeypatch):
+    asked, built = [], []
+    monkeypatch.setattr(G, "store", lambda df, path, own=G.store: asked.append(df) or built.append(own(df, path)) or built[-1])
+    page = registry.QUERIES["cited_by_page"](spark, sf)
+    texts = [df._jdf.queryExecution().executedPlan().toString() for df in (*asked, page)]
+    assert [("lineitem.parquet" in t) for t in texts] == [True, True, False]
+    assert "cited in passing" not in "".join(texts)  # what is said is not carried along
+    edges = registry.edges(spark, sf).where("cited_id IS NOT NULL").select("citing_id", "cited_id")
+    assert sorted(map(tuple, built[1].collect())) == sorted(map(tuple, edges.collect()))
+    top = G.cited_by(edges).orderBy(F.desc("citing_count"), "cited_id").first()
+    assert G.most_cited(built[1]) == top.cited_id and G.most_cited(built[1].limit(0)) is None
+
+
+def test_each_spelling_of_a_docket_is_read_once(spark):
+    ops = spark.createDataFrame([(k, "", ("a210001", "A21-0001", "A20-7", "No. ", None, "")[k % 6] if k < 60 else "No. A19-8", datetime.date(2000, 1, 1)) for k in range(61)], "id long, reporter_cite string, case_number string, release_date date")
+    cites = G.cite_map(ops)
+    assert [tuple(r) for r in cites.collect()] == [("A19-0008", 60)]
+    text = cites._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "RLIKE" in text and "RLIKE" not in text[text.index("hashpartitioning(case_number"):]
