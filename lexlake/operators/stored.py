@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a table that one task takes where the table is dealt by a key: with the table the tasks grow in number, not in memory.
+ROWS_AT_ONCE = 500_000
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``; under a temporary one only in local mode, where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,3 +35,8 @@ def store(df: DataFrame, path: str) -> DataFrame:
     """``df`` written once and read back: lineage ends there."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks_of(*tables: DataFrame) -> int:
+    """The tasks that stored tables are dealt to; their rows are counted by Parquet's footers."""
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-sum(t.count() for t in tables) // ROWS_AT_ONCE))

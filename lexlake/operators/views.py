@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from lexlake.operators.stored import tasks_of
+
 
 @dataclass(frozen=True)
 class Version:
@@ -96,7 +98,8 @@ class View:
         touched = sorted(r.bucket for r in delta.select("bucket").distinct().collect())  # at most ``buckets``
         old = self.stored(now.folders[str(b)] for b in touched if str(b) in now.folders).withColumn("bucket", bucket)
         n = F.when(F.col("n") < 0, F.raise_error(F.lit("a row goes that never came"))).otherwise(F.col("n"))
-        merged = old.unionByName(delta).groupBy("bucket", *self.columns).agg(F.sum("n").alias("n")).where("n <> 0").withColumn("n", n.cast("long"))
+        both = old.unionByName(delta).repartition(tasks_of(old, delta), *self.columns)  # a combination stands once in either
+        merged = both.groupBy("bucket", *self.columns).agg(F.sum("n").alias("n")).where("n <> 0").withColumn("n", n.cast("long"))
         merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/rows")
         kept = {b: f for b, f in now.folders.items() if int(b) not in touched}
         fresh = {str(b): f"{folder}/rows/bucket={b}" for b in touched if self.fs.exists(self.path(f"{folder}/rows/bucket={b}"))}
@@ -133,5 +136,7 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 def counted(rows: DataFrame, by: tuple[str, ...], count: str = "n", distinct: dict[str, str] | None = None, least: dict[str, str] | None = None, most: dict[str, str] | None = None) -> DataFrame:
     """Aggregates of a view's rows: rows in all as ``count``, different values, smallest and largest values (name -> column)."""
     out = [F.sum("n").alias(count), *[F.count_distinct(c).alias(a) for a, c in (distinct or {}).items()], *[F.min(c).alias(a) for a, c in (least or {}).items()], *[F.max(c).alias(a) for a, c in (most or {}).items()]]
+    if distinct:  # each combination stands once, so no task gets more than its share
+        rows = rows.repartition(tasks_of(rows), *[c for c in rows.columns if c != "n"])
     return rows.groupBy(*by).agg(*out)
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexlake.operators.stored import tasks_of
+
 REF_DATE = "2001-09-01"
-#: Rows of a table that one task takes where the table is dealt by a key: with the table the tasks grow in number, not in memory.
-ROWS_AT_ONCE = 500_000
 
 #: name -> (tables and roles it reads, SQL)
 ROLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -67,11 +67,6 @@ def needed(names: tuple[str, ...]) -> list[str]:
     return out
 
 
-def tasks_of(table: DataFrame) -> int:
-    """The tasks that a stored table is dealt to; its rows are counted by Parquet's footers."""
-    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS_AT_ONCE))
-
-
 def role(spark: SparkSession, sf_dir: str, name: str, by: dict[str, str] | None = None) -> DataFrame:
     """A role, or a test table, as a DataFrame. ``by``: columns by which test tables are dealt before anything else."""
     if name not in ROLES:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexlake.operators.stored import fresh_dir
+from lexlake.operators.stored import fresh_dir, tasks_of
 from lexlake.operators.views import View, changes, counted
 from lexlake.plans.registry import TAG_SQL, query, tables
 
@@ -13,7 +13,7 @@ from lexlake.plans.registry import TAG_SQL, query, tables
 def incremental_tag_counts(spark, d):
     """Four increments of new tags, one that takes a ninth of the opinions back, one that brings half of these again; the run stops after each second increment and goes on."""
     li, part = tables(spark, d, "lineitem", "part")
-    tags = li.join(part, li.l_partkey == part.p_partkey).select(F.col("p_brand").alias("tag"), F.col("l_orderkey").alias("opinion_id"))
+    tags = li.join(part, li.l_partkey == part.p_partkey).select(F.col("p_brand").alias("tag"), F.col("l_orderkey").alias("opinion_id")).repartition(tasks_of(li), "opinion_id")
     came, went = F.lit(1).alias("change"), F.lit(-1).alias("change")
     steps = [(k, lambda k=k: tags.where(F.col("opinion_id") % 4 == k).select("*", came)) for k in range(4)]
     steps += [(4, lambda: tags.where("opinion_id % 9 = 0").select("*", went)), (5, lambda: tags.where("opinion_id % 18 = 0").select("*", came))]

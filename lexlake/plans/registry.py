@@ -15,7 +15,8 @@ from lexlake.operators import ingest as I
 from lexlake.operators import logs as L
 from lexlake.operators import resolve as R
 from lexlake.operators import search as Q
-from lexlake.plans.adapters import REF_DATE, oracle, role, tasks_of
+from lexlake.operators.stored import tasks_of
+from lexlake.plans.adapters import REF_DATE, oracle, role
 from lexlake.schemas import VOTES
 from lexlake.sources import rosters
 

@@ -15,7 +15,8 @@ from lexlake.operators import grams as N
 from lexlake.operators import merging as M
 from lexlake.operators import postings as W
 from lexlake.operators import resolve as R
-from lexlake.plans import adapters, registry
+from lexlake.operators import stored
+from lexlake.plans import registry
 
 
 def most_rows(df):
@@ -128,7 +129,7 @@ def test_places_of_a_block_are_gathered_before_the_shuffle(spark):
 
 @pytest.mark.parametrize("name,key", [("concordance_matrix", "l_orderkey"), ("statute_detail_counts", "l_orderkey"), ("tag_index_filtered_count", "opinion_id")])
 def test_lineitem_is_dealt_by_opinion_to_more_tasks_as_it_grows(spark, sf, monkeypatch, name, key):
-    monkeypatch.setattr(adapters, "ROWS_AT_ONCE", 500, raising=False)
+    monkeypatch.setattr(stored, "ROWS_AT_ONCE", 500, raising=False)
     n = -(-registry.role(spark, sf, "lineitem").count() // 500)
     text = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", text)
@@ -157,3 +158,10 @@ def test_each_spelling_of_a_docket_is_read_once(spark):
     assert [tuple(r) for r in cites.collect()] == [("A19-0008", 60)]
     text = cites._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert "RLIKE" in text and "RLIKE" not in text[text.index("hashpartitioning(case_number"):]
+
+
+def test_rows_of_a_view_are_counted_by_more_tasks_as_they_grow(spark, sf, monkeypatch):
+    monkeypatch.setattr(stored, "ROWS_AT_ONCE", 500, raising=False)
+    text = registry.QUERIES["incremental_tag_counts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((\w+#\d+L?, \w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", text)
+    assert len(dealt) == 1 and int(dealt[0][1]) > 4 and "Aggregate" not in text[text.index("REPARTITION_BY_NUM"):]
